@@ -14,7 +14,7 @@ like the rows in them. Keys below the limit have the empty array and need no car
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -35,6 +35,8 @@ class Scan:
     summary: Column
     carry: Callable[[Column, WindowSpec], Column]
     merge: Callable[[Column, Column], Column]
+    # Whether the windows run against the order. Spark runs forward frames in linear time only.
+    backward: bool = False
 
 
 def _upto(window: WindowSpec) -> WindowSpec:
@@ -45,10 +47,6 @@ def _before(window: WindowSpec) -> WindowSpec:
     return window.rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _after(window: WindowSpec) -> WindowSpec:
-    return window.rowsBetween(1, Window.unboundedFollowing)
-
-
 def count_before(name: str) -> Scan:
     """Number of earlier rows of the key: dense numbers from 0."""
     return Scan(
@@ -99,13 +97,7 @@ def previous(name: str, value: Column, order: Sequence[str]) -> Scan:
 def following(name: str, value: Column, order: Sequence[str]) -> Scan:
     """The first non-null ``value`` of a later row."""
     place = F.when(value.isNotNull(), F.struct(*order))
-    return Scan(
-        name,
-        lambda w: F.first(value, ignorenulls=True).over(_after(w)),
-        F.min_by(value, place),
-        lambda s, w: F.first(s, ignorenulls=True).over(_after(w)),
-        lambda carry, local: F.coalesce(local, carry),
-    )
+    return replace(previous(name, value, order), summary=F.min_by(value, place), backward=True)
 
 
 @dataclass(frozen=True)
@@ -209,10 +201,17 @@ def running(
     """Add the running values ``scans`` per key in order. ``order`` must be total and not random."""
     cells = cells or cut(df, keys, order)
     columns = df.columns
+
+    def windows(groups: Sequence[str], along: Sequence[str]) -> Callable[[Scan], WindowSpec]:
+        groups_of = Window.partitionBy(*groups)
+        forward = groups_of.orderBy(*along)
+        backward = groups_of.orderBy(*[F.col(c).desc() for c in along])
+        return lambda scan: backward if scan.backward else forward
+
     if not cells.levels:
-        window = Window.partitionBy(*keys).orderBy(*order)
+        rows_of = windows(keys, order)
         nothing = F.lit(None)
-        return df.select(*columns, *[s.merge(nothing, s.local(window)).alias(s.name) for s in scans])
+        return df.select(*columns, *[s.merge(nothing, s.local(rows_of(s))).alias(s.name) for s in scans])
 
     rows = df if CELL in columns else cells.assign(df)
     # One row per cell of the divided keys, so its size does not grow faster than rows / limit.
@@ -221,16 +220,11 @@ def running(
         .groupBy(*keys, CELL)
         .agg(*[s.summary.alias(f"_sum_{s.name}") for s in scans])
     )
-    along = Window.partitionBy(*keys).orderBy(CELL)
-    carried = settle(
-        summary.select(
-            *keys, CELL, *[s.carry(F.col(f"_sum_{s.name}"), along).alias(f"_carry_{s.name}") for s in scans]
-        )
-    )
-    window = Window.partitionBy(*keys, CELL).orderBy(*order)
-    inner = rows.select("*", *[s.local(window).alias(f"_local_{s.name}") for s in scans])
+    cells_of = windows(keys, [CELL])
+    carries = [s.carry(F.col(f"_sum_{s.name}"), cells_of(s)).alias(f"_carry_{s.name}") for s in scans]
+    carried = settle(summary.select(*keys, CELL, *carries))
+    rows_of = windows([*keys, CELL], order)
+    inner = rows.select("*", *[s.local(rows_of(s)).alias(f"_local_{s.name}") for s in scans])
     joined = attach(inner, carried, [*keys, CELL])
-    merged = [
-        s.merge(F.col(f"_carry_{s.name}"), F.col(f"_local_{s.name}")).alias(s.name) for s in scans
-    ]
+    merged = [s.merge(F.col(f"_carry_{s.name}"), F.col(f"_local_{s.name}")).alias(s.name) for s in scans]
     return joined.select(*columns, *merged)

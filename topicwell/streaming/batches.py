@@ -17,18 +17,28 @@ def write_batch(df: DataFrame, path: str, batch_id: int, partition_by: Sequence[
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}/data/batch_id={batch_id}")
 
 
+NUMBERS = "topic string, next bigint"
+
+
 def next_numbers(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
     """``(topic, next)`` as the batch before left it."""
-    schema = "topic string, next bigint"
     if batch_id == 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/commits/batch_id={batch_id - 1}")
+        return spark.createDataFrame([], NUMBERS)
+    before = spark.read.schema(f"{NUMBERS}, done boolean").parquet(f"{path}/commits/batch_id={batch_id - 1}")
+    return before.where(F.col("done").isNull()).drop("done")
+
+
+def commit_batch(spark: SparkSession, path: str, batch_id: int, numbers: DataFrame | None = None) -> None:
+    """Mark a batch as written; ``numbers`` is the ``(topic, next)`` it leaves behind."""
+    commit = spark.createDataFrame([(None, None, True)], f"{NUMBERS}, done boolean")
+    if numbers is not None:
+        commit = commit.unionByName(numbers, allowMissingColumns=True)
+    commit.coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/batch_id={batch_id}")
 
 
-def commit_batch(before: DataFrame, written: DataFrame, path: str, batch_id: int) -> None:
-    """``written`` has ``(topic, next)`` for the topics of this batch."""
-    after = before.unionByName(written).groupBy("topic").agg(F.max("next").alias("next"))
-    after.write.mode("overwrite").parquet(f"{path}/commits/batch_id={batch_id}")
+def advance(before: DataFrame, written: DataFrame) -> DataFrame:
+    """The next numbers after a batch, from those before it and those of its own topics."""
+    return before.unionByName(written).groupBy("topic").agg(F.max("next").alias("next"))
 
 
 def read_batches(spark: SparkSession, path: str, text: Sequence[str] = ("topic",)) -> DataFrame:

@@ -15,7 +15,7 @@ from topicwell.plans.joins import keyed_join
 from topicwell.plans.running import attach, count_before, running
 from topicwell.schemas import CONTROL_ORDER, EVENT_ORDER, EVENTS_PER_FLIGHT, READ_HORIZON
 from topicwell.session import settle
-from topicwell.streaming.batches import commit_batch, next_numbers, read_batches, write_batch
+from topicwell.streaming.batches import advance, commit_batch, next_numbers, read_batches, write_batch
 from topicwell.streaming.intake import run_available
 
 ROUTED, DEAD_LETTER = "routed", "dead_letter"
@@ -31,15 +31,11 @@ def stream_route(events: DataFrame, topics: DataFrame, path: str, checkpoint: st
         marked = keyed_join(batch, known, ["topic"], "left", [row])
         kind = F.when(F.col("_known"), ROUTED).otherwise(DEAD_LETTER)
         write_batch(marked.withColumn("route", kind).drop("_known"), path, batch_id, ["route"])
-        commit_batch(next_numbers(batch.sparkSession, path, batch_id), _nothing(batch), path, batch_id)
+        commit_batch(batch.sparkSession, path, batch_id)
 
     run_available(events.writeStream.foreachBatch(route), checkpoint)
 
 
-def _nothing(batch: DataFrame) -> DataFrame:
-    return batch.sparkSession.createDataFrame([], "topic string, next bigint")
-
-
 def read_routed(spark: SparkSession, path: str, route: str) -> DataFrame:
     return read_batches(spark, path, ("route", "topic")).where(F.col("route") == route).drop("route", "batch_id")
 
@@ -59,7 +55,7 @@ def stream_assign_offsets(events: DataFrame, path: str, checkpoint: str, order:
         write_batch(log, path, batch_id, ["topic"])
         written = attach(batch.groupBy("topic").agg(F.count(F.lit(1)).alias("_n")), before, ["topic"])
         written = written.select("topic", (F.coalesce("next", F.lit(0)) + F.col("_n")).alias("next"))
-        commit_batch(before, written, path, batch_id)
+        commit_batch(batch.sparkSession, path, batch_id, advance(before, written))
 
     run_available(events.writeStream.foreachBatch(append), checkpoint)
 
@@ -80,7 +76,7 @@ def stream_subscribers(control: DataFrame, path: str, checkpoint: str) -> None:
 
     def changed(batch: DataFrame, batch_id: int) -> None:
         write_batch(batch, path, batch_id)
-        commit_batch(_nothing(batch), _nothing(batch), path, batch_id)
+        commit_batch(batch.sparkSession, path, batch_id)
 
     run_available(control_state(control).writeStream.outputMode("update").foreachBatch(changed), checkpoint)
 
@@ -121,7 +117,7 @@ def stream_fan_out(
         deliveries = fan_out(flights, known).withColumn("folder", folder)
         write_batch(deliveries.hint("rebalance", "folder"), path, batch_id, ["folder"])
         written = flights.groupBy("topic").agg((F.max("flight") + 1).alias("next"))
-        commit_batch(before, written, path, batch_id)
+        commit_batch(batch.sparkSession, path, batch_id, advance(before, written))
 
     run_available(events.writeStream.foreachBatch(deliver), checkpoint)
 
