@@ -232,7 +232,7 @@ def topic_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def has_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = b.events(spark, sf_dir).select("event_id", F.col("event_type").alias("topic"))
-    return registry.has_topic(b.control(spark, sf_dir), b.TOPICS, asked, "event_id")
+    return registry.has_topic(b.control(spark, sf_dir), b.TOPICS, asked)
 
 
 def subscription_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,7 +326,7 @@ def read_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resume_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     committed = settle(offsets.committed_offsets(_log(spark, sf_dir)))
-    return offsets.resume_plan(b.requests(committed), committed).drop("committed")
+    return offsets.resume_plan(b.requests(committed), committed)
 
 
 def topic_volume(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicwell.plans.joins import keyed_join
-from topicwell.plans.running import attach, count_before, running, total
+from topicwell.plans.running import count_before, running, total
 from topicwell.schemas import EVENT_ORDER, READ_HORIZON, RECORD_OVERHEAD
 from topicwell.session import settle
 
@@ -56,7 +56,11 @@ def read_from_offset(log: DataFrame, topic: str, offset: int, horizon: int = REA
 
 def resume_plan(requests: DataFrame, committed: DataFrame, horizon: int = READ_HORIZON) -> DataFrame:
     """Effective start, lag and status of read requests ``(topic, offset)``."""
-    known = keyed_join(requests, settle(committed), ["topic"], "left", ["offset"])
+    return _plan(requests, settle(committed), horizon).drop("committed")
+
+
+def _plan(requests: DataFrame, committed: DataFrame, horizon: int) -> DataFrame:
+    known = keyed_join(requests, committed, ["topic"], "left", requests.columns)
     lag = F.col("committed") - F.col("offset")
     start = F.when(lag > horizon, F.col("committed") - horizon).otherwise(F.col("offset"))
     status = (
@@ -66,7 +70,7 @@ def resume_plan(requests: DataFrame, committed: DataFrame, horizon: int = READ_H
         .when(lag > horizon, CLAMPED)
         .otherwise(OK)
     )
-    planned = known.select(
+    return known.select(
         *[c for c in requests.columns if c != "offset"],
         F.col("offset").alias("requested"),
         F.when(F.col("committed").isNotNull(), start).alias("start"),
@@ -75,7 +79,6 @@ def resume_plan(requests: DataFrame, committed: DataFrame, horizon: int = READ_H
         status.alias("status"),
         "committed",
     )
-    return planned
 
 
 def read_requests(log: DataFrame, requests: DataFrame, horizon: int = READ_HORIZON) -> DataFrame:
@@ -85,9 +88,9 @@ def read_requests(log: DataFrame, requests: DataFrame, horizon: int = READ_HORIZ
     offsets and the log is narrowed to the tail of each topic before the join.
     """
     committed = settle(committed_offsets(log))
-    tail = attach(log, committed, ["topic"]).where(F.col("offset") >= F.col("committed") - horizon)
-    tail = settle(tail.drop("committed"))
-    plan = resume_plan(requests, committed, horizon).where(F.col("status").isin(OK, CLAMPED))
+    tail = keyed_join(log, committed, ["topic"], "inner", ["offset"])
+    tail = settle(tail.where(F.col("offset") >= F.col("committed") - horizon).drop("committed"))
+    plan = _plan(requests, committed, horizon).where(F.col("status").isin(OK, CLAMPED))
     wanted = plan.select(
         "request_id",
         "topic",

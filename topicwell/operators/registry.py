@@ -71,22 +71,17 @@ def control_responses(control: DataFrame, initial: Sequence[str]) -> DataFrame:
     return asked.select("seq", "ts", "action", "topic", "address", response.alias("response"))
 
 
-def _latest_topic_actions(control: DataFrame) -> DataFrame:
-    place = F.struct(*CONTROL_ORDER)
-    return (
-        control.where(_topic_action())
-        .groupBy("topic")
-        .agg(F.max_by("action", place).alias("topic_action"), F.max(place).alias("topic_place"))
-    )
-
-
 def _initial_topics(control: DataFrame, initial: Sequence[str]) -> DataFrame:
     return control.sparkSession.createDataFrame([(t,) for t in sorted(set(initial))], "topic string")
 
 
 def topics_current(control: DataFrame, initial: Sequence[str]) -> DataFrame:
     """The topics registered at the end of the log."""
-    last = _latest_topic_actions(control).select("topic", F.col("topic_action").alias("action"), F.lit(1).alias("at"))
+    last = (
+        control.where(_topic_action())
+        .groupBy("topic")
+        .agg(F.max_by("action", F.struct(*CONTROL_ORDER)).alias("action"), F.lit(1).alias("at"))
+    )
     start = _initial_topics(control, initial).select("topic", F.lit(ADD_TOPIC).alias("action"), F.lit(0).alias("at"))
     folded = last.unionByName(start).groupBy("topic").agg(F.max_by("action", "at").alias("action"))
     return folded.where(F.col("action") == ADD_TOPIC).select("topic")
@@ -96,10 +91,10 @@ def topic_count(control: DataFrame, initial: Sequence[str]) -> DataFrame:
     return topics_current(control, initial).agg(F.count(F.lit(1)).alias("n_topics"))
 
 
-def has_topic(control: DataFrame, initial: Sequence[str], requests: DataFrame, row: str = "topic") -> DataFrame:
+def has_topic(control: DataFrame, initial: Sequence[str], requests: DataFrame) -> DataFrame:
     """Add ``registered`` to the rows of ``requests``, by their ``topic``."""
     topics = settle(topics_current(control, initial).withColumn("_known", F.lit(True)))
-    known = keyed_join(requests, topics, ["topic"], "left", [row])
+    known = keyed_join(requests, topics, ["topic"], "left", requests.columns)
     return known.select(*requests.columns, F.coalesce("_known", F.lit(False)).alias("registered"))
 
 
@@ -139,14 +134,17 @@ def control_state(control: DataFrame, initial: Sequence[str] = ()) -> DataFrame:
 
     Plain aggregates, so parts of a log can be folded apart and their states folded again.
     """
-    place = F.struct(*CONTROL_ORDER)
     relevant = control.where(_topic_action() | (_client_action() & valid_endpoint(F.col("address"))))
     if "parse_status" in control.columns:
         relevant = relevant.where(_topic_action() | (F.col("parse_status") == body.OK))
     keyed = relevant.withColumn("address", F.when(_client_action(), F.col("address")))
-    return keyed.groupBy("topic", "address").agg(
-        F.max_by("action", place).alias("action"), F.max("ts").alias("ts"), F.max_by("seq", place).alias("seq")
-    )
+    return latest(keyed)
+
+
+def latest(states: DataFrame) -> DataFrame:
+    """The last ``action`` of each (topic, address) with its place in the log."""
+    last = states.groupBy("topic", "address").agg(F.max(F.struct(*CONTROL_ORDER, "action")).alias("_last"))
+    return last.select("topic", "address", "_last.*")
 
 
 def subscribers_of_state(state: DataFrame, initial: Sequence[str]) -> DataFrame:

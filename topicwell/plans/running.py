@@ -161,10 +161,11 @@ def cut(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int | No
     """Find the cells of ``df``. One counting pass, and one more per level of division.
 
     Any table may be counted that holds at least the rows the cells are used on. The first two
-    order columns are numbers or timestamps. The pieces found at each level number at most
-    (rows of the table / limit), whatever the data.
+    order columns are numbers or timestamps. The limit rises with the rows of the large keys, so
+    that all cells together stay within what may be broadcast.
     """
-    rows = rows or group_rows(df.sparkSession)
+    spark = df.sparkSession
+    rows = rows or group_rows(spark)
     first, second = order[0], order[1]
     cells = Cells(tuple(keys), tuple(order))
     slim = df.select(*{*keys, first, second})
@@ -175,19 +176,20 @@ def cut(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int | No
         F.min(second).alias("_lo1"),
         F.max(second).alias("_hi1"),
     ]
+    divisible = (F.col("_lo0") < F.col("_hi0")) | (F.col("_lo1") < F.col("_hi1"))
     pieces = slim.groupBy(*keys).agg(*stats).withColumn(CELL, F.array().cast("array<bigint>"))
     while True:
-        divisible = (F.col("_lo0") < F.col("_hi0")) | (F.col("_lo1") < F.col("_hi1"))
-        large = settle(
-            pieces.where((F.col("_n") > rows) & divisible).withColumn(
-                "_steps", F.ceil(F.col("_n") * 2 / rows).cast("bigint")
-            )
-        )
+        large = settle(pieces.where((F.col("_n") > rows) & divisible))
         if large.isEmpty():
             return cells
-        cells.levels.append(large)
-        depth = len(cells.levels)
-        inside = cells.assign(slim).where(F.size(CELL) == depth)
+        if not cells.levels:
+            held = large.agg(F.sum("_n")).first()[0]
+            rows = max(rows, -(-held * 4 // broadcast_rows(spark)))
+            large = large.where(F.col("_n") > rows)
+            if large.isEmpty():
+                return cells
+        cells.levels.append(large.withColumn("_steps", F.ceil(F.col("_n") * 2 / rows).cast("bigint")))
+        inside = cells.assign(slim).where(F.size(CELL) == len(cells.levels))
         pieces = inside.groupBy(*keys, CELL).agg(*stats)
 
 

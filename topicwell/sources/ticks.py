@@ -76,16 +76,17 @@ def generate_ticks_for(quota: DataFrame, seed: int = 0, start: str = FIRST_SECON
         return F.pmod(F.xxhash64(*parts, F.lit(seed)), F.lit(2**32)).cast("double") / F.lit(float(2**32))
 
     def seconds(scale: int) -> DataFrame:
-        # Blocks of 1,000 seconds first, so that one symbol makes no large array.
+        # Blocks of a million, then of a thousand seconds, so that no symbol makes a large array.
         need = F.ceil(F.col("n_rows") * scale / MOST_TICKS_PER_SECOND).cast("bigint")
-        last_block = F.ceil(need / 1000).cast("bigint") - 1
-        blocks = wanted.where(F.col("n_rows") > 0).withColumn(
-            "block", F.explode(F.sequence(F.lit(0).cast("bigint"), last_block))
-        )
-        blocks = blocks.repartition("stock_symbol", "block")
-        inside = F.explode(F.sequence(F.lit(0), F.lit(999))).alias("i")
-        grid = blocks.select("stock_symbol", "n_rows", "block", inside)
-        grid = grid.select("stock_symbol", "n_rows", (F.col("block") * 1000 + F.col("i")).alias("second"))
+        grid = wanted.where(F.col("n_rows") > 0).withColumn("need", need).withColumn("start", F.lit(0).cast("bigint"))
+        for size in (1_000_000, 1_000, 1):
+            last = F.least(F.col("need") - F.col("start"), F.lit(size * 1000 if size < 1_000_000 else 2**62)) - 1
+            steps = F.sequence(F.lit(0).cast("bigint"), F.call_function("div", last, F.lit(size)))
+            grid = grid.withColumn("step", F.explode(steps))
+            grid = grid.withColumn("start", F.col("start") + F.col("step") * size).drop("step")
+            if size == 1_000:
+                grid = grid.repartition("stock_symbol", "start")
+        grid = grid.select("stock_symbol", "n_rows", F.col("start").alias("second"))
         count = 1 + F.floor(unit(F.lit("count"), "stock_symbol", "second") * MOST_TICKS_PER_SECOND)
         return grid.withColumn("ticks", count.cast("bigint"))
 

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from topicwell.operators.delivery import fan_out, flights_of
 from topicwell.operators.offsets import read_from_offset
-from topicwell.operators.registry import control_state, subscribers_of_state
-from topicwell.operators.routing import topic_tap
+from topicwell.operators.registry import control_state, latest, subscribers_of_state
+from topicwell.operators.routing import drop_untagged, topic_tap
 from topicwell.plans.joins import keyed_join
-from topicwell.plans.running import attach, count_before, running
-from topicwell.schemas import CONTROL_ORDER, EVENT_ORDER, EVENTS_PER_FLIGHT, READ_HORIZON
+from topicwell.plans.running import count_before, running
+from topicwell.schemas import EVENT_ORDER, EVENTS_PER_FLIGHT, READ_HORIZON
 from topicwell.session import settle
 from topicwell.streaming.batches import advance, commit_batch, next_numbers, read_batches, write_batch
 from topicwell.streaming.intake import run_available
@@ -41,7 +41,7 @@ def read_routed(spark: SparkSession, path: str, route: str) -> DataFrame:
 
 
 def stream_assign_offsets(events: DataFrame, path: str, checkpoint: str, order: Sequence[str] = EVENT_ORDER) -> None:
-    """Append events to a log with dense offsets per topic.
+    """Append events to a log with dense offsets per topic; events without a topic are skipped.
 
     Batches are appended as they arrive; ``order`` holds inside a batch. A batch that is run again
     takes the same offsets and replaces its own folder.
@@ -49,11 +49,14 @@ def stream_assign_offsets(events: DataFrame, path: str, checkpoint: str, order:
 
     def append(batch: DataFrame, batch_id: int) -> None:
         before = settle(next_numbers(batch.sparkSession, path, batch_id))
-        numbered = attach(running(batch, ["topic"], order, [count_before("_n")]), before, ["topic"])
+        batch = drop_untagged(batch)
+        numbered = running(batch, ["topic"], order, [count_before("_n")])
+        numbered = keyed_join(numbered, before, ["topic"], "left", [order[1]])
         offset = F.coalesce("next", F.lit(0)) + F.col("_n")
         log = numbered.withColumn("offset", offset).drop("_n", "next")
         write_batch(log, path, batch_id, ["topic"])
-        written = attach(batch.groupBy("topic").agg(F.count(F.lit(1)).alias("_n")), before, ["topic"])
+        written = batch.groupBy("topic").agg(F.count(F.lit(1)).alias("_n"))
+        written = keyed_join(written, before, ["topic"], "left", ["topic"])
         written = written.select("topic", (F.coalesce("next", F.lit(0)) + F.col("_n")).alias("next"))
         commit_batch(batch.sparkSession, path, batch_id, advance(before, written))
 
@@ -82,12 +85,7 @@ def stream_subscribers(control: DataFrame, path: str, checkpoint: str) -> None:
 
 
 def read_subscribers(spark: SparkSession, path: str, initial: Sequence[str]) -> DataFrame:
-    place = F.struct(*CONTROL_ORDER)
-    state = (
-        read_batches(spark, path)
-        .groupBy("topic", "address")
-        .agg(F.max_by("action", place).alias("action"), F.max("ts").alias("ts"), F.max_by("seq", place).alias("seq"))
-    )
+    state = latest(read_batches(spark, path))
     return subscribers_of_state(state, initial)
 
 
@@ -108,8 +106,8 @@ def stream_fan_out(
 
     def deliver(batch: DataFrame, batch_id: int) -> None:
         before = settle(next_numbers(batch.sparkSession, path, batch_id))
-        numbered = running(batch, ["topic"], order, [count_before("offset")])
-        flights = attach(flights_of(numbered, n, order), before, ["topic"])
+        numbered = running(drop_untagged(batch), ["topic"], order, [count_before("offset")])
+        flights = keyed_join(flights_of(numbered, n, order), before, ["topic"], "left", ["flight"])
         flights = settle(
             flights.withColumn("flight", F.coalesce("next", F.lit(0)) + F.col("flight")).drop("next")
         )
