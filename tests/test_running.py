@@ -34,6 +34,7 @@ def _rows(kind, n=1500):
 
 
 KINDS = ["even", "one_time", "burst", "far", "few_times", "some_null"]
+CASES = [(kind, ["key"], 10_000) for kind in KINDS] + [("burst", [], 10_000), ("some_null", [], 30), ("far", ["key"], 30)]
 ORDER = ["ts", "id"]
 
 
@@ -72,9 +73,7 @@ def _sorted(df):
     return sorted(map(str, df.collect()))
 
 
-@pytest.mark.parametrize("keys", [["key"], []], ids=["keyed", "global"])
-@pytest.mark.parametrize("kind", KINDS)
-@pytest.mark.parametrize("broadcast", [10_000, 30], ids=["broadcast", "shuffled"])
+@pytest.mark.parametrize("kind,keys,broadcast", CASES)
 def test_same_as_plain_window(spark, kind, keys, broadcast):
     df = spark.createDataFrame(_rows(kind), "key string, ts timestamp_ntz, id bigint, value bigint").repartition(4)
     with limits(spark, 100, broadcast):

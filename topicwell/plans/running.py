@@ -102,17 +102,17 @@ def following(name: str, value: Column, order: Sequence[str]) -> Scan:
 
 @dataclass(frozen=True)
 class Cells:
-    """How the large keys of one table are cut. ``levels`` holds the pieces that were divided."""
+    """How the large keys of one table are cut. ``levels`` holds the divided pieces and their number."""
 
     keys: tuple[str, ...]
     order: tuple[str, ...]
-    levels: list[DataFrame] = field(default_factory=list)
+    levels: list[tuple[DataFrame, int]] = field(default_factory=list)
 
     def assign(self, df: DataFrame) -> DataFrame:
         """Add the cell name to every row. The divided pieces are few, so no row is shuffled."""
         df = df.withColumn(CELL, F.array().cast("array<bigint>"))
-        for level in self.levels:
-            df = attach(df, level, [*self.keys, CELL])
+        for level, pieces in self.levels:
+            df = attach(df, level, [*self.keys, CELL], pieces)
             step = _step(df, self.order[0], self.order[1])
             df = df.withColumn(
                 CELL, F.when(F.col("_n").isNotNull(), F.concat(CELL, F.array(step))).otherwise(F.col(CELL))
@@ -120,11 +120,15 @@ class Cells:
         return df
 
 
-def attach(df: DataFrame, table: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Left join on null-safe keys; broadcast if the table passes the size check."""
+def attach(df: DataFrame, table: DataFrame, on: Sequence[str], rows: int | None = None) -> DataFrame:
+    """Left join on null-safe keys; broadcast if the ``rows`` of the table pass the size check.
+
+    Beyond the check adaptive execution splits the partitions of large keys.
+    """
     names = {c: f"_r_{c}" for c in on}
     table = table.select([F.col(c).alias(names.get(c, c)) for c in table.columns])
-    if fits(table, broadcast_rows(df.sparkSession)):
+    limit = broadcast_rows(df.sparkSession)
+    if fits(table, limit) if rows is None else rows <= limit:
         table = F.broadcast(table)
     if not on:
         return df.join(table, how="left")
@@ -180,19 +184,25 @@ def cut(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int | No
     pieces = slim.groupBy(*keys).agg(*stats).withColumn(CELL, F.array().cast("array<bigint>"))
     while True:
         large = settle(pieces.where((F.col("_n") > rows) & divisible))
-        if large.isEmpty():
+        count, held = _size(large)
+        if count and not cells.levels:
+            raised = -(-held * 4 // broadcast_rows(spark))
+            if raised > rows:
+                rows = raised
+                large = large.where(F.col("_n") > rows)
+                count, _ = _size(large)
+        if not count:
             return cells
-        if not cells.levels:
-            held = large.agg(F.sum("_n")).first()[0]
-            rows = max(rows, -(-held * 4 // broadcast_rows(spark)))
-            large = large.where(F.col("_n") > rows)
-            if large.isEmpty():
-                return cells
-        cells.levels.append(large.withColumn("_steps", F.ceil(F.col("_n") * 2 / rows).cast("bigint")))
+        cells.levels.append((large.withColumn("_steps", F.ceil(F.col("_n") * 2 / rows).cast("bigint")), count))
         inside = cells.assign(slim).where(F.size(CELL) == len(cells.levels))
         pieces = inside.groupBy(*keys, CELL).agg(*stats)
 
 
+def _size(pieces: DataFrame) -> tuple[int, int]:
+    row = pieces.agg(F.count(F.lit(1)), F.sum("_n")).first()
+    return row[0], row[1] or 0
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -216,14 +226,14 @@ def running(
         return df.select(*columns, *[s.merge(nothing, s.local(rows_of(s))).alias(s.name) for s in scans])
 
     rows = df if CELL in columns else cells.assign(df)
-    # One row per cell of the divided keys, so its size does not grow faster than rows / limit.
-    summary = settle(
+    summary = (
         rows.where(F.size(CELL) > 0)
         .groupBy(*keys, CELL)
         .agg(*[s.summary.alias(f"_sum_{s.name}") for s in scans])
     )
     cells_of = windows(keys, [CELL])
     carries = [s.carry(F.col(f"_sum_{s.name}"), cells_of(s)).alias(f"_carry_{s.name}") for s in scans]
+    # One row per cell of the divided keys; ``cut`` bounds their number.
     carried = settle(summary.select(*keys, CELL, *carries))
     rows_of = windows([*keys, CELL], order)
     inner = rows.select("*", *[s.local(rows_of(s)).alias(f"_local_{s.name}") for s in scans])
