@@ -11,28 +11,16 @@ ORACLE = driver.oracle_sql()
 # Queries whose plan changes when keys are divided and sides are too large to broadcast.
 DIVIDED = [
     "file_atomic_accept",
-    "with_surrogate_id",
-    "generate_ticks",
     "route_registered",
-    "dead_letter",
     "replay_events",
-    "control_responses",
     "has_topic",
     "subscription_intervals",
-    "subscription_intervals_additive",
-    "subscribers_current",
     "subscriber_lists",
-    "connect_sessions",
     "fan_out",
     "undelivered_flights",
-    "prune_failed",
-    "assign_offsets",
     "read_requests",
-    "resume_plan",
     "topic_volume",
-    "queue_depth",
     "byte_backlog",
-    "stream_assign_offsets",
 ]
 
 
