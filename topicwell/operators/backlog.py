@@ -42,7 +42,8 @@ def _depths(ops: DataFrame, cells: Cells) -> DataFrame:
 def queue_depth(ops: DataFrame, capacity: int = QUEUE_SLOTS) -> DataFrame:
     """Depth after each operation; a queue of ``capacity`` slots is full at ``capacity - 1``."""
     ops = _relevant(ops).select("seq", "ts", "op")
-    depths = _depths(ops, cut(ops, [], _ORDER))
+    cells = cut(ops, [], _ORDER)
+    depths = _depths(cells.assign(ops), cells)
     return depths.select("seq", "ts", "op", "depth", (F.col("depth") >= capacity - 1).alias("at_capacity"))
 
 
@@ -58,7 +59,7 @@ def byte_backlog(ops: DataFrame, size: Column, section: int = DATA_SECTION_BYTES
         total("_writes", F.when(is_write, 1).otherwise(0)),
         total("_reads", F.when(F.col("frees"), 1).otherwise(0)),
     ]
-    numbered = settle(running(_depths(ops, cells), [], _ORDER, turn, cells))
+    numbered = settle(running(_depths(cells.assign(ops), cells), [], _ORDER, turn, cells).drop(*cells.columns))
     place = ["seq", "ts", "op"]
     writes = numbered.where(is_write).select(*place, "size", F.col("_writes").alias("_no"))
     reads = numbered.where("frees").select(*place, F.col("_reads").alias("_no"))

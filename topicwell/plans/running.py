@@ -7,8 +7,9 @@ from an ordinary window, combined with what the earlier (or later) cells of the
 
 Cells are found by counting, level by level. A piece that is too large is divided into equal
 steps of its first order column, or of its second where the first has a single value, until no
-piece is too large. A cell is named by the array of its step numbers, so cells of a key sort
-like the rows in them. Keys below the limit have the empty array and need no carry.
+piece is too large. A cell is named by its step numbers, one column per level, so cells of a key
+sort like the rows in them. What is not divided at a level has step -1 there; a key below the
+limit is not divided at all and needs no carry.
 """
 
 from __future__ import annotations
@@ -17,13 +18,15 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Row, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from topicwell.session import broadcast_rows, fits, group_rows, settle
 
-CELL = "_cell"
+WHOLE = -1
+# Steps per piece, as a multiple of those needed if its rows were spread evenly.
+STEPS = 4
 
 
 @dataclass(frozen=True)
@@ -108,15 +111,18 @@ class Cells:
     order: tuple[str, ...]
     levels: list[tuple[DataFrame, int]] = field(default_factory=list)
 
+    @property
+    def columns(self) -> list[str]:
+        return [f"_cell{i}" for i in range(len(self.levels))]
+
     def assign(self, df: DataFrame) -> DataFrame:
-        """Add the cell name to every row. The divided pieces are few, so no row is shuffled."""
-        df = df.withColumn(CELL, F.array().cast("array<bigint>"))
-        for level, pieces in self.levels:
-            df = attach(df, level, [*self.keys, CELL], pieces)
-            step = _step(df, self.order[0], self.order[1])
-            df = df.withColumn(
-                CELL, F.when(F.col("_n").isNotNull(), F.concat(CELL, F.array(step))).otherwise(F.col(CELL))
-            ).drop("_n", "_lo0", "_hi0", "_lo1", "_hi1", "_steps")
+        """Add the cell columns to every row. The divided pieces are few, so no row is shuffled."""
+        names = self.columns
+        for depth, (level, pieces) in enumerate(self.levels):
+            df = attach(df, level, [*self.keys, *names[:depth]], pieces)
+            step = F.when(F.col("_n").isNotNull(), _step(df, self.order[0], self.order[1]))
+            df = df.withColumn(names[depth], F.coalesce(step, F.lit(WHOLE).cast("bigint")))
+            df = df.drop("_n", "_lo0", "_hi0", "_lo1", "_hi1", "_steps")
         return df
 
 
@@ -147,14 +153,15 @@ def _step(df: DataFrame, first: str, second: str) -> Column:
             return F.call_function("width_bucket", value - low, zero, high - low, F.col("_steps"))
         if isinstance(kind, T.TimestampType):
             value, low, high = F.unix_micros(value), F.unix_micros(low), F.unix_micros(high)
-        exact = "decimal(20,0)"
-        return F.call_function(
-            "width_bucket",
-            (value.cast(exact) - low.cast(exact)).cast("double"),
-            F.lit(0.0),
-            (high.cast(exact) - low.cast(exact)).cast("double"),
-            F.col("_steps"),
-        )
+        span = F.try_subtract(high, low)
+
+        def share(distance: Column, whole: Column) -> Column:
+            return F.call_function("width_bucket", distance, F.lit(0.0), whole, F.col("_steps"))
+
+        # The difference is exact unless it leaves the range of a bigint.
+        near = share((value - low).cast("double"), span.cast("double"))
+        wide = [c.cast("double") for c in (value, low, high)]
+        return F.when(span.isNotNull(), near).otherwise(share(wide[0] - wide[1], wide[2] - wide[1]))
 
     by_first = bucket(first, "_lo0", "_hi0")
     by_second = bucket(second, "_lo1", "_hi1")
@@ -181,26 +188,36 @@ def cut(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int | No
         F.max(second).alias("_hi1"),
     ]
     divisible = (F.col("_lo0") < F.col("_hi0")) | (F.col("_lo1") < F.col("_hi1"))
-    pieces = slim.groupBy(*keys).agg(*stats).withColumn(CELL, F.array().cast("array<bigint>"))
+    pieces = slim.groupBy(*keys).agg(*stats)
     while True:
         large = settle(pieces.where((F.col("_n") > rows) & divisible))
-        count, held = _size(large)
-        if count and not cells.levels:
-            raised = -(-held * 4 // broadcast_rows(spark))
+        found = _extent(large)
+        if found["count"] and not cells.levels:
+            raised = -(-found.held * 2 * STEPS // broadcast_rows(spark))
             if raised > rows:
                 rows = raised
                 large = large.where(F.col("_n") > rows)
-                count, _ = _size(large)
-        if not count:
+                found = _extent(large)
+        if not found["count"]:
             return cells
-        cells.levels.append((large.withColumn("_steps", F.ceil(F.col("_n") * 2 / rows).cast("bigint")), count))
-        inside = cells.assign(slim).where(F.size(CELL) == len(cells.levels))
-        pieces = inside.groupBy(*keys, CELL).agg(*stats)
-
-
-def _size(pieces: DataFrame) -> tuple[int, int]:
-    row = pieces.agg(F.count(F.lit(1)), F.sum("_n")).first()
-    return row[0], row[1] or 0
+        steps = F.ceil(F.col("_n") * STEPS / rows).cast("bigint")
+        cells.levels.append((large.withColumn("_steps", steps), found["count"]))
+        if found.first is not None:
+            # The next pass reads no more of the files than the span of the large pieces.
+            kind = df.schema[first].dataType
+            span = F.col(first).between(F.lit(found.first).cast(kind), F.lit(found.last).cast(kind))
+            slim = slim.where(F.col(first).isNull() | span)
+        inside = cells.assign(slim).where(F.col(cells.columns[-1]) != WHOLE)
+        pieces = inside.groupBy(*keys, *cells.columns).agg(*stats)
+
+
+def _extent(pieces: DataFrame) -> Row:
+    return pieces.agg(
+        F.count(F.lit(1)).alias("count"),
+        F.sum("_n").alias("held"),
+        F.min("_lo0").cast("string").alias("first"),
+        F.max("_hi0").cast("string").alias("last"),
+    ).first()
 
 
 def running(
@@ -210,7 +227,10 @@ def running(
     scans: Sequence[Scan],
     cells: Cells | None = None,
 ) -> DataFrame:
-    """Add the running values ``scans`` per key in order. ``order`` must be total and not random."""
+    """Add the running values ``scans`` per key in order. ``order`` must be total and not random.
+
+    Rows that already have the columns of ``cells`` keep them, and several calls share one shuffle.
+    """
     cells = cells or cut(df, keys, order)
     columns = df.columns
 
@@ -225,18 +245,19 @@ def running(
         nothing = F.lit(None)
         return df.select(*columns, *[s.merge(nothing, s.local(rows_of(s))).alias(s.name) for s in scans])
 
-    rows = df if CELL in columns else cells.assign(df)
+    names = cells.columns
+    rows = df if names[0] in columns else cells.assign(df)
     summary = (
-        rows.where(F.size(CELL) > 0)
-        .groupBy(*keys, CELL)
+        rows.where(F.col(names[0]) != WHOLE)
+        .groupBy(*keys, *names)
         .agg(*[s.summary.alias(f"_sum_{s.name}") for s in scans])
     )
-    cells_of = windows(keys, [CELL])
+    cells_of = windows(keys, names)
     carries = [s.carry(F.col(f"_sum_{s.name}"), cells_of(s)).alias(f"_carry_{s.name}") for s in scans]
     # One row per cell of the divided keys; ``cut`` bounds their number.
-    carried = settle(summary.select(*keys, CELL, *carries))
-    rows_of = windows([*keys, CELL], order)
+    carried = settle(summary.select(*keys, *names, *carries))
+    rows_of = windows([*keys, *names], order)
     inner = rows.select("*", *[s.local(rows_of(s)).alias(f"_local_{s.name}") for s in scans])
-    joined = attach(inner, carried, [*keys, CELL])
+    joined = attach(inner, carried, [*keys, *names])
     merged = [s.merge(F.col(f"_carry_{s.name}"), F.col(f"_local_{s.name}")).alias(s.name) for s in scans]
     return joined.select(*columns, *merged)

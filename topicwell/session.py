@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 # Rows one window task or one join key may hold before the group is split.
 GROUP_ROWS = 1_000_000
 # Rows of a table that may be broadcast; larger tables are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 500_000
 
 
 def build_session(app: str = "topicwell", master: str | None = None, **conf: str) -> SparkSession:
