@@ -11,6 +11,7 @@ import tempfile
 import time
 
 from topicwell.catalog import batch
+from topicwell.operators.validation import scan_fetch as fetch_all
 from topicwell.session import build_session
 
 HEADLINE = [
@@ -55,7 +56,7 @@ def main() -> None:
 
     def run(name: str) -> float:
         start = time.perf_counter()
-        queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        fetch_all(queries[name](spark, sf_dir))
         return time.perf_counter() - start
 
     for name in ("scan_count", "assign_offsets"):

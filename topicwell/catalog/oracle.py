@@ -337,4 +337,11 @@ used AS (SELECT seq, CAST(sum(change) OVER (ORDER BY ts, seq) AS BIGINT) AS byte
     "stream_assign_offsets": _OFFSETS,
     "stream_read_from_offset": _READ,
     "stream_topic_tap": _TAP,
+    "stream_payloads": _with(
+        _EV,
+        _LOG,
+        then="""SELECT topic, CAST("offset" // 5 AS BIGINT) AS flight,
+  string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY "offset") AS event_ids, CAST(count(*) AS BIGINT) AS n_ts
+  FROM log WHERE topic = 'view' GROUP BY 1, 2""",
+    ),
 }

@@ -84,6 +84,20 @@ def stream_topic_tap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(events.schema).parquet(table)
 
 
+def stream_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event numbers held by the payloads of one topic."""
+    table, checkpoint = _paths(spark, "stream-payloads")
+    topics.stream_payloads(_stream(spark, sf_dir).select(*EVENT), "view", table, checkpoint)
+    held = F.from_json("payload", "ts array<string>, event_id array<bigint>")
+    sent = topics.read_payloads(spark, table).withColumn("held", held)
+    return sent.select(
+        "topic",
+        "flight",
+        F.array_join(F.col("held.event_id").cast("array<string>"), ",").alias("event_ids"),
+        F.size("held.ts").cast("bigint").alias("n_ts"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -95,5 +109,6 @@ QUERIES: dict[str, Query] = {
         stream_subscribers,
         stream_fan_out,
         stream_topic_tap,
+        stream_payloads,
     )
 }

@@ -50,6 +50,17 @@ def flight_rows(events: DataFrame, n: int = EVENTS_PER_FLIGHT) -> DataFrame:
     return rows.select("topic", "flight", "number", "_row.*")
 
 
+def flight_events(log: DataFrame, n: int = EVENTS_PER_FLIGHT, order: Sequence[str] = EVENT_ORDER) -> DataFrame:
+    """Flights with their at most ``n`` events as one ordered array ``rows``."""
+    flight = F.call_function("div", F.col("offset"), F.lit(n)).cast("bigint")
+    fields = [*order, *[c for c in log.columns if c not in (*order, "topic", "offset")]]
+    return (
+        log.withColumn("flight", flight)
+        .groupBy("topic", "flight")
+        .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("rows"))
+    )
+
+
 def fan_out(flights: DataFrame, intervals: DataFrame) -> DataFrame:
     """One delivery per flight and address subscribed at the time the flight is drained."""
     return covered(flights, settle(intervals), "topic", "fts", "flight", "valid_from", "valid_to").select(

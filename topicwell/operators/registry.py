@@ -172,23 +172,26 @@ def subscriber_lists(
     ``asked`` names further topics, which get an empty list when they are not registered. Lists
     of more than ``page_rows`` addresses come as pages 0, 1, 2, ...
     """
-    members = subscribers_current(control, initial).withColumn("_hash", F.xxhash64("address"))
+    members = settle(subscribers_current(control, initial)).withColumn("_hash", F.xxhash64("address"))
     paged = running(members, ["topic"], ["_hash", "_hash", "address"], [count_before("_before")])
     pages = (
         paged.withColumn("page", F.call_function("div", F.col("_before"), F.lit(page_rows)))
         .groupBy("topic", "page")
         .agg(F.array_sort(F.collect_list("address")).alias("addresses"))
+        .select("topic", "page", F.size("addresses").cast("bigint").alias("n"), "addresses")
     )
     topics = topics_current(control, initial)
     if asked is not None:
         topics = topics.unionByName(asked.select("topic")).distinct()
-    addresses = F.coalesce("addresses", F.array().cast("array<string>"))
-    return topics.join(pages, "topic", "left").select(
+    # Members are in registered topics only. The empty lists are added rather than joined, so the
+    # pages of a large topic do not meet in one task.
+    empty = topics.join(members.select("topic").distinct(), "topic", "left_anti").select(
         "topic",
-        F.coalesce("page", F.lit(0)).alias("page"),
-        F.size(addresses).cast("bigint").alias("n"),
-        addresses.alias("addresses"),
+        F.lit(0).cast("bigint").alias("page"),
+        F.lit(0).cast("bigint").alias("n"),
+        F.array().cast("array<string>").alias("addresses"),
     )
+    return pages.unionByName(empty)
 
 
 def connect_sessions(log: DataFrame, additive: bool = False) -> DataFrame:

@@ -37,15 +37,17 @@ class Grid:
     def _turn(self, index: Column) -> Column:
         return F.call_function("div", index, F.lit(len(self.topics))) if self.per_topic else index
 
-    def slots(self, like: DataFrame) -> DataFrame:
-        """All slots ``(slot, t, topic)``."""
+    def describe(self) -> list[Column]:
+        """``slot``, ``t`` and ``topic`` from the slot number."""
         names = F.array(*[F.lit(t) for t in self.topics])
-        slot = F.col("id")
+        slot = F.col("slot")
         time = self._time(self.start) + F.make_dt_interval(secs=self._turn(slot) * self.step)
         topic = F.element_at(names, (slot % len(self.topics) + 1).cast("int"))
-        return like.sparkSession.range(self.n_slots).select(
-            slot.alias("slot"), time.alias("t"), topic.alias("topic")
-        )
+        return [slot, time.alias("t"), topic.alias("topic")]
+
+    def slots(self, like: DataFrame) -> DataFrame:
+        """All slots ``(slot, t, topic)``."""
+        return like.sparkSession.range(self.n_slots).withColumnRenamed("id", "slot").select(self.describe())
 
     def place(self, events: DataFrame, ts: str) -> DataFrame:
         """The events of the grid with their ``slot``. A filter only: nothing is joined."""
@@ -88,18 +90,19 @@ def replay_events(
     grows with the data.
     """
     columns = list(columns or events.columns)
-    placed = running(grid.place(events, order[0]), ["slot"], order, [count_before("_before")])
+    placed = grid.place(events, order[0])
+    numbered = running(placed, ["slot"], order, [count_before("_before")])
     fields = [*order, *[c for c in columns if c not in order]]
     parts = (
-        placed.withColumn("part", F.call_function("div", F.col("_before"), F.lit(part_rows)))
+        numbered.withColumn("part", F.call_function("div", F.col("_before"), F.lit(part_rows)))
         .groupBy("slot", "part")
         .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("rows"))
+        .select(*grid.describe(), "part", "rows")
     )
-    kind = parts.schema["rows"].dataType
-    return grid.slots(events).join(parts, "slot", "left").select(
-        "slot",
-        "t",
-        "topic",
-        F.coalesce("part", F.lit(0)).alias("part"),
-        F.coalesce("rows", F.array().cast(kind)).alias("rows"),
+    # Empty events are added rather than joined, so the parts of a large one do not meet in one task.
+    empty = grid.slots(events).join(placed.select("slot").distinct(), "slot", "left_anti")
+    return parts.unionByName(
+        empty.withColumn("part", F.lit(0).cast("bigint")).withColumn(
+            "rows", F.array().cast(parts.schema["rows"].dataType)
+        )
     )

@@ -72,3 +72,8 @@ def with_surrogate_id(rows: DataFrame, order: tuple[str, str] | None = None) ->
 
 def scan_count(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def scan_fetch(rows: DataFrame) -> None:
+    """Read every column of every row and keep nothing."""
+    rows.write.format("noop").mode("overwrite").save()

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from topicwell.plans.running import running, total
 from topicwell.schemas import MONEY, TICK_FILE, TICK_TEXT
 
+# Fixed value: name of the tick table in a SQL database.
+TICK_TABLE = "stock_prices_2"
 # Start and value ranges of generated ticks.
 FIRST_SECOND = "2025-03-27 09:00:00"
 MOST_TICKS_PER_SECOND = 30
@@ -38,7 +40,7 @@ def jdbc_ticks(
     properties: Mapping[str, str],
     lower: int,
     upper: int,
-    table: str = "stock_prices_2",
+    table: str = TICK_TABLE,
     partitions: int = 32,
 ) -> DataFrame:
     """The tick table of a SQL database, read in ranges of ``id``; filters are pushed down.

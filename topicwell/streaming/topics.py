@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicwell.operators.delivery import fan_out, flights_of
+from topicwell.operators.delivery import columnar_json, fan_out, flight_events, flights_of
 from topicwell.operators.offsets import read_from_offset
 from topicwell.operators.registry import control_state, latest, subscribers_of_state
 from topicwell.operators.routing import drop_untagged, topic_tap
@@ -134,3 +134,30 @@ def read_deliveries(spark: SparkSession, path: str, address: str | None = None)
 def stream_topic_tap(events: DataFrame, topic: str, path: str, checkpoint: str) -> None:
     """Append the events of one topic to a Parquet folder as they arrive."""
     run_available(topic_tap(events, topic).writeStream.format("parquet").option("path", path), checkpoint)
+
+
+def stream_payloads(
+    events: DataFrame,
+    topic: str,
+    path: str,
+    checkpoint: str,
+    n: int = EVENTS_PER_FLIGHT,
+    order: Sequence[str] = EVENT_ORDER,
+) -> None:
+    """What a viewer of one topic is sent: the columnar JSON of each flight, batch by batch."""
+
+    def send(batch: DataFrame, batch_id: int) -> None:
+        before = settle(next_numbers(batch.sparkSession, path, batch_id))
+        numbered = running(topic_tap(batch, topic), ["topic"], order, [count_before("offset")])
+        flights = keyed_join(flight_events(numbered, n, order), before, ["topic"], "left", ["flight"])
+        flights = flights.withColumn("flight", F.coalesce("next", F.lit(0)) + F.col("flight")).drop("next")
+        flights = settle(columnar_json(flights))
+        write_batch(flights, path, batch_id)
+        written = flights.groupBy("topic").agg((F.max("flight") + 1).alias("next"))
+        commit_batch(batch.sparkSession, path, batch_id, advance(before, written))
+
+    run_available(events.writeStream.foreachBatch(send), checkpoint)
+
+
+def read_payloads(spark: SparkSession, path: str) -> DataFrame:
+    return read_batches(spark, path).drop("batch_id")
