@@ -24,16 +24,11 @@ SIZES = {
     },
     "0.01": {
         "route_registered": 5969,
-        "dead_letter": 4031,
         "replay_rows": 1952,
         "flight_batches": 1196,
-        "subscribers_current": 5,
         "fan_out": 2480,
         "undelivered_flights": 493,
-        "connect_sessions": 2017,
-        "read_requests": 1503,
         "file_atomic_accept": 9835,
-        "skip_undecodable_skipped": 1043,
     },
 }
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicwell.plans.running import attach, previous, running, total
-from topicwell.session import broadcast_rows, fits, group_rows, settle
+from topicwell.session import broadcast_rows, broadcastable, group_rows, settle
 
 
 def keyed_join(
@@ -40,7 +40,7 @@ def keyed_join(
             condition = condition & (F.col(c) == F.col(names[c]))
         return condition if residual is None else condition & residual
 
-    if fits(right, broadcast_rows(left.sparkSession)):
+    if broadcastable(right):
         return left.join(F.broadcast(right), match(), how).drop(*names.values())
 
     limit = group_rows(left.sparkSession)
@@ -100,10 +100,8 @@ def covered(
     ``number`` is a bigint that rises with ``point`` inside a key, unique per point. ``intervals``
     are timestamps without zone and should be settled. Each matching pair comes out once.
     """
-    spark = points.sparkSession
-    limit = broadcast_rows(spark)
     intervals = intervals.where(F.col(lo) < F.col(hi))
-    if fits(intervals, limit):
+    if broadcastable(intervals):
         step = _steps(intervals, lo, hi)
         if step is None:
             return points if how == "left_anti" else points.join(intervals, key, "inner")
@@ -112,7 +110,7 @@ def covered(
             intervals.withColumn("_step", F.explode(F.sequence(step(F.col(lo)), step(F.col(hi)))))
             .withColumnRenamed(key, "_r_key")
         )
-        if fits(pieces, 4 * limit):
+        if broadcastable(pieces, 4 * broadcast_rows(points.sparkSession)):
             match = (
                 (F.col(key) == F.col("_r_key"))
                 & (step(F.col(point)) == F.col("_step"))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Row, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from topicwell.session import broadcast_rows, fits, group_rows, settle
+from topicwell.session import broadcast_rows, broadcastable, group_rows, settle
 
 WHOLE = -1
 # Steps per piece, as a multiple of those needed if its rows were spread evenly.
@@ -127,14 +127,13 @@ class Cells:
 
 
 def attach(df: DataFrame, table: DataFrame, on: Sequence[str], rows: int | None = None) -> DataFrame:
-    """Left join on null-safe keys; broadcast if the ``rows`` of the table pass the size check.
+    """Left join on null-safe keys; broadcast if the table, or its known ``rows``, pass the size check.
 
     Beyond the check adaptive execution splits the partitions of large keys.
     """
     names = {c: f"_r_{c}" for c in on}
     table = table.select([F.col(c).alias(names.get(c, c)) for c in table.columns])
-    limit = broadcast_rows(df.sparkSession)
-    if fits(table, limit) if rows is None else rows <= limit:
+    if broadcastable(table) if rows is None else rows <= broadcast_rows(df.sparkSession):
         table = F.broadcast(table)
     if not on:
         return df.join(table, how="left")

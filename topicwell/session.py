@@ -6,11 +6,14 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Rows one window task or one join key may hold before the group is split.
 GROUP_ROWS = 1_000_000
-# Rows of a table that may be broadcast; larger tables are joined by a shuffle.
+# Rows and bytes of a table that may be broadcast; larger tables are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 256 * 1024 * 1024
 
 
 def build_session(app: str = "topicwell", master: str | None = None, **conf: str) -> SparkSession:
@@ -39,6 +42,10 @@ def broadcast_rows(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.topicwell.broadcastRows", str(BROADCAST_ROWS)))
 
 
+def broadcast_bytes(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.topicwell.broadcastBytes", str(BROADCAST_BYTES)))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, which every executor can reach.
 
@@ -66,6 +73,17 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fits(df: DataFrame, rows: int) -> bool:
-    """Whether a table has at most ``rows`` rows. Meant for settled tables: it counts them."""
-    return df.count() <= rows
+def broadcastable(df: DataFrame, rows: int | None = None) -> bool:
+    """Whether a table is small enough, in rows and in bytes, to be sent to every executor.
+
+    Meant for settled tables: it reads them once. ``rows`` takes the place of the row limit.
+    """
+    size = F.lit(8 * len(df.columns))
+    for field in df.schema:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(field.name))), F.lit(0))
+    found = df.agg(F.count(F.lit(1)).alias("held"), F.sum(size.cast("bigint")).alias("bytes")).first()
+    limit = broadcast_rows(df.sparkSession) if rows is None else rows
+    return found.held <= limit and (found.bytes or 0) <= broadcast_bytes(df.sparkSession)
