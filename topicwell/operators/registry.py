@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from topicwell.functions import control as body
 from topicwell.functions.endpoints import valid_endpoint
 from topicwell.plans.joins import keyed_join
-from topicwell.plans.running import Scan, count_before, cut, following, previous, running
+from topicwell.plans.running import Cells, Scan, count_before, cut, following, previous, running
 from topicwell.schemas import (
     ADD_TOPIC,
     CONTROL_ORDER,
@@ -113,10 +113,14 @@ def subscription_intervals(
     relevant = control.where(_topic_action() | (_client_action() & valid))
     reset = F.col("action") == REMOVE_TOPIC if additive else _topic_action()
     scans = [_last_action(), following("_reset", F.when(reset, F.col("ts")), CONTROL_ORDER)]
-    judged = running(relevant, ["topic"], CONTROL_ORDER, scans)
+    by_topic = cut(relevant, ["topic"], CONTROL_ORDER)
+    judged = running(relevant, ["topic"], CONTROL_ORDER, scans, by_topic)
     accepted = judged.where(_client_action() & _registered(initial))
-    # The cells are cut on the log itself, which holds every accepted row.
-    own = cut(relevant.where(_client_action()), ["topic", "address"], CONTROL_ORDER)
+    # Where no topic is too large, no address within one is. Otherwise the cells are cut on the
+    # log itself, which holds every accepted row.
+    own = Cells(("topic", "address"), CONTROL_ORDER)
+    if by_topic.levels:
+        own = cut(relevant.where(_client_action()), own.keys, own.order)
     ended = running(
         accepted, ["topic", "address"], CONTROL_ORDER, [following("_next", F.col("ts"), CONTROL_ORDER)], own
     )
