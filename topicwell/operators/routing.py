@@ -34,12 +34,12 @@ def drop_untagged(events: DataFrame) -> DataFrame:
 
 def route_registered(events: DataFrame, topics: DataFrame, row: str = "event_id") -> DataFrame:
     """Events whose topic is registered. ``row`` tells the events of one topic apart."""
-    return keyed_join(events, settle(topics.select("topic").distinct()), ["topic"], "left_semi", [row])
+    return keyed_join(events, settle(topics.select("topic")), ["topic"], "left_semi", [row])
 
 
 def dead_letter(events: DataFrame, topics: DataFrame, row: str = "event_id") -> DataFrame:
     """Events whose topic is not registered, or that have none."""
-    return keyed_join(events, settle(topics.select("topic").distinct()), ["topic"], "left_anti", [row])
+    return keyed_join(events, settle(topics.select("topic")), ["topic"], "left_anti", [row])
 
 
 def topic_tap(events: DataFrame, topic: str) -> DataFrame:

@@ -190,20 +190,23 @@ def cut(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int | No
     pieces = slim.groupBy(*keys).agg(*stats)
     while True:
         large = settle(pieces.where((F.col("_n") > rows) & divisible))
+        if large.isEmpty():
+            return cells
         found = _extent(large)
-        if found["count"] and not cells.levels:
+        if not cells.levels:
             raised = -(-found.held * 2 * STEPS // broadcast_rows(spark))
             if raised > rows:
                 rows = raised
                 large = large.where(F.col("_n") > rows)
                 found = _extent(large)
-        if not found["count"]:
-            return cells
+                if not found["count"]:
+                    return cells
         steps = F.ceil(F.col("_n") * STEPS / rows).cast("bigint")
         cells.levels.append((large.withColumn("_steps", steps), found["count"]))
-        if found.first is not None:
+        kind = df.schema[first].dataType
+        # A time with zone may stand for two instants as text, so its span is not used.
+        if found.first is not None and not isinstance(kind, T.TimestampType):
             # The next pass reads no more of the files than the span of the large pieces.
-            kind = df.schema[first].dataType
             span = F.col(first).between(F.lit(found.first).cast(kind), F.lit(found.last).cast(kind))
             slim = slim.where(F.col(first).isNull() | span)
         inside = cells.assign(slim).where(F.col(cells.columns[-1]) != WHOLE)
