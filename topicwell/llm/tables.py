@@ -133,3 +133,29 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = state
     stars = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return stars.unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+# Rows of a group on either side of one comparison.
+SIDE = 1024
+
+
+def cells(members: DataFrame, key: str, spread: str, side: int = SIDE) -> DataFrame:
+    """Deal the members of each group into cells in which every pair of a group meets exactly once.
+
+    A group of up to ``side`` rows is one cell. A larger one is salted into blocks by hash of
+    ``spread``, and each pair of blocks is a cell, so no task holds a whole group: columns ``_low``
+    and ``_high`` name the cell's blocks, ``_block`` the row's. A pair of rows in a cell of two
+    blocks counts if the rows are from different blocks. Groups of one row are left out.
+    """
+    sizes = members.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 2)
+    counted = members.join(sizes, F.col(key) == F.col("_k")).drop("_k")
+    blocks = F.ceil(F.col("_n") / side).cast("bigint")
+    dealt = counted.withColumn("_blocks", blocks).withColumn("_block", F.pmod(F.xxhash64(spread), F.col("_blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1))
+    met = dealt.withColumn("_other", other)
+    return met.select(
+        *members.columns,
+        F.least("_block", "_other").alias("_low"),
+        F.greatest("_block", "_other").alias("_high"),
+        "_block",
+    )
