@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from topicwell.llm.chat_format import format_turns, read_loss, read_turns
+from topicwell.llm.embedding_dedup import embedding_links
+from topicwell.llm.exact_dedup import exact_groups
+from topicwell.llm.language_id import identify_languages
+from topicwell.llm.mixing import mix_sources
+from topicwell.llm.ngram_join import ngram_links
+from topicwell.llm.packing import pack_documents
+from topicwell.llm.quality import score_quality
 from topicwell.llm.substring_dedup import factor_dedup
 from topicwell.llm.suffix_dedup import suffix_dedup
 
@@ -17,12 +27,78 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def in_fold(of: int, remainder: int) -> Column:
+    """Whether the checksum of the document's id as text has the remainder."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of == remainder
+
+
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_links(_read(spark, sf_dir, "documents"))
+
+
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(_read(spark, sf_dir, "embeddings"))
+
+
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(_read(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_read(spark, sf_dir, "documents"), in_fold(4, 2))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = factor_dedup(_read(spark, sf_dir, "documents"))
     kept = F.sha2(F.col("kept_text").cast("binary"), 256)
     return out.select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
 
 
+def _digest_turns(batches):
+    """Turns and loss text, read back from the formatted conversations."""
+    for batch in batches:
+        turns, loss, n_turns, n_loss = [], [], [], []
+        for formatted, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            read = read_turns(formatted)
+            turns.append(hashlib.sha256("".join(f"{role}\n{text}\n" for role, text in read).encode()).hexdigest())
+            learned = read_loss(formatted, spans)
+            loss.append(hashlib.sha256(learned.encode()).hexdigest())
+            n_turns.append(len(read))
+            n_loss.append(len(learned))
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0),
+                pa.array(n_turns, pa.int64()),
+                pa.array(turns, pa.string()),
+                pa.array(n_loss, pa.int64()),
+                pa.array(loss, pa.string()),
+                batch.column(3),
+            ],
+            ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
+        )
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], turns.schema)
+    out = format_turns(turns.unionByName(probe))
+    read = out.select("conv_id", "formatted", "loss_spans", F.char_length("formatted").cast("bigint").alias("n"))
+    kind = dict(turns.dtypes)["conv_id"]
+    return read.mapInArrow(
+        _digest_turns,
+        f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint",
+    )
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_read(spark, sf_dir, "documents"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_read(spark, sf_dir, "documents"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup(_read(spark, sf_dir, "documents"))
     return out.select(
@@ -34,9 +110,51 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), in_fold(3, 1))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_ngram_join": op1_ngram_join,
+    "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_exact_dedup": op3_exact_dedup,
+    "op4_language_id": op4_language_id,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_chat_format": op6_chat_format,
+    "op7_source_mixing": op7_source_mixing,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_quality": op10_quality,
 }
 
-ORACLE: dict[str, str] = {}
+_NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE: dict[str, str] = {
+    "op3_exact_dedup": f"""
+        SELECT doc_id,
+               max(doc_id) OVER (PARTITION BY n) AS keep_id,
+               count(*) OVER (PARTITION BY n) AS group_size,
+               doc_id = max(doc_id) OVER (PARTITION BY n) AS kept,
+               sha256(n) AS text_sha256
+        FROM (SELECT doc_id, {_NORMAL} AS n FROM documents)""",
+    "op5_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), p AS (
+            SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM d WHERE len(w) >= 13
+        ), win AS (
+            SELECT doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS h FROM p
+        ), hit AS (
+            SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS f FROM win) WHERE f < doc_id
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM hit
+        ), words AS (
+            SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d
+        ), kept AS (
+            SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.i) AS k, count(*) AS n
+            FROM words w ANTI JOIN gone g ON w.doc_id = g.doc_id AND w.i = g.i GROUP BY w.doc_id
+        )
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+               sha256(coalesce(k, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
+}
