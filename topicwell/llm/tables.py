@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from topicwell.session import fresh_path
 
@@ -31,10 +32,17 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 def small(table: DataFrame) -> bool:
     """Whether a settled table of keys passes the size check for a broadcast."""
     spark = table.sparkSession
-    width = reduce(
-        lambda a, b: a + b,
-        [F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0)) if f.dataType.typeName() in ("string", "binary") else F.lit(8) for f in table.schema],
-    )
+
+    def size(field: T.StructField) -> Column:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            held = F.octet_length(field.name)
+        elif isinstance(field.dataType, (T.StructType, T.ArrayType, T.MapType)):
+            held = F.octet_length(F.to_json(F.struct(field.name)))
+        else:
+            held = F.lit(8)
+        return F.coalesce(held, F.lit(0))
+
+    width = reduce(lambda a, b: a + b, map(size, table.schema))
     found = table.agg(F.count(F.lit(1)).alias("n"), F.sum(width.cast("bigint")).alias("b")).first()
     return found.n <= key_rows(spark) and (found.b or 0) <= KEY_BYTES
 
