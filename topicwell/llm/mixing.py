@@ -35,7 +35,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 REPEATS = 2
 BLOCK = 128
-SHARD_ROWS = 20_000
+SHARD_ROWS = 4_000
 SEED = 17
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -223,7 +223,8 @@ def mix_sources(
         F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")) & (F.col("block") == F.col("_block"))
     )
     taken = F.when(F.col("size") > 0, inside * F.coalesce("times", F.lit(0))).otherwise(F.lit(0))
-    joined = pieces.join(times, match, "left").select("source", "shard", "id", "start", "size", taken.alias("part"))
+    # Spark takes the blocks for as small as the quotas that they are listed from, and would broadcast them.
+    joined = pieces.join(times.hint("merge"), match, "left").select("source", "shard", "id", "start", "size", taken.alias("part"))
     # Rows with words differ in their start; equal rows without words are counted.
     copies = F.when(F.col("size") > 0, F.lit(1)).otherwise(F.count(F.lit(1)))
     whole = joined.groupBy("source", "shard", "id", "start", "size").agg(
