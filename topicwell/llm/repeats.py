@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from topicwell.llm import arrays as A
 from topicwell.llm.tables import beside, having, settle
 
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 # Symbols that one task compares in step 3.
 COMPARED = 1 << 20
 
@@ -93,10 +93,9 @@ def runs(values: np.ndarray, bounds: np.ndarray, spec: Windows):
     return [np.concatenate(x) for x in zip(*found)]
 
 
-def row_key(key: object, text: bytes) -> bytes:
-    digest = hashlib.blake2b(repr(key).encode() + b"\0", digest_size=16)
-    digest.update(text)
-    return digest.digest()
+def row_key(text: bytes) -> int:
+    """Tells texts under one id apart."""
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -123,18 +122,17 @@ def _list_runs(spec: Windows):
             for first, buffer, bounds in _texts(batch):
                 row, start, length, mark, content, tied = runs(*spec.values(buffer, bounds), spec)
                 rows, at = np.unique(row, return_inverse=True)
-                keys = [row_key(ids[first + int(r)].as_py(), buffer[bounds[r] : bounds[r + 1]].tobytes()) for r in rows]
+                keys = [row_key(buffer[bounds[r] : bounds[r + 1]].tobytes()) for r in rows]
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.take(pa.array(row + first)),
-                        pa.array(keys, pa.binary()).take(pa.array(at)),
-                        pa.array(start),
-                        pa.array(length),
+                        pa.array(np.array(keys, np.int64)[at]),
+                        # One number, as rows are shuffled: start, length up to SEGMENT, tied.
+                        pa.array(start << 21 | length << 1 | tied),
                         pa.array(mark.view(np.int64)),
                         pa.array(content.view(np.int64)),
-                        pa.array(tied),
                     ],
-                    ["id", "row_key", "start", "length", "mark", "content", "tied"],
+                    ["id", "row_key", "place", "mark", "content"],
                 )
 
     return listed
@@ -149,7 +147,7 @@ def _fetch_runs(spec: Windows):
             ids, texts, asked = batch.column(0), batch.column(1), batch.column(2)
             for i in range(batch.num_rows):
                 text = (texts[i].as_py() or "").encode()
-                key = row_key(ids[i].as_py(), text)
+                key = row_key(text)
                 own = [a for a in asked[i].as_py() if a["row_key"] == key]
                 if not own:
                     continue
@@ -216,9 +214,22 @@ def removed_ranges(
     again = settle(marks.groupBy("mark").agg(F.sum("n").alias("n")).where(F.col("n") >= 2).select("mark"), "marks")
     listed = docs.mapInArrow(
         _list_runs(spec),
-        f"id {kind}, row_key binary, start bigint, length bigint, mark bigint, content bigint, tied boolean",
+        f"id {kind}, row_key bigint, place bigint, mark bigint, content bigint",
+    )
+    # The marks grow with the corpus, so they are never broadcast.
+    length = F.shiftright("place", 1).bitwiseAND(F.lit((1 << 20) - 1))
+    places = settle(
+        listed.join(again.hint("merge"), "mark", "left_semi").select(
+            "id",
+            "row_key",
+            F.shiftright("place", 21).alias("start"),
+            length.alias("length"),
+            "mark",
+            "content",
+            (F.col("place") % 2 == 1).alias("tied"),
+        ),
+        "runs",
     )
-    places = settle(having(listed, again), "runs")
     contents = settle(
         places.groupBy("mark", "content").agg(
             F.count(F.lit(1)).alias("n"),
@@ -275,12 +286,11 @@ def removed_ranges(
     return settle(found, "ranges")
 
 
-def own_ranges(key: object, text: bytes, ranges: list | None) -> tuple[np.ndarray, np.ndarray]:
-    """The merged ranges of one row, from those gathered under its id."""
-    own = [(r["start"], r["end"]) for r in ranges or () if r["row_key"] is not None]
-    if not own:
+def own_ranges(text: bytes, ranges: list | None) -> tuple[np.ndarray, np.ndarray]:
+    """The merged ranges of one text, from those gathered under its id."""
+    if not ranges:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    mine = row_key(key, text)
+    mine = row_key(text)
     own = np.array([(r["start"], r["end"]) for r in ranges if r["row_key"] == mine], np.int64).reshape(-1, 2)
     return A.merged(own[:, 0], own[:, 1])
 
