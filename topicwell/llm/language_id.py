@@ -177,7 +177,7 @@ def _fit_scale(raw: np.ndarray, target: np.ndarray) -> tuple[float, float, float
 
 
 def learn_languages(rows: DataFrame, sample: int = SAMPLE) -> LanguageModel:
-    """Fit on ``id, text, lang``. Counts are over all rows; scales on about ``sample`` of them, by hash."""
+    """Fit on ``text, lang``. Counts are over all rows; scales on about ``sample`` of them, by hash of the text."""
     rows = rows.where(F.col("lang").isNotNull())
     counted = rows.select("lang", "text").mapInArrow(_counts, "lang string, bucket int, n bigint")
     sums = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
@@ -204,7 +204,7 @@ def learn_languages(rows: DataFrame, sample: int = SAMPLE) -> LanguageModel:
         return model
     total = rows.count()
     of = max(1, total // sample)
-    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(of)) == 0).select("lang", "text").limit(2 * sample)
+    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(of)) == 0).select("lang", "text").limit(2 * sample)
     seen = chosen.mapInArrow(_raw_margins(model), "lang string, raw array<double>").toArrow()
     if not seen.num_rows:
         return model
@@ -247,7 +247,7 @@ def identify_languages(docs: DataFrame, held_out: Column, id_col: str = "doc_id"
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), held_out.alias("held_out")
     )
-    model = learn_languages(rows.where(~F.col("held_out")).select("id", "text", "lang"))
+    model = learn_languages(rows.where(~F.col("held_out")).select("text", "lang"))
     kind = dict(rows.dtypes)["id"]
     out = rows.select("id", "text", F.coalesce("held_out", F.lit(False)).alias("held_out")).mapInArrow(
         _predicted(model), f"id {kind}, held_out boolean, lang_pred string, score double, ambiguous boolean"

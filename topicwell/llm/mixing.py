@@ -135,11 +135,16 @@ def mix_sources(
     block: int = BLOCK,
     shard_rows: int = SHARD_ROWS,
     seed: int = SEED,
+    hash_col: str | None = None,
 ) -> DataFrame:
-    """``id_col, size, source_size, target, taken``, one row per row of ``docs``."""
+    """``id_col, size, source_size, target, taken``, one row per row of ``docs``.
+
+    Shards and seeded order go by the hash of ``hash_col``, or of the id.
+    """
     sized = settle(
         docs.select(
             F.col(id_col).alias("id"),
+            F.xxhash64(F.col(hash_col or id_col), F.lit(seed)).alias("hash"),
             F.col(source_col).cast("string").alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
         ),
@@ -157,7 +162,7 @@ def mix_sources(
         return df.join(table, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
     sharded = with_source(sized, sharding).select(
-        "id", "source", "size", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("shards")).alias("shard")
+        "id", "hash", "source", "size", F.pmod(F.col("hash"), F.col("shards")).alias("shard")
     )
     shards = settle(sharded.groupBy("source", "shard").agg(F.sum("size").alias("shard_size")), "shards")
 
@@ -209,7 +214,7 @@ def mix_sources(
     )
 
     # Where each document lies in its shard's line of words.
-    line = Window.partitionBy("source", "shard").orderBy(F.xxhash64("id", F.lit(seed + 1)), F.col("id"), F.col("size"))
+    line = Window.partitionBy("source", "shard").orderBy(F.xxhash64("hash"), F.col("id"), F.col("size"))
     end = F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     placed = sharded.withColumn("end", end).withColumn("start", F.col("end") - F.col("size"))
     crossed = F.explode(
