@@ -75,7 +75,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns = docs.columns
     docs = _placed(docs)
-    taken = mix_sources(docs, id_col="_row").where(F.col("taken") > 0)
+    taken = mix_sources(docs, id_col="_row", hash_col="doc_id").where(F.col("taken") > 0)
     taken = settle(taken.select(F.col("_row").alias("_mixed"), "size", "taken").toDF("_mixed", "_size", "_taken"), "mixed")
     match = F.col("_row").eqNullSafe(F.col("_mixed"))
     chosen = docs.join(F.broadcast(taken) if small(taken) else taken, match)
