@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicwell.llm.links import LINKS, empty_links, link_batch, summed
-from topicwell.llm.tables import cells, parts, settle
+from topicwell.llm.tables import bounded_batches, cells, parts, settle
 
 THRESHOLD = 0.9
 NEAREST = 7
@@ -166,6 +166,7 @@ def embedding_links(
     sample: int = SAMPLE,
 ) -> DataFrame:
     """``id_col, n_links, component_id, kept``, one row per row of ``vectors``."""
+    bounded_batches(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     kind = dict(rows.dtypes)["id"]
     known = settle(rows.mapInArrow(_classes, f"id {kind}, class binary, vector binary"), "vectors")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicwell.llm import arrays as A
-from topicwell.llm.tables import having, settle
+from topicwell.llm.tables import bounded_batches, having, settle
 
 ROLLING = 48
 MEAN = 4096
@@ -102,6 +102,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Of equal texts the row with the largest id stays.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]
     recipes = settle(

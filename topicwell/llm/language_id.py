@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicwell.llm import arrays as A
+from topicwell.llm.tables import bounded_batches
 
 UND = "und"
 BITS = 14
@@ -244,6 +245,7 @@ def identify_languages(docs: DataFrame, held_out: Column, id_col: str = "doc_id"
     Learns from the rows for which ``held_out`` is false; a null there is not learned from and
     reported as false.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), held_out.alias("held_out")
     )

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from topicwell.llm import arrays as A
 from topicwell.llm.links import LINKS, empty_links, link_batch, summed
-from topicwell.llm.tables import cells, having, parts, settle
+from topicwell.llm.tables import bounded_batches, cells, having, parts, settle
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -240,6 +240,7 @@ def ngram_links(
     shingles, ``n_links`` the number of other documents at the threshold or above, and ``kept`` says
     that the document is the one of its class that stays.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]
     known = settle(

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicwell.llm import arrays as A
-from topicwell.llm.tables import parts, settle
+from topicwell.llm.tables import bounded_batches, parts, settle
 from topicwell.llm.tokens import default_path, tokens
 
 CAPACITY = 1024
@@ -288,6 +288,7 @@ def pack_documents(
 
     ``tokenizer`` is the path of a byte-level BPE file that every executor can read.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]
     columns = f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"

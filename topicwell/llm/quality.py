@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicwell.llm import arrays as A
-from topicwell.llm.tables import having, settle
+from topicwell.llm.tables import bounded_batches, having, settle
 
 ROWS = 20_000
 BINS = 32
@@ -282,6 +282,7 @@ def score_quality(
     ``held_out`` is over ``id_col`` and read from both tables: labels for which it is true or null
     are not learned from, and null is reported as false.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out.alias("held_out"))
     learned = labels.where(~held_out).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
     model = learn_quality(rows, learned)

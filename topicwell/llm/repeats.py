@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicwell.llm import arrays as A
-from topicwell.llm.tables import beside, having, settle
+from topicwell.llm.tables import beside, bounded_batches, having, settle
 
 SEGMENT = 1 << 19
 # Symbols that one task compares in step 3.
@@ -209,6 +209,7 @@ def removed_ranges(
     ``partly`` that the comparison decides. ``joins``, over ``n``, says which run contents have to
     be looked up at all. ``compare`` marks the windows of different runs that are hits.
     """
+    bounded_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["id"]
     marks = docs.mapInArrow(_count_marks(spec), "mark bigint, n bigint")
     again = settle(marks.groupBy("mark").agg(F.sum("n").alias("n")).where(F.col("n") >= 2).select("mark"), "marks")

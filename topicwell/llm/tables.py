@@ -16,6 +16,17 @@ KEY_ROWS = 1_500_000
 KEY_BYTES = 48 * 1024 * 1024
 
 
+# Rows of one Arrow batch. Texts are long, and a batch is held twice outside the JVM's heap.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Shorten the session's Arrow batches, unless the cluster or the caller has set their length."""
+    if spark.conf.get(_BATCH) == "10000" and not spark.sparkContext.getConf().contains(_BATCH):
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def key_rows(spark: SparkSession) -> int:
     """``spark.topicwell.llm.keyRows`` or the default; tests set it to 0 to take the shuffled way."""
     return int(spark.conf.get("spark.topicwell.llm.keyRows", str(KEY_ROWS)))
