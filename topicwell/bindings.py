@@ -101,7 +101,7 @@ def requests(committed: DataFrame) -> DataFrame:
     """Eight read requests per topic around the ends of its log, and eight for an unknown topic."""
     spark = committed.sparkSession
     asked = spark.createDataFrame([(i, t) for i, t in enumerate([*TOPICS, "bogus"])], "place int, topic string")
-    ends = asked.join(F.broadcast(committed), "topic", "left")
+    ends = asked.join(committed, "topic", "left")
     c = F.coalesce("committed", F.lit(0))
     offsets = F.array(F.lit(0), F.lit(4), c - 101, c - 100, c - 1, c, c + 5, F.lit(-1))
     each = ends.select("place", "topic", F.posexplode(offsets).alias("i", "offset"))

@@ -124,6 +124,7 @@ _CURRENT = """last_topic AS (SELECT topic, arg_max(action, (ts, seq)) AS action
   WHERE action IN ('add_topic', 'remove_topic') GROUP BY 1),
 current AS (SELECT t.topic FROM (SELECT unnest(['click', 'purchase', 'view']) AS topic UNION SELECT topic FROM last_topic) t
   LEFT JOIN last_topic l ON t.topic = l.topic WHERE coalesce(l.action, 'add_topic') = 'add_topic')"""
+_LATE_FILES = """files AS (SELECT event_id, strftime(ts, '%Y-%m-%d-%H') AS file, event_id % 1000 = 507 AS bad FROM events)"""
 _FILES = """files AS (SELECT event_id, strftime(ts, '%Y-%m-%d-%H') AS file, event_id % 1000 = 7 AS bad FROM events)"""
 
 ORACLE: dict[str, str] = {
@@ -144,7 +145,7 @@ ORACLE: dict[str, str] = {
         _FILES, then="SELECT event_id, file FROM files WHERE file NOT IN (SELECT file FROM files WHERE bad)"
     ),
     "file_atomic_accept_strict": _with(
-        _FILES, then="SELECT event_id, file FROM files WHERE file < (SELECT min(file) FROM files WHERE bad)"
+        _LATE_FILES, then="SELECT event_id, file FROM files WHERE file < (SELECT min(file) FROM files WHERE bad)"
     ),
     "with_surrogate_id": """SELECT CAST(row_number() OVER (ORDER BY ts, event_id) AS BIGINT) AS id, event_id, ts
 FROM events""",
@@ -155,10 +156,6 @@ FROM events""",
   CAST(2 * sum(price) AS DECIMAL(20,2)) AS sum_price FROM ticks GROUP BY 1""",
     ),
     "scan_count": "SELECT CAST(count(*) AS BIGINT) AS n_rows FROM events",
-    "generate_ticks": """SELECT event_type AS stock_symbol, CAST(count(*) AS BIGINT) AS n_rows,
-  CAST(count(*) AS BIGINT) AS price_ok, CAST(count(*) AS BIGINT) AS volume_ok, CAST(count(*) AS BIGINT) AS quotes_ok,
-  CAST(count(*) AS BIGINT) AS spread_ok, TIMESTAMP '2025-03-27 09:00:00' AS first_second,
-  true AS at_most_30, true AS every_second FROM events GROUP BY 1""",
     "point_lookup": """SELECT event_id, ts, user_id, event_type, value, props FROM events
 WHERE event_type = 'click' AND ts = (SELECT min(ts) FROM events WHERE event_type = 'click')""",
     "quote_spread": _with(

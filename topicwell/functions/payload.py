@@ -21,6 +21,12 @@ _JSON_TYPES = (
 )
 
 
+def _time_text(value: Column) -> Column:
+    """Seconds, and six digits of a fraction that is not zero."""
+    text = F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return F.when(F.endswith(text, F.lit(".000000")), F.substring(text, 1, 19)).otherwise(text)
+
+
 def columnar_payload(rows: Column, fields: Sequence[T.StructField]) -> Column:
     """JSON object with one array per field from an array of row structs; nulls are kept."""
 
@@ -28,6 +34,8 @@ def columnar_payload(rows: Column, fields: Sequence[T.StructField]) -> Column:
         column = rows.getField(field.name)
         if isinstance(field.dataType, _JSON_TYPES):
             return column
+        if isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
+            return F.transform(column, _time_text)
         return F.transform(column, lambda v: v.cast("string"))
 
     columns = F.struct(*[values(f).alias(f.name) for f in fields])

@@ -27,6 +27,7 @@ def split_valid_ticks(text: DataFrame) -> tuple[DataFrame, DataFrame]:
             continue
         lost = value.isNotNull() & value.try_cast(kind).isNull()
         if kind.startswith("decimal"):
+            bad.append((lost & F.isnan(value.try_cast("double")), f"{field.name}_not_a_number"))
             bad.append((lost & value.try_cast("double").isNotNull(), f"{field.name}_overflow"))
         bad.append((lost, f"{field.name}_invalid"))
 
@@ -62,12 +63,15 @@ def file_atomic_accept(
     return keyed_join(rows, bad_files, [file], "left_anti", [row])
 
 
-def with_surrogate_id(rows: DataFrame, order: tuple[str, str] | None = None) -> DataFrame:
-    """Add a unique ``id``: rising with gaps, or dense from 1 along ``order``."""
+def with_surrogate_id(rows: DataFrame, order: tuple[str, str] | None = None, start: int = 1) -> DataFrame:
+    """Add a unique ``id``: rising with gaps, or dense along ``order``.
+
+    ``start`` is the first id: one more than the largest of an earlier load.
+    """
     if order is None:
-        return rows.select((F.monotonically_increasing_id() + 1).alias("id"), "*")
+        return rows.select((F.monotonically_increasing_id() + start).alias("id"), "*")
     numbered = running(rows, [], order, [count_before("_before")])
-    return numbered.select((F.col("_before") + 1).alias("id"), *rows.columns)
+    return numbered.select((F.col("_before") + start).alias("id"), *rows.columns)
 
 
 def scan_count(rows: DataFrame) -> DataFrame:

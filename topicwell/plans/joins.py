@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicwell.plans.running import attach, previous, running, total
+from topicwell.schemas import OPEN_END
 from topicwell.session import broadcast_rows, broadcastable, group_rows, settle
 
 
@@ -99,8 +100,13 @@ def covered(
     matched by the numbers of the points (``inner``) or by counting open intervals (``left_anti``).
     ``number`` is a bigint that rises with ``point`` inside a key, unique per point. ``intervals``
     are timestamps without zone and should be settled. Each matching pair comes out once.
+
+    Equal intervals count once, an interval without a key or a start holds nothing, and one without
+    an end is open, whichever way the join goes.
     """
-    intervals = intervals.where(F.col(lo) < F.col(hi))
+    open_end = F.coalesce(F.col(hi), F.lit(OPEN_END).cast("timestamp_ntz"))
+    intervals = intervals.withColumn(hi, open_end).where(F.col(key).isNotNull() & (F.col(lo) < F.col(hi)))
+    intervals = intervals.dropDuplicates()
     if broadcastable(intervals):
         step = _steps(intervals, lo, hi)
         if step is None:

@@ -6,7 +6,7 @@ of the key's order, each below the limit. A running value is then the value insi
 from an ordinary window, combined with what the earlier (or later) cells of the key carry over.
 
 Cells are found by counting, level by level. A piece that is too large is divided into equal
-steps of its first order column, or of its second where the first has a single value, until no
+steps of its first order column, or of its second where the first has a single value and no nulls, until no
 piece is too large. A cell is named by its step numbers, one column per level, so cells of a key
 sort like the rows in them. What is not divided at a level has step -1 there; a key below the
 limit is not divided at all and needs no carry.
@@ -122,7 +122,7 @@ class Cells:
             df = attach(df, level, [*self.keys, *names[:depth]], pieces)
             step = F.when(F.col("_n").isNotNull(), _step(df, self.order[0], self.order[1]))
             df = df.withColumn(names[depth], F.coalesce(step, F.lit(WHOLE).cast("bigint")))
-            df = df.drop("_n", "_lo0", "_hi0", "_lo1", "_hi1", "_steps")
+            df = df.drop("_n", "_held", "_lo0", "_hi0", "_lo1", "_hi1", "_steps")
         return df
 
 
@@ -162,9 +162,15 @@ def _step(df: DataFrame, first: str, second: str) -> Column:
         wide = [c.cast("double") for c in (value, low, high)]
         return F.when(span.isNotNull(), near).otherwise(share(wide[0] - wide[1], wide[2] - wide[1]))
 
-    by_first = bucket(first, "_lo0", "_hi0")
+    # Nulls sort first, in step 0. One value beside nulls is one step of its own.
+    by_first = F.when(F.col("_lo0") < F.col("_hi0"), bucket(first, "_lo0", "_hi0")).when(F.col(first).isNotNull(), 1)
     by_second = bucket(second, "_lo1", "_hi1")
-    return F.coalesce(F.when(F.col("_lo0") < F.col("_hi0"), by_first).otherwise(by_second), F.lit(0))
+    return F.coalesce(F.when(_divided_by_first(), by_first).otherwise(by_second), F.lit(0))
+
+
+def _divided_by_first() -> Column:
+    """Whether the first order column tells rows of a piece apart: several values, or one and nulls."""
+    return (F.col("_lo0") < F.col("_hi0")) | ((F.col("_held") > 0) & (F.col("_held") < F.col("_n")))
 
 
 def cut(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int | None = None) -> Cells:
@@ -181,12 +187,13 @@ def cut(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int | No
     slim = df.select(*{*keys, first, second})
     stats = [
         F.count(F.lit(1)).alias("_n"),
+        F.count(first).alias("_held"),
         F.min(first).alias("_lo0"),
         F.max(first).alias("_hi0"),
         F.min(second).alias("_lo1"),
         F.max(second).alias("_hi1"),
     ]
-    divisible = (F.col("_lo0") < F.col("_hi0")) | (F.col("_lo1") < F.col("_hi1"))
+    divisible = F.coalesce(_divided_by_first(), F.lit(False)) | F.coalesce(F.col("_lo1") < F.col("_hi1"), F.lit(False))
     pieces = slim.groupBy(*keys).agg(*stats)
     while True:
         large = settle(pieces.where((F.col("_n") > rows) & divisible))

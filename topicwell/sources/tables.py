@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from topicwell.schemas import TICK_FILE
 
 
 def append_ticks(ticks: DataFrame, path: str) -> None:
@@ -13,6 +15,11 @@ def append_ticks(ticks: DataFrame, path: str) -> None:
     ticks.hint("rebalance", "stock_symbol").write.mode("append").partitionBy("stock_symbol").parquet(path)
 
 
+def read_ticks(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``append_ticks`` writes. Symbols stay text: ``0700`` is not read as a number."""
+    return spark.read.schema(TICK_FILE).parquet(path)
+
+
 def partition_by_topic(events: DataFrame, path: str, mode: str = "errorifexists", order: str | None = None) -> None:
     """Write one folder per topic. ``order`` sorts each file, so that its statistics narrow reads."""
     spread = events.hint("rebalance", "topic")
