@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from topicwell.operators.replay import Grid
 from topicwell.schemas import ADD_TOPIC, REMOVE_TOPIC, SUBSCRIBE, UNSUBSCRIBE
+from topicwell.session import literal_rows
 
 # The registered topics, in this order, and the replay grid.
 TOPICS = ["click", "purchase", "view"]
@@ -19,7 +20,6 @@ def number() -> Column:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", number())
 
 
@@ -28,7 +28,7 @@ def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topics(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(t,) for t in TOPICS], "topic string")
+    return literal_rows(spark, "topic", TOPICS)
 
 
 def pick(names: list[str], index: Column) -> Column:

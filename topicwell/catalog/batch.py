@@ -11,6 +11,7 @@ from topicwell import bindings as b
 from topicwell.functions import control as bodies
 from topicwell.functions.endpoints import valid_endpoint
 from topicwell.operators import backlog, delivery, offsets, registry, replay, routing, validation
+from topicwell.schemas import DATA_SECTION_BYTES, QUEUE_SLOTS
 from topicwell.session import fresh_path, settle
 from topicwell.sources import tables, ticks
 
@@ -26,6 +27,24 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offsets.assign_offsets(_routed(spark, sf_dir).select(*EVENT))
 
 
+def write_log(spark: SparkSession, sf_dir: str) -> str:
+    """The routed events as a written log, by topic and offset."""
+    path = fresh_path(spark, "log")
+    tables.partition_by_topic(_log(spark, sf_dir), path, order="offset")
+    return path
+
+
+_logs: dict[tuple[str, str], str] = {}
+
+
+def written_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log that readers read. A session writes it once for each table folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _logs:
+        _logs[key] = write_log(spark, sf_dir)
+    return spark.read.schema("event_id bigint, ts timestamp_ntz, offset bigint, topic string").parquet(_logs[key])
+
+
 def _flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delivery.flight_batches(_routed(spark, sf_dir).select(*EVENT))
 
@@ -88,10 +107,7 @@ def append_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "ticks")
     for _ in range(2):
         tables.append_ticks(b.ticks(spark, sf_dir), path)
-    appended = tables.read_ticks(spark, path)
-    return appended.groupBy("stock_symbol").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum("price").alias("sum_price")
-    )
+    return tables.read_ticks(spark, path)
 
 
 def scan_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,6 +183,7 @@ def replay_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         "topic",
         "part",
+        "n_parts",
         F.size(rows).cast("bigint").alias("n_rows"),
         F.get(rows, F.lit(0))["event_id"].alias("first_event"),
         F.get(rows, F.size(rows) - 1)["event_id"].alias("last_event"),
@@ -217,8 +234,8 @@ def subscribers_current(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def subscriber_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = b.control(spark, sf_dir)
-    lists = registry.subscriber_lists(control, b.TOPICS, control.select("topic").distinct())
-    return lists.select("topic", "page", "n", F.array_join("addresses", ",").alias("addresses"))
+    lists = registry.subscriber_lists(control, b.TOPICS, control.select("topic").distinct(), page_rows=3)
+    return lists.withColumn("addresses", F.array_join("addresses", ","))
 
 
 def connect_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,16 +274,20 @@ def prune_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def columnar_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the payloads hold, read back from their text."""
+    """What the payloads hold, read back from their text; some values are missing."""
+    ticks = b.tagged(spark, sf_dir).withColumn("value", F.when(F.col("k") % 10 != 0, F.col("value")))
+    events = replay.replay_events(ticks, b.GRID, ["event_id", "ts", "value"])
     held = F.from_json("payload", "event_id array<bigint>, ts array<string>, value array<double>")
-    parsed = delivery.columnar_json(_replayed(spark, sf_dir)).withColumn("held", held)
+    parsed = delivery.columnar_json(events).withColumn("held", held)
+    values = F.col("held.value").cast("array<decimal(18,6)>").cast("array<string>")
     return parsed.select(
         "slot",
         "topic",
         "part",
+        "n_parts",
         F.array_join(F.col("held.event_id").cast("array<string>"), ",").alias("event_ids"),
-        F.size("held.ts").cast("bigint").alias("n_ts"),
-        F.size("held.value").cast("bigint").alias("n_value"),
+        F.array_join("held.ts", ",").alias("times"),
+        F.array_join(values, ",", "null").alias("vals"),
     )
 
 
@@ -279,21 +300,21 @@ def assign_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def committed_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return offsets.committed_offsets(_log(spark, sf_dir), b.topics(spark))
+    return offsets.committed_offsets(written_log(spark, sf_dir), b.topics(spark))
 
 
 def read_from_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return offsets.read_from_offset(_log(spark, sf_dir), "view", 4)
+    return offsets.read_from_offset(written_log(spark, sf_dir), "view", 4)
 
 
 def read_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = _log(spark, sf_dir)
+    log = written_log(spark, sf_dir)
     asked = b.requests(settle(offsets.committed_offsets(log)))
     return offsets.read_requests(log, asked).select("request_id", "topic", "offset", "event_id")
 
 
 def resume_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    committed = settle(offsets.committed_offsets(_log(spark, sf_dir)))
+    committed = settle(offsets.committed_offsets(written_log(spark, sf_dir)))
     return offsets.resume_plan(b.requests(committed), committed)
 
 
@@ -303,11 +324,12 @@ def topic_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queue_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backlog.queue_depth(b.queue_ops(spark, sf_dir)).select("seq", "depth", "at_capacity")
+    return backlog.queue_depth(b.queue_ops(spark, sf_dir), QUEUE_SLOTS).select("seq", "depth", "at_capacity")
 
 
 def byte_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backlog.byte_backlog(b.queue_ops(spark, sf_dir), F.col("size")).select("seq", "bytes_used", "pct")
+    waiting = backlog.byte_backlog(b.queue_ops(spark, sf_dir), F.col("size"), DATA_SECTION_BYTES)
+    return waiting.select("seq", "bytes_used", "pct")
 
 
 QUERIES: dict[str, Query] = {

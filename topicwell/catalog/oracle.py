@@ -68,7 +68,7 @@ _SLOTS = """grid AS (
   SELECT CAST(i AS BIGINT) AS slot, TIMESTAMP '2024-01-01' + to_hours(CAST(i AS INTEGER)) AS t,
          ['click', 'purchase', 'view'][CAST(i % 3 AS INTEGER) + 1] AS topic FROM range(720) r(i)),
 placed AS (
-  SELECT g.slot, g.t, g.topic, e.event_id, e.ts, e.value
+  SELECT g.slot, g.t, g.topic, e.event_id, e.ts, e.value, e.props
   FROM grid g LEFT JOIN events e ON e.event_type = g.topic AND date_trunc('hour', e.ts) = g.t)"""
 
 _OPS = """ops AS (
@@ -152,8 +152,8 @@ FROM events""",
     "append_ticks": _with(
         _EV,
         _TICKS,
-        then="""SELECT stock_symbol, CAST(2 * count(*) AS BIGINT) AS n_rows,
-  CAST(2 * sum(price) AS DECIMAL(20,2)) AS sum_price FROM ticks GROUP BY 1""",
+        then="""SELECT "timestamp", stock_symbol, price, volume, bid_price, ask_price, spread
+  FROM ticks, range(2)""",
     ),
     "scan_count": "SELECT CAST(count(*) AS BIGINT) AS n_rows FROM events",
     "point_lookup": """SELECT event_id, ts, user_id, event_type, value, props FROM events
@@ -178,7 +178,8 @@ WHERE event_type = 'click' AND ts = (SELECT min(ts) FROM events WHERE event_type
     "replay_rows": _with(_SLOTS, then=f"SELECT slot, {_EVENT} FROM placed WHERE event_id IS NOT NULL"),
     "replay_events": _with(
         _SLOTS,
-        then="""SELECT slot, topic, CAST(0 AS BIGINT) AS part, CAST(count(event_id) AS BIGINT) AS n_rows,
+        then="""SELECT slot, topic, CAST(0 AS BIGINT) AS part, CAST(1 AS BIGINT) AS n_parts,
+  CAST(count(event_id) AS BIGINT) AS n_rows,
   arg_min(event_id, (ts, event_id)) AS first_event, arg_max(event_id, (ts, event_id)) AS last_event
   FROM placed GROUP BY 1, 2""",
     ),
@@ -213,10 +214,15 @@ WHERE event_type = 'click' AND ts = (SELECT min(ts) FROM events WHERE event_type
         _CTL,
         _INTERVALS,
         _CURRENT,
-        then="""SELECT t.topic, CAST(0 AS BIGINT) AS page, CAST(count(address) AS BIGINT) AS n,
-  coalesce(string_agg(address, ',' ORDER BY address), '') AS addresses
-  FROM (SELECT topic FROM current UNION SELECT topic FROM ctl) t
-  LEFT JOIN (SELECT * FROM intervals WHERE valid_to = TIMESTAMP '9999-01-01') i ON t.topic = i.topic GROUP BY 1""",
+        """members AS (SELECT topic, address,
+    row_number() OVER (PARTITION BY topic ORDER BY address) - 1 AS place, count(*) OVER (PARTITION BY topic) AS total
+  FROM intervals WHERE valid_to = TIMESTAMP '9999-01-01')""",
+        then="""SELECT t.topic, CAST(coalesce(place // 3, 0) AS BIGINT) AS page, CAST(count(address) AS BIGINT) AS n,
+  coalesce(string_agg(address, ',' ORDER BY address), '') AS addresses,
+  CAST(coalesce(any_value(total), 0) AS BIGINT) AS n_total,
+  CAST(coalesce((any_value(total) + 2) // 3, 1) AS BIGINT) AS n_pages
+  FROM (SELECT topic FROM current UNION SELECT topic FROM ctl) t LEFT JOIN members m ON t.topic = m.topic
+  GROUP BY 1, 2""",
     ),
     "connect_sessions": _with(
         _EV,
@@ -276,9 +282,13 @@ WHERE event_type = 'click' AND ts = (SELECT min(ts) FROM events WHERE event_type
     ),
     "columnar_json": _with(
         _SLOTS,
-        then="""SELECT slot, topic, CAST(0 AS BIGINT) AS part,
+        then="""SELECT slot, topic, CAST(0 AS BIGINT) AS part, CAST(1 AS BIGINT) AS n_parts,
   coalesce(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_id), '') AS event_ids,
-  CAST(count(event_id) AS BIGINT) AS n_ts, CAST(count(event_id) AS BIGINT) AS n_value FROM placed GROUP BY 1, 2""",
+  coalesce(string_agg(CASE WHEN epoch_us(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S')
+    ELSE strftime(ts, '%Y-%m-%d %H:%M:%S.%f') END, ',' ORDER BY ts, event_id), '') AS times,
+  coalesce(string_agg(CASE WHEN CAST(regexp_extract(props, '[0-9]+') AS INTEGER) % 10 = 0 THEN 'null'
+    ELSE CAST(CAST(value AS DECIMAL(18,6)) AS VARCHAR) END, ',' ORDER BY ts, event_id), '') AS vals
+  FROM placed GROUP BY 1, 2""",
     ),
     "delivery_stats": _with(
         _EV,

@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicwell.plans.running import Cells, cut, lowest, running, total
-from topicwell.schemas import DATA_SECTION_BYTES, QUEUE_SLOTS
-from topicwell.session import settle
+from topicwell.session import settle_table
 
 WRITE, READ = "write", "read"
 _ORDER = ("ts", "seq")
@@ -39,7 +38,7 @@ def _depths(ops: DataFrame, cells: Cells) -> DataFrame:
     )
 
 
-def queue_depth(ops: DataFrame, capacity: int = QUEUE_SLOTS) -> DataFrame:
+def queue_depth(ops: DataFrame, capacity: int) -> DataFrame:
     """Depth after each operation; a queue of ``capacity`` slots is full at ``capacity - 1``."""
     ops = _relevant(ops).select("seq", "ts", "op")
     cells = cut(ops, [], _ORDER)
@@ -47,7 +46,7 @@ def queue_depth(ops: DataFrame, capacity: int = QUEUE_SLOTS) -> DataFrame:
     return depths.select("seq", "ts", "op", "depth", (F.col("depth") >= capacity - 1).alias("at_capacity"))
 
 
-def byte_backlog(ops: DataFrame, size: Column, section: int = DATA_SECTION_BYTES) -> DataFrame:
+def byte_backlog(ops: DataFrame, size: Column, section: int) -> DataFrame:
     """Bytes waiting after each operation, and their share of the data section in percent.
 
     The k-th read that finds something frees the bytes of the k-th write.
@@ -59,7 +58,8 @@ def byte_backlog(ops: DataFrame, size: Column, section: int = DATA_SECTION_BYTES
         total("_writes", F.when(is_write, 1).otherwise(0)),
         total("_reads", F.when(F.col("frees"), 1).otherwise(0)),
     ]
-    numbered = settle(running(_depths(cells.assign(ops), cells), [], _ORDER, turn, cells).drop(*cells.columns))
+    numbered = running(_depths(cells.assign(ops), cells), [], _ORDER, turn, cells).drop(*cells.columns)
+    numbered = settle_table(numbered, "operations")
     place = ["seq", "ts", "op"]
     writes = numbered.where(is_write).select(*place, "size", F.col("_writes").alias("_no"))
     reads = numbered.where("frees").select(*place, F.col("_reads").alias("_no"))

@@ -12,7 +12,7 @@ from topicwell.functions.payload import columnar_payload
 from topicwell.operators.offsets import assign_offsets
 from topicwell.plans.joins import covered, keyed_join
 from topicwell.schemas import EVENT_ORDER, EVENTS_PER_FLIGHT
-from topicwell.session import settle
+from topicwell.session import settle, settle_table
 
 DELIVERED, FAILED = "delivered", "failed"
 
@@ -63,14 +63,14 @@ def flight_events(log: DataFrame, n: int = EVENTS_PER_FLIGHT, order: Sequence[st
 
 def fan_out(flights: DataFrame, intervals: DataFrame) -> DataFrame:
     """One delivery per flight and address subscribed at the time the flight is drained."""
-    return covered(flights, settle(intervals), "topic", "fts", "flight", "valid_from", "valid_to").select(
+    return covered(flights, intervals, "topic", "fts", "flight", "valid_from", "valid_to").select(
         *flights.columns, "address"
     )
 
 
 def undelivered_flights(flights: DataFrame, intervals: DataFrame) -> DataFrame:
     """Flights drained while nobody was subscribed."""
-    return covered(flights, settle(intervals), "topic", "fts", "flight", "valid_from", "valid_to", "left_anti")
+    return covered(flights, intervals, "topic", "fts", "flight", "valid_from", "valid_to", "left_anti")
 
 
 def delivery_outcomes(deliveries: DataFrame, failed: Column) -> DataFrame:
@@ -79,11 +79,15 @@ def delivery_outcomes(deliveries: DataFrame, failed: Column) -> DataFrame:
 
 
 def prune_failed(deliveries: DataFrame, failed: Column) -> DataFrame:
-    """Deliveries of viewers that are dropped at their first failure: that one is the last."""
-    first = settle(deliveries.where(failed).groupBy("topic", "address").agg(F.min("flight").alias("_first_failed")))
+    """Deliveries of viewers that are dropped at their first failure: that one is the last.
+
+    The deliveries are written once and read twice, for the first failures and for the rows.
+    """
+    deliveries = settle_table(deliveries.withColumn("_failed", failed), "deliveries")
+    first = settle(deliveries.where("_failed").groupBy("topic", "address").agg(F.min("flight").alias("_first_failed")))
     known = keyed_join(deliveries, first, ["topic", "address"], "left", ["flight"])
     kept = F.col("_first_failed").isNull() | (F.col("flight") <= F.col("_first_failed"))
-    return known.where(kept).drop("_first_failed")
+    return known.where(kept).drop("_first_failed", "_failed")
 
 
 def delivery_stats(deliveries: DataFrame) -> DataFrame:

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from topicwell.plans.joins import keyed_join
 from topicwell.plans.running import count_before, running, total
 from topicwell.schemas import EVENT_ORDER, READ_HORIZON, RECORD_OVERHEAD
-from topicwell.session import settle
+from topicwell.session import settle, settle_table, settle_with
 
+# Offsets of a read request that are made from one row.
+BLOCK = 1024
 # Values of ``status`` in a resume plan.
 OK, CLAMPED, NO_DATA, ERROR, UNKNOWN_TOPIC = "ok", "clamped", "no_data", "error", "unknown_topic"
 
@@ -84,16 +86,21 @@ def _plan(requests: DataFrame, committed: DataFrame, horizon: int) -> DataFrame:
 def read_requests(log: DataFrame, requests: DataFrame, horizon: int = READ_HORIZON) -> DataFrame:
     """The events of many read requests ``(request_id, topic, offset)`` at once.
 
-    No read reaches back more than ``horizon`` events, so each request names at most that many
-    offsets and the log is narrowed to the tail of each topic before the join.
+    No read reaches back more than ``horizon`` events, so the log is narrowed to the tail of each
+    topic before the join. The first offset that any topic needs is a literal and reaches the scan
+    of a written log. The offsets of a request are made block by block, whatever the horizon.
     """
-    committed = settle(committed_offsets(log))
-    tail = keyed_join(log, committed, ["topic"], "inner", ["offset"])
-    tail = settle(tail.where(F.col("offset") >= F.col("committed") - horizon).drop("committed"))
+    committed, seen = settle_with(committed_offsets(log), first=F.min("committed"))
+    tail = keyed_join(log.where(F.col("offset") >= (seen["first"] or 0) - horizon), committed, ["topic"], "inner", ["offset"])
+    tail = settle_table(tail.where(F.col("offset") >= F.col("committed") - horizon).drop("committed"), "tail")
     plan = _plan(requests, committed, horizon).where(F.col("status").isin(OK, CLAMPED))
-    wanted = plan.select(
-        "request_id",
-        "topic",
-        F.explode(F.sequence(F.col("start"), F.col("committed") - 1)).alias("offset"),
-    )
+    size = F.lit(BLOCK).cast("bigint")
+    last = F.col("committed") - 1
+
+    def block(value: Column) -> Column:
+        return F.call_function("div", value, size)
+
+    blocks = plan.withColumn("_block", F.explode(F.sequence(block(F.col("start")), block(last))))
+    inside = F.sequence(F.greatest("start", F.col("_block") * size), F.least(last, F.col("_block") * size + size - 1))
+    wanted = blocks.select("request_id", "topic", F.explode(inside).alias("offset"))
     return keyed_join(wanted, tail, ["topic", "offset"], "inner", ["request_id"])

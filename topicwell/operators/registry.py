@@ -8,6 +8,7 @@ drops the set. ``initial`` names the topics registered before the first row.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from os.path import commonprefix
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from topicwell.schemas import (
     SUBSCRIBE,
     UNSUBSCRIBE,
 )
-from topicwell.session import settle
+from topicwell.session import literal_rows, settle, settle_with
 
 SUCCESS, REFUSED, EXCEPTION = "Success", "error", "exception"
 # Addresses in one row of a subscriber list; a longer list has several pages.
@@ -72,7 +73,7 @@ def control_responses(control: DataFrame, initial: Sequence[str]) -> DataFrame:
 
 
 def _initial_topics(control: DataFrame, initial: Sequence[str]) -> DataFrame:
-    return control.sparkSession.createDataFrame([(t,) for t in sorted(set(initial))], "topic string")
+    return literal_rows(control.sparkSession, "topic", sorted(set(initial)))
 
 
 def topics_current(control: DataFrame, initial: Sequence[str]) -> DataFrame:
@@ -173,17 +174,29 @@ def subscriber_lists(
 ) -> DataFrame:
     """The subscribers of each topic as sorted arrays, empty for a topic without any.
 
-    ``asked`` names further topics, which get an empty list when they are not registered. Lists
-    of more than ``page_rows`` addresses come as pages 0, 1, 2, ...
+    ``asked`` names further topics, which get an empty list when they are not registered. A list
+    of more than ``page_rows`` addresses comes as pages 0, 1, 2, ...: put together in this order
+    they are the sorted list. ``n`` is the size of the page, ``n_total`` that of the list, and
+    ``n_pages`` tells when the list is complete. A list without addresses has one empty page.
     """
-    members = settle(subscribers_current(control, initial)).withColumn("_hash", F.xxhash64("address"))
-    paged = running(members, ["topic"], ["_hash", "_hash", "address"], [count_before("_before")])
+    ends = {"first": F.min("address"), "last": F.max("address")}
+    members, seen = settle_with(subscribers_current(control, initial), **ends)
+    shared = len(commonprefix([seen["first"] or "", seen["last"] or ""]))
+    # Large lists are cut by the bytes after the prefix that all addresses share.
+    rest = F.expr(f"substring(address, {shared + 1})").cast("binary")
+    for place, name in enumerate(("_head", "_next")):
+        digits = F.rpad(F.hex(F.substring(rest, 7 * place + 1, 7)), 14, "0")
+        members = members.withColumn(name, F.conv(digits, 16, 10).cast("bigint"))
+    paged = running(members, ["topic"], ["_head", "_next", "address"], [count_before("_before")])
     pages = (
         paged.withColumn("page", F.call_function("div", F.col("_before"), F.lit(page_rows)))
         .groupBy("topic", "page")
         .agg(F.array_sort(F.collect_list("address")).alias("addresses"))
         .select("topic", "page", F.size("addresses").cast("bigint").alias("n"), "addresses")
     )
+    totals = settle(members.groupBy("topic").agg(F.count(F.lit(1)).alias("n_total")))
+    pages = keyed_join(pages, totals, ["topic"], "inner", ["page"])
+    pages = pages.withColumn("n_pages", F.ceil(F.col("n_total") / page_rows).cast("bigint"))
     topics = topics_current(control, initial)
     if asked is not None:
         topics = topics.unionByName(asked.select("topic")).distinct()
@@ -194,6 +207,8 @@ def subscriber_lists(
         F.lit(0).cast("bigint").alias("page"),
         F.lit(0).cast("bigint").alias("n"),
         F.array().cast("array<string>").alias("addresses"),
+        F.lit(0).cast("bigint").alias("n_total"),
+        F.lit(1).cast("bigint").alias("n_pages"),
     )
     return pages.unionByName(empty)
 

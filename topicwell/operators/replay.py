@@ -8,8 +8,10 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from topicwell.plans.joins import keyed_join
 from topicwell.plans.running import count_before, running
 from topicwell.schemas import EVENT_ORDER
+from topicwell.session import settle
 
 # Ticks in one array of a replayed event; a larger event has several parts.
 PART_ROWS = 10_000
@@ -87,7 +89,7 @@ def replay_events(
     """The event of every slot with its ticks as one ordered array ``rows``, empty if it has none.
 
     An event of more than ``part_rows`` ticks comes as parts 0, 1, 2, ... so that no single row
-    grows with the data.
+    grows with the data; ``n_parts`` tells how many there are. An empty event has one part.
     """
     columns = list(columns or events.columns)
     placed = grid.place(events, order[0])
@@ -99,10 +101,14 @@ def replay_events(
         .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("rows"))
         .select(*grid.describe(), "part", "rows")
     )
+    # One row per slot of the grid.
+    sizes = settle(placed.groupBy("slot").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("bigint").alias("n_parts")))
+    parts = keyed_join(parts, sizes, ["slot"], "inner", ["part"])
     # Empty events are added rather than joined, so the parts of a large one do not meet in one task.
-    empty = grid.slots(events).join(placed.select("slot").distinct(), "slot", "left_anti")
-    return parts.unionByName(
-        empty.withColumn("part", F.lit(0).cast("bigint")).withColumn(
-            "rows", F.array().cast(parts.schema["rows"].dataType)
-        )
+    empty = grid.slots(events).join(sizes, "slot", "left_anti").select(
+        "*",
+        F.lit(0).cast("bigint").alias("part"),
+        F.array().cast(parts.schema["rows"].dataType).alias("rows"),
+        F.lit(1).cast("bigint").alias("n_parts"),
     )
+    return parts.unionByName(empty)

@@ -29,7 +29,8 @@ def tag_topic(events: DataFrame, topic: Column) -> DataFrame:
 
 
 def drop_untagged(events: DataFrame) -> DataFrame:
-    return events.where(F.col("topic").isNotNull())
+    """Events with a topic; an empty text counts as none, as it names no folder of a table."""
+    return events.where(F.col("topic") != "")
 
 
 def route_registered(events: DataFrame, topics: DataFrame, row: str = "event_id") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from topicwell.plans.running import attach, previous, running, total
 from topicwell.schemas import OPEN_END
-from topicwell.session import broadcast_rows, broadcastable, group_rows, settle
+from topicwell.session import broadcastable, fits, group_rows, settle, settle_table, settle_with, table_size
 
 
 def keyed_join(
@@ -33,6 +33,7 @@ def keyed_join(
     """
     keys = list(on)
     names = {c: f"_r_{c}" for c in keys}
+    small = broadcastable(right)
     right = right.select([F.col(c).alias(names.get(c, c)) for c in right.columns])
 
     def match(*extra: Column) -> Column:
@@ -41,7 +42,7 @@ def keyed_join(
             condition = condition & (F.col(c) == F.col(names[c]))
         return condition if residual is None else condition & residual
 
-    if broadcastable(right):
+    if small:
         return left.join(F.broadcast(right), match(), how).drop(*names.values())
 
     limit = group_rows(left.sparkSession)
@@ -62,35 +63,41 @@ def keyed_join(
     return joined.drop("_part", "_r_part", *names.values())
 
 
-def _steps(intervals: DataFrame, lo: str, hi: str) -> Callable[[Column], Column] | None:
+def _steps(
+    intervals: DataFrame, lo: str, hi: str, first: str, last: str
+) -> Callable[[Column], Column]:
     """A time step that never falls as time rises, about as long as the mean interval.
 
-    Only the intervals are looked at. Times before the first or after the last start are taken
-    as that start, so an interval without an end reaches the last step and no further.
+    ``first`` and ``last`` are the first and last start. Times outside are taken as these, so an
+    interval without an end reaches the last step and no further. There are at most as many steps
+    as keep the pieces of all intervals below ``PIECES`` times their number.
     """
-    seen = intervals.agg(F.min(lo).cast("string").alias("first"), F.max(lo).cast("string").alias("last")).first()
-    if seen.first is None:
-        return None
-    first, last = F.lit(seen.first).cast("timestamp_ntz"), F.lit(seen.last).cast("timestamp_ntz")
+    begin, end = F.lit(first).cast("timestamp_ntz"), F.lit(last).cast("timestamp_ntz")
 
     def seconds(span: Column) -> Column:
         return span.cast("interval second").cast("decimal(20,6)").cast("double")
 
     def inside(value: Column) -> Column:
-        return F.least(F.greatest(value, first), last)
+        return F.least(F.greatest(value, begin), end)
 
     mean = F.greatest(F.avg(seconds(inside(F.col(hi)) - F.col(lo))), F.lit(1e-6))
-    steps = intervals.agg(F.ceil(seconds(last - first) / mean).alias("steps")).first().steps
+    # The table is known to be small; one partition spares a shuffle.
+    steps = intervals.coalesce(1).agg(F.ceil(seconds(end - begin) / mean).alias("steps")).first().steps
     count = F.lit(max(int(steps), 1)).cast("bigint")
     zero = F.expr("interval '0' second")
 
     def step(value: Column) -> Column:
-        bucket = F.call_function("width_bucket", inside(value) - first, zero, last - first, count)
+        bucket = F.call_function("width_bucket", inside(value) - begin, zero, end - begin, count)
         return F.coalesce(bucket, F.lit(0))
 
     return step
 
 
+# A step is at least half the mean interval long, so n intervals of length L reach at most
+# n * L / (L / 2) + 2 n steps.
+PIECES = 4
+
+
 def covered(
     points: DataFrame, intervals: DataFrame, key: str, point: str, number: str, lo: str, hi: str, how: str = "inner"
 ) -> DataFrame:
@@ -99,32 +106,29 @@ def covered(
     Few intervals are cut at time steps and broadcast, so the points are not shuffled. Many are
     matched by the numbers of the points (``inner``) or by counting open intervals (``left_anti``).
     ``number`` is a bigint that rises with ``point`` inside a key, unique per point. ``intervals``
-    are timestamps without zone and should be settled. Each matching pair comes out once.
+    are timestamps without zone. Each matching pair comes out once.
 
     Equal intervals count once, an interval without a key or a start holds nothing, and one without
     an end is open, whichever way the join goes.
     """
     open_end = F.coalesce(F.col(hi), F.lit(OPEN_END).cast("timestamp_ntz"))
     intervals = intervals.withColumn(hi, open_end).where(F.col(key).isNotNull() & (F.col(lo) < F.col(hi)))
-    intervals = intervals.dropDuplicates()
-    if broadcastable(intervals):
-        step = _steps(intervals, lo, hi)
-        if step is None:
-            return points if how == "left_anti" else points.join(intervals, key, "inner")
-        # Steps as long as the mean interval give about three pieces per interval.
-        pieces = settle(
-            intervals.withColumn("_step", F.explode(F.sequence(step(F.col(lo)), step(F.col(hi)))))
-            .withColumnRenamed(key, "_r_key")
+    starts = {"first": F.min(lo).cast("string"), "last": F.max(lo).cast("string")}
+    intervals, seen = settle_with(intervals.dropDuplicates(), **starts)
+    if seen["first"] is None:
+        return points if how == "left_anti" else points.join(intervals, key, "inner")
+    rows, size = table_size(intervals)
+    if fits(points.sparkSession, rows, PIECES * (size + 8 * rows)):
+        step = _steps(intervals, lo, hi, seen["first"], seen["last"])
+        pieces = intervals.withColumn("_step", F.explode(F.sequence(step(F.col(lo)), step(F.col(hi)))))
+        match = (
+            (F.col(key) == F.col("_r_key"))
+            & (step(F.col(point)) == F.col("_step"))
+            & (F.col(lo) <= F.col(point))
+            & (F.col(point) < F.col(hi))
         )
-        if broadcastable(pieces, 4 * broadcast_rows(points.sparkSession)):
-            match = (
-                (F.col(key) == F.col("_r_key"))
-                & (step(F.col(point)) == F.col("_step"))
-                & (F.col(lo) <= F.col(point))
-                & (F.col(point) < F.col(hi))
-            )
-            return points.join(F.broadcast(pieces), match, how).drop("_r_key", "_step")
-    points = settle(points)
+        return points.join(F.broadcast(pieces.withColumnRenamed(key, "_r_key")), match, how).drop("_r_key", "_step")
+    points = settle_table(points, "points")
     if how == "left_anti":
         return _uncovered(points, intervals, key, point, number, lo, hi)
     return _covered_runs(points, intervals, key, point, number, lo, hi)
@@ -167,8 +171,8 @@ def _covered_runs(
         .select("_row.*", "_from", "_to")
         .drop("_span")
     )
-    runs = settle(runs)
-    mean = runs.agg(F.avg(F.col("_to") - F.col("_from"))).first()[0] or 1
+    runs, seen = settle_with(runs, mean=F.avg(F.col("_to") - F.col("_from")))
+    mean = seen["mean"] or 1
     block = F.lit(max(1, min(int(mean), 1024))).cast("bigint")
     wide = F.lit(1024).cast("bigint")
 

@@ -18,11 +18,11 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from topicwell.session import broadcast_rows, broadcastable, group_rows, settle
+from topicwell.session import broadcast_rows, fits, group_rows, settle, settle_with, table_size
 
 WHOLE = -1
 # Steps per piece, as a multiple of those needed if its rows were spread evenly.
@@ -40,6 +40,8 @@ class Scan:
     merge: Callable[[Column, Column], Column]
     # Whether the windows run against the order. Spark runs forward frames in linear time only.
     backward: bool = False
+    # Whether the summary is the number of rows, which cutting has counted already.
+    counts: bool = False
 
 
 def _upto(window: WindowSpec) -> WindowSpec:
@@ -58,6 +60,7 @@ def count_before(name: str) -> Scan:
         F.count(F.lit(1)),
         lambda s, w: F.sum(s).over(_before(w)),
         lambda carry, local: F.coalesce(carry, F.lit(0)) + local,
+        counts=True,
     )
 
 
@@ -105,35 +108,60 @@ def following(name: str, value: Column, order: Sequence[str]) -> Scan:
 
 @dataclass(frozen=True)
 class Cells:
-    """How the large keys of one table are cut. ``levels`` holds the divided pieces and their number."""
+    """How the large keys of one table are cut.
+
+    ``levels`` holds the divided pieces with their rows and bytes, ``counted`` the pieces of each
+    division, large ones included.
+    """
 
     keys: tuple[str, ...]
     order: tuple[str, ...]
-    levels: list[tuple[DataFrame, int]] = field(default_factory=list)
+    levels: list[tuple[DataFrame, tuple[int, int]]] = field(default_factory=list)
+    counted: list[DataFrame] = field(default_factory=list)
 
     @property
     def columns(self) -> list[str]:
         return [f"_cell{i}" for i in range(len(self.levels))]
 
     def assign(self, df: DataFrame) -> DataFrame:
-        """Add the cell columns to every row. The divided pieces are few, so no row is shuffled."""
+        """Add the cell columns to every row.
+
+        The divided pieces are few, so no row is shuffled; beyond the size check rows are joined by
+        the key, and adaptive execution splits the partitions of large ones.
+        """
         names = self.columns
-        for depth, (level, pieces) in enumerate(self.levels):
-            df = attach(df, level, [*self.keys, *names[:depth]], pieces)
+        for depth, (level, size) in enumerate(self.levels):
+            df = attach(df, level, [*self.keys, *names[:depth]], size)
             step = F.when(F.col("_n").isNotNull(), _step(df, self.order[0], self.order[1]))
             df = df.withColumn(names[depth], F.coalesce(step, F.lit(WHOLE).cast("bigint")))
             df = df.drop("_n", "_held", "_lo0", "_hi0", "_lo1", "_hi1", "_steps")
         return df
 
-
-def attach(df: DataFrame, table: DataFrame, on: Sequence[str], rows: int | None = None) -> DataFrame:
-    """Left join on null-safe keys; broadcast if the table, or its known ``rows``, pass the size check.
+    def sizes(self) -> DataFrame:
+        """``_n`` rows of every cell of the divided keys, as cutting has counted them."""
+        names = self.columns
+        parts = []
+        for depth, pieces in enumerate(self.counted, 1):
+            if depth < len(self.levels):
+                # What the next level divides is counted there, cell by cell.
+                on = [*self.keys, *names[:depth]]
+                divided = self.levels[depth][0].select(*[F.col(c).alias(f"_d_{c}") for c in on])
+                match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_d_{c}")) for c in on])
+                pieces = pieces.join(divided, match, "left_anti")
+            whole = [F.lit(WHOLE).cast("bigint").alias(c) for c in names[depth:]]
+            parts.append(pieces.select(*self.keys, *names[:depth], *whole, "_n"))
+        return reduce(DataFrame.unionByName, parts)
+
+
+def attach(df: DataFrame, table: DataFrame, on: Sequence[str], size: tuple[int, int] | None = None) -> DataFrame:
+    """Left join on null-safe keys; broadcast if the rows and bytes of the table pass the size check.
 
     Beyond the check adaptive execution splits the partitions of large keys.
     """
     names = {c: f"_r_{c}" for c in on}
+    small = fits(df.sparkSession, *(size or table_size(table)))
     table = table.select([F.col(c).alias(names.get(c, c)) for c in table.columns])
-    if broadcastable(table) if rows is None else rows <= broadcast_rows(df.sparkSession):
+    if small:
         table = F.broadcast(table)
     if not on:
         return df.join(table, how="left")
@@ -176,6 +204,8 @@ def _divided_by_first() -> Column:
 def cut(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int | None = None) -> Cells:
     """Find the cells of ``df``. One counting pass, and one more per level of division.
 
+    A pass is one write of the pieces; what else is asked of them is measured on the way.
+
     Any table may be counted that holds at least the rows the cells are used on. The first two
     order columns are numbers or timestamps. The limit rises with the rows of the large keys, so
     that all cells together stay within what may be broadcast.
@@ -195,38 +225,36 @@ def cut(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int | No
     ]
     divisible = F.coalesce(_divided_by_first(), F.lit(False)) | F.coalesce(F.col("_lo1") < F.col("_hi1"), F.lit(False))
     pieces = slim.groupBy(*keys).agg(*stats)
-    while True:
-        large = settle(pieces.where((F.col("_n") > rows) & divisible))
-        if large.isEmpty():
-            return cells
-        found = _extent(large)
-        if not cells.levels:
-            raised = -(-found.held * 2 * STEPS // broadcast_rows(spark))
-            if raised > rows:
-                rows = raised
-                large = large.where(F.col("_n") > rows)
-                found = _extent(large)
-                if not found["count"]:
-                    return cells
+    large, found = settle_with(pieces.where((F.col("_n") > rows) & divisible), **_extent(F.lit(True)))
+    raised = -(-(found["held"] or 0) * 2 * STEPS // broadcast_rows(spark))
+    if raised > rows:
+        rows = raised
+        large, found = settle_with(large.where(F.col("_n") > rows), **_extent(F.lit(True)))
+    while found["count"]:
         steps = F.ceil(F.col("_n") * STEPS / rows).cast("bigint")
-        cells.levels.append((large.withColumn("_steps", steps), found["count"]))
+        cells.levels.append((large.withColumn("_steps", steps), (found["count"], found["bytes"] + 8 * found["count"])))
         kind = df.schema[first].dataType
         # A time with zone may stand for two instants as text, so its span is not used.
-        if found.first is not None and not isinstance(kind, T.TimestampType):
+        if found["first"] is not None and not isinstance(kind, T.TimestampType):
             # The next pass reads no more of the files than the span of the large pieces.
-            span = F.col(first).between(F.lit(found.first).cast(kind), F.lit(found.last).cast(kind))
+            span = F.col(first).between(F.lit(found["first"]).cast(kind), F.lit(found["last"]).cast(kind))
             slim = slim.where(F.col(first).isNull() | span)
         inside = cells.assign(slim).where(F.col(cells.columns[-1]) != WHOLE)
-        pieces = inside.groupBy(*keys, *cells.columns).agg(*stats)
+        too_large = (F.col("_n") > rows) & divisible
+        counted, found = settle_with(inside.groupBy(*keys, *cells.columns).agg(*stats), **_extent(too_large))
+        cells.counted.append(counted)
+        large = counted.where(too_large)
+    return cells
 
 
-def _extent(pieces: DataFrame) -> Row:
-    return pieces.agg(
-        F.count(F.lit(1)).alias("count"),
-        F.sum("_n").alias("held"),
-        F.min("_lo0").cast("string").alias("first"),
-        F.max("_hi0").cast("string").alias("last"),
-    ).first()
+def _extent(of: Column) -> dict[str, Column]:
+    """Number, rows and span of the pieces that ``of`` marks."""
+    return {
+        "count": F.count(F.when(of, 1)),
+        "held": F.sum(F.when(of, F.col("_n"))),
+        "first": F.min(F.when(of, F.col("_lo0"))).cast("string"),
+        "last": F.max(F.when(of, F.col("_hi0"))).cast("string"),
+    }
 
 
 def running(
@@ -240,6 +268,7 @@ def running(
 
     Rows that already have the columns of ``cells`` keep them, and several calls share one shuffle.
     """
+    own = cells is None
     cells = cells or cut(df, keys, order)
     columns = df.columns
 
@@ -256,11 +285,14 @@ def running(
 
     names = cells.columns
     rows = df if names[0] in columns else cells.assign(df)
-    summary = (
-        rows.where(F.col(names[0]) != WHOLE)
-        .groupBy(*keys, *names)
-        .agg(*[s.summary.alias(f"_sum_{s.name}") for s in scans])
-    )
+    if own and all(s.counts for s in scans):
+        summary = cells.sizes().select(*keys, *names, *[F.col("_n").alias(f"_sum_{s.name}") for s in scans])
+    else:
+        summary = (
+            rows.where(F.col(names[0]) != WHOLE)
+            .groupBy(*keys, *names)
+            .agg(*[s.summary.alias(f"_sum_{s.name}") for s in scans])
+        )
     cells_of = windows(keys, names)
     carries = [s.carry(F.col(f"_sum_{s.name}"), cells_of(s)).alias(f"_carry_{s.name}") for s in scans]
     # One row per cell of the divided keys; ``cut`` bounds their number.

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,8 +27,6 @@ def build_session(app: str = "topicwell", master: str | None = None, **conf: str
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        # Settled tables are deleted when nothing refers to them any more.
-        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for name, value in settings.items():
@@ -63,27 +63,82 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no earlier run has used."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no earlier run has used.
 
+    The paths of an application lie in one folder, which may be deleted when the application has ended.
+    """
+    return f"{shared_dir(spark)}/topicwell-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
-def settle(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared folder and cut its lineage there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
 
+def literal_rows(spark: SparkSession, column: str, values: Sequence[str]) -> DataFrame:
+    """A short list of texts as a table whose rows are literals of the plan."""
+    names = {f"v{i}": v for i, v in enumerate(values)}
+    rows = ", ".join(f"(:{n})" for n in names) or "(CAST(NULL AS STRING))"
+    table = spark.sql(f"SELECT * FROM VALUES {rows} AS t({column})", args=names or None)
+    return table if names else table.where(F.lit(False))
 
-def broadcastable(df: DataFrame, rows: int | None = None) -> bool:
-    """Whether a table is small enough, in rows and in bytes, to be sent to every executor.
 
-    Meant for settled tables: it reads them once. ``rows`` takes the place of the row limit.
-    """
+def _rows_in_plan(df: DataFrame) -> int | None:
+    """The number of rows if they are literals of the plan, which every task is sent anyway."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return plan.data().size() if plan.getClass().getSimpleName() == "LocalRelation" else None
+
+
+# Rows and bytes of the tables that ``settle`` has written.
+_sizes: WeakKeyDictionary[DataFrame, tuple[int, int]] = WeakKeyDictionary()
+
+
+def _row_bytes(df: DataFrame) -> Column:
     size = F.lit(8 * len(df.columns))
     for field in df.schema:
         if isinstance(field.dataType, (T.StringType, T.BinaryType)):
             size = size + F.coalesce(F.octet_length(field.name), F.lit(0))
         elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
             size = size + F.coalesce(F.octet_length(F.to_json(F.struct(field.name))), F.lit(0))
-    found = df.agg(F.count(F.lit(1)).alias("held"), F.sum(size.cast("bigint")).alias("bytes")).first()
-    limit = broadcast_rows(df.sparkSession) if rows is None else rows
-    return found.held <= limit and (found.bytes or 0) <= broadcast_bytes(df.sparkSession)
+    return size.cast("bigint")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once into the shared folder and cut its lineage there."""
+    return df if _rows_in_plan(df) is not None else settle_with(df)[0]
+
+
+def settle_with(df: DataFrame, **facts: Column) -> tuple[DataFrame, dict]:
+    """As ``settle``, with aggregates taken while the table is written. Its size is kept for later checks."""
+    spark = df.sparkSession
+    path = fresh_path(spark, "settled")
+    seen = Observation()
+    measured = {"rows": F.count(F.lit(1)), "bytes": F.coalesce(F.sum(_row_bytes(df)), F.lit(0)), **facts}
+    df.observe(seen, *[c.alias(n) for n, c in measured.items()]).write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    found = seen.get
+    _sizes[table] = (found["rows"], found["bytes"])
+    return table, found
+
+
+def settle_table(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that grows with the data to the shared folder, by columns, and read it from there."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fits(spark: SparkSession, rows: int, size: int) -> bool:
+    """Whether a table of so many rows and bytes may be broadcast."""
+    return rows <= broadcast_rows(spark) and size <= broadcast_bytes(spark)
+
+
+def table_size(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes: known for literal rows and settled tables, else counted by reading the table once."""
+    held = _rows_in_plan(df)
+    if held is not None:
+        return held, 0
+    if df not in _sizes:
+        found = df.agg(F.count(F.lit(1)).alias("held"), F.sum(_row_bytes(df)).alias("bytes")).first()
+        _sizes[df] = (found.held, found.bytes or 0)
+    return _sizes[df]
+
+
+def broadcastable(df: DataFrame) -> bool:
+    """Whether a table is small enough, in rows and in bytes, to be sent to every executor."""
+    return fits(df.sparkSession, *table_size(df))

@@ -21,7 +21,10 @@ def read_ticks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def partition_by_topic(events: DataFrame, path: str, mode: str = "errorifexists", order: str | None = None) -> None:
-    """Write one folder per topic. ``order`` sorts each file, so that its statistics narrow reads."""
+    """Write one folder per topic. ``order`` sorts each file, so that its statistics narrow reads.
+
+    Events without a topic, an empty one included, lie in the default folder and are read as null.
+    """
     spread = events.hint("rebalance", "topic")
     if order:
         spread = spread.sortWithinPartitions("topic", order)
