@@ -11,6 +11,7 @@ from topicwell.functions.control import parse_control
 from topicwell.functions.endpoints import valid_endpoint
 from topicwell.operators import backlog, delivery, offsets, registry, replay, routing, validation
 from topicwell.schemas import TICK_TEXT
+from tick_maker import generate_ticks
 from topicwell.sources import tables, ticks
 
 T0 = datetime(2024, 1, 1)
@@ -132,7 +133,7 @@ def test_file_rules(spark):
 
 
 def test_append_twice(spark, tmp_path):
-    made = ticks.generate_ticks(spark, ["ABC", "XYZ", "LMN"], 300, seed=1)
+    made = generate_ticks(spark, ["ABC", "XYZ", "LMN"], 300, seed=1)
     path = str(tmp_path / "table")
     for _ in range(2):
         tables.append_ticks(made, path)
@@ -145,8 +146,8 @@ def test_append_twice(spark, tmp_path):
 
 
 def test_generated_ticks(spark, small_limits):
-    made = ticks.generate_ticks(spark, ["ABC", "XYZ"], 3100, seed=7).collect()
-    again = ticks.generate_ticks(spark, ["ABC", "XYZ"], 3100, seed=7).collect()
+    made = generate_ticks(spark, ["ABC", "XYZ"], 3100, seed=7).collect()
+    again = generate_ticks(spark, ["ABC", "XYZ"], 3100, seed=7).collect()
     assert sorted(map(str, made)) == sorted(map(str, again))
     for symbol in ("ABC", "XYZ"):
         own = [r for r in made if r.stock_symbol == symbol]
@@ -262,10 +263,16 @@ def test_replayed_event_parts(spark):
     events = replay.replay_events(df, grid, ["event_id"], part_rows=10).orderBy("slot", "part").collect()
     assert [(r.slot, r.part, len(r.rows)) for r in events] == [(0, 0, 10), (0, 1, 10), (0, 2, 5), (1, 0, 0)]
     assert [x.event_id for r in events for x in r.rows] == list(range(25))
+    assert [r.n_parts for r in events] == [3, 3, 3, 1]
+    replayed = replay.replay_events(df, grid, ["event_id"], part_rows=10)
+    sent = delivery.columnar_json(replayed).orderBy("slot", "part").collect()
+    assert [(r.part, r.n_parts) for r in sent] == [(0, 3), (1, 3), (2, 3), (0, 1)]
+    assert [i for r in sent for i in json.loads(r.payload)["event_id"]] == list(range(25))
 
 
 def test_untagged_and_unknown_topics(spark):
     df = spark.createDataFrame([(1, "a"), (2, None), (3, "z")], "event_id bigint, topic string")
+    assert routing.drop_untagged(df.withColumn("topic", F.lit(""))).count() == 0
     topics = spark.createDataFrame([("a",), ("a",), ("b",)], "topic string")
     assert [r.event_id for r in routing.drop_untagged(df).orderBy("event_id").collect()] == [1, 3]
     assert [r.event_id for r in routing.route_registered(df, topics).collect()] == [1]

@@ -85,8 +85,8 @@ def test_queue(spark, writes, limit):
     wanted = model.queue(ops)
     df = spark.createDataFrame(rows, "seq bigint, ts timestamp_ntz, op string, size int").repartition(3)
     with limits(spark, *limit):
-        depth = {r.seq: r.depth for r in backlog.queue_depth(df).collect()}
-        used = {r.seq: r.bytes_used for r in backlog.byte_backlog(df, F.col("size")).collect()}
+        depth = {r.seq: r.depth for r in backlog.queue_depth(df, 1000).collect()}
+        used = {r.seq: r.bytes_used for r in backlog.byte_backlog(df, F.col("size"), 1000).collect()}
     assert [depth[i] for i in range(len(ops))] == [d for d, _ in wanted]
     assert [used[i] for i in range(len(ops))] == [b for _, b in wanted]
 
@@ -137,14 +137,18 @@ def test_registry_edges(spark):
     assert run(unsub) == ([], ["Success"])
 
 
-def test_subscriber_list_pages(spark):
+@LIMITS
+def test_subscriber_list_pages(spark, limit):
     rows = [
         {"seq": i, "ts": T0 + timedelta(seconds=i), "action": "subscribe", "topic": "t", "address": f"h{i}:1"}
         for i in range(25)
     ]
     asked = spark.createDataFrame([("nowhere",)], "topic string")
-    lists = registry.subscriber_lists(_frame(spark, rows), ["t", "idle"], asked, page_rows=10).collect()
+    with limits(spark, *limit):
+        lists = registry.subscriber_lists(_frame(spark, rows), ["t", "idle"], asked, page_rows=10).collect()
     of = {(r.topic, r.page): r for r in lists}
     assert {k: r.n for k, r in of.items()} == {("t", 0): 10, ("t", 1): 10, ("t", 2): 5, ("idle", 0): 0, ("nowhere", 0): 0}
     assert sorted(a for r in lists for a in r.addresses) == sorted(f"h{i}:1" for i in range(25))
-    assert of[("t", 0)].addresses == sorted(of[("t", 0)].addresses)
+    in_order = [a for page in range(3) for a in of[("t", page)].addresses]
+    assert in_order == sorted(f"h{i}:1" for i in range(25))
+    assert {(r.topic, r.n_total, r.n_pages) for r in lists} == {("t", 25, 3), ("idle", 0, 1), ("nowhere", 0, 1)}

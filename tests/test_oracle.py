@@ -4,25 +4,10 @@ import pytest
 
 import __spark_entry__ as driver
 from compare import SF, connect, difference
+from topicwell.catalog import batch, oracle, stream
 
-QUERIES = driver.queries()
-ORACLE = driver.oracle_sql()
-
-# Queries whose plan changes when keys are divided and sides are too large to broadcast.
-DIVIDED = [
-    "file_atomic_accept",
-    "route_registered",
-    "replay_events",
-    "has_topic",
-    "subscription_intervals",
-    "subscriber_lists",
-    "fan_out",
-    "undelivered_flights",
-    "read_requests",
-    "topic_volume",
-    "byte_backlog",
-]
-
+QUERIES = {**batch.QUERIES, **stream.QUERIES}
+ORACLE = oracle.ORACLE
 
 @pytest.fixture(scope="module")
 def tables():
@@ -31,6 +16,7 @@ def tables():
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
+    assert QUERIES.items() <= driver.queries().items() and ORACLE.items() <= driver.oracle_sql().items()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -38,7 +24,7 @@ def test_query(spark, tables, name):
     assert difference(QUERIES[name](spark, SF), tables, ORACLE[name]) is None
 
 
-@pytest.mark.parametrize("name", DIVIDED)
+@pytest.mark.parametrize("name", sorted(batch.QUERIES))
 def test_query_with_small_limits(spark, tables, name, small_limits):
     assert difference(QUERIES[name](spark, SF), tables, ORACLE[name]) is None
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from compare import SF
 from topicwell.catalog.batch import QUERIES
 from topicwell.operators import offsets, routing
-from topicwell.session import broadcastable, build_session, shared_dir
+from topicwell.session import broadcastable, build_session, settle, shared_dir
+from tick_maker import FIRST_SECOND, generate_ticks
 from topicwell.sources import tables, ticks
 
 
@@ -86,8 +87,8 @@ def test_jdbc_options(spark, monkeypatch):
 
 def test_symbol_tables_prune(spark, tmp_path):
     path = str(tmp_path / "ticks")
-    tables.append_ticks(ticks.generate_ticks(spark, ["ABC", "XYZ"], 100), path)
-    found = routing.point_lookup(spark.read.parquet(path), ticks.FIRST_SECOND, "ABC")
+    tables.append_ticks(generate_ticks(spark, ["ABC", "XYZ"], 100), path)
+    found = routing.point_lookup(spark.read.parquet(path), FIRST_SECOND, "ABC")
     assert re.search(r"PartitionFilters: .*stock_symbol", plan(found))
     assert 1 <= found.count() <= 30
     assert found.agg(F.countDistinct("stock_symbol")).first()[0] == 1
@@ -96,9 +97,35 @@ def test_symbol_tables_prune(spark, tmp_path):
 def test_broadcast_check_counts_rows_and_bytes(spark):
     df = spark.range(100).select(F.repeat(F.lit("x"), 1000).alias("text"), F.array("id").alias("list"))
     assert broadcastable(df)
-    assert not broadcastable(df, 99)
+    with limits(spark, 1000, 99):
+        assert not broadcastable(df)
     spark.conf.set("spark.topicwell.broadcastBytes", "50000")
     try:
-        assert not broadcastable(df)
+        assert not broadcastable(df.select("*"))
+        assert not broadcastable(settle(df))
     finally:
         spark.conf.unset("spark.topicwell.broadcastBytes")
+
+
+def test_queries_read_the_written_log(spark):
+    """No numbering of the whole log for a tail."""
+    text = plan(QUERIES["read_from_offset"](spark, SF))
+    assert re.search(r"PartitionFilters: .*topic", text) and "GreaterThanOrEqual(offset," in text
+    for name in ("read_from_offset", "read_requests", "resume_plan", "committed_offsets"):
+        assert "Window" not in plan(QUERIES[name](spark, SF))
+
+
+# Jobs that run while the DataFrame is built; one of them finds the columns of the table.
+JOBS = {"route_registered": 1, "assign_offsets": 4, "flight_batches": 4, "read_from_offset": 3, "read_requests": 9, "fan_out": 11}
+
+
+@pytest.mark.parametrize("name", JOBS)
+def test_few_jobs_before_the_query_runs(spark, name):
+    QUERIES["read_from_offset"](spark, SF)  # the log is written once
+    group = f"building {name}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        QUERIES[name](spark, SF)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) <= JOBS[name]

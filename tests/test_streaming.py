@@ -1,5 +1,7 @@
 """Streaming forms against their batch operators, over several files and restarts."""
 
+import time
+from datetime import datetime, timedelta
 from pathlib import Path
 
 import pytest
@@ -9,9 +11,11 @@ from pyspark.sql import functions as F
 from compare import SF
 from topicwell import bindings as b
 from topicwell.operators import delivery, offsets, registry, routing
-from topicwell.sources import ticks
-from topicwell.streaming import intake, topics
+from tick_maker import generate_ticks
+from topicwell.streaming import batches, intake, topics
+from topicwell.streaming.batches import SNAPSHOT, commit_batch, last_batch, next_numbers
 
+T0 = datetime(2025, 1, 1)
 EVENT = ["event_id", "ts", "topic"]
 
 
@@ -138,13 +142,93 @@ def test_topic_tap(spark, parts):
 
 
 def test_tick_files(spark, tmp_path):
-    made = ticks.generate_ticks(spark, ["ABC", "XYZ", "LMN"], 300, seed=3)
+    made = generate_ticks(spark, ["ABC", "XYZ", "LMN"], 300, seed=3)
     folder, table = str(tmp_path / "csv"), str(tmp_path / "table")
     made.repartitionByRange(4, "timestamp").write.option("header", True).csv(folder)
     source = intake.stream_ticks_csv(spark, folder, max_files=1)
-    intake.run_available(
+    intake.start_stream(
         source.writeStream.format("parquet").option("path", table), str(tmp_path / "checkpoint")
     )
     found = spark.read.parquet(table)
     assert found.select("file").distinct().count() == 4
     assert _rows(found.drop("file")) == _rows(made)
+
+
+def test_stream_without_events_reads_as_empty(spark, parts):
+    parts(0)
+    source = parts.source().withColumn("topic", F.lit(None).cast("string"))
+    topics.stream_assign_offsets(source, parts.table, parts.checkpoint)
+    log = topics.read_log(spark, parts.table)
+    assert log.count() == 0 and set(log.columns) == {*parts.events.columns, "offset"}
+    topics.stream_route(source.where("false"), b.topics(spark), parts.table + "2", parts.checkpoint + "2")
+    assert topics.read_routed(spark, parts.table + "2", topics.ROUTED).count() == 0
+
+
+def _wait(done):
+    for _ in range(600):
+        if done():
+            return
+        time.sleep(0.1)
+    raise AssertionError("the stream did not get there")
+
+
+def test_topics_and_subscriptions_added_while_the_streams_run(spark, tmp_path):
+    """Both streams stay up; the second batch sees the topic and the subscriber added after the first."""
+    spark.createDataFrame([("a",)], "topic string").write.parquet(str(tmp_path / "topics"))
+    spans = "topic string, address string, valid_from timestamp_ntz, valid_to timestamp_ntz"
+    spark.createDataFrame([("a", "h:1", T0, None)], spans).write.parquet(str(tmp_path / "spans"))
+    columns = "event_id bigint, ts timestamp_ntz, topic string"
+
+    def send(first):
+        rows = [(first + i, T0 + timedelta(seconds=first + i), t) for i, t in enumerate("ab")]
+        spark.createDataFrame(rows, columns).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    send(0)
+    source = intake.stream_parquet(spark, str(tmp_path / "in"), spark.createDataFrame([], columns).schema)
+    often = {"processingTime": "200 milliseconds"}
+    at = {k: str(tmp_path / k) for k in ("routes", "deliveries", "one", "two")}
+    streams = [
+        topics.stream_route(source, str(tmp_path / "topics"), at["routes"], at["one"], trigger=often),
+        topics.stream_fan_out(source, str(tmp_path / "spans"), at["deliveries"], at["two"], trigger=often),
+    ]
+    try:
+        _wait(lambda: all(last_batch(spark, at[k]) == 0 for k in ("routes", "deliveries")))
+        spark.createDataFrame([("b",)], "topic string").write.mode("append").parquet(str(tmp_path / "topics"))
+        more = [("b", "h:2", T0, None)]
+        spark.createDataFrame(more, spans).write.mode("append").parquet(str(tmp_path / "spans"))
+        send(2)
+        _wait(lambda: all(last_batch(spark, at[k]) == 1 for k in ("routes", "deliveries")))
+        assert all(s.isActive for s in streams)
+    finally:
+        for s in streams:
+            s.stop()
+    routed = topics.read_routed(spark, at["routes"], topics.ROUTED)
+    assert sorted(r.event_id for r in routed.collect()) == [0, 2, 3]
+    sent = topics.read_deliveries(spark, at["deliveries"]).collect()
+    assert sorted((r.topic, r.flight, r.address) for r in sent) == [("a", 0, "h:1"), ("a", 1, "h:1"), ("b", 1, "h:2")]
+
+
+def test_commits_follow_the_batch_and_snapshots_hold_all(spark, tmp_path):
+    path = str(tmp_path)
+    for batch_id in range(2 * SNAPSHOT + 2):
+        before = next_numbers(spark, path, batch_id)
+        written = spark.createDataFrame([(f"t{batch_id}", batch_id)], "topic string, next bigint")
+        commit_batch(spark, path, batch_id, written, before)
+    found = spark.read.parquet(f"{path}/commits").where("topic IS NOT NULL").groupBy("batch_id").count().collect()
+    sizes = {r.batch_id: r["count"] for r in found}
+    assert sizes == {i: i + 1 if i % SNAPSHOT == 0 else 1 for i in range(2 * SNAPSHOT + 2)}
+    last = next_numbers(spark, path, 2 * SNAPSHOT + 2).collect()
+    assert sorted((r.topic, r.next) for r in last) == sorted((f"t{i}", i) for i in range(2 * SNAPSHOT + 2))
+    assert last_batch(spark, path) == 2 * SNAPSHOT + 1
+
+
+def test_subscriber_state_is_folded_into_snapshots(spark, parts, monkeypatch):
+    monkeypatch.setattr(batches, "SNAPSHOT", 2)
+    for step in range(4):
+        parts(step)
+        source = parts.source().withColumn("k", b.number())
+        topics.stream_subscribers(b.control_of(source), parts.table, parts.checkpoint)
+    control = b.control_of(parts.events.withColumn("k", b.number()))
+    state = topics.read_subscribers(spark, parts.table, b.TOPICS)
+    assert _rows(state) == _rows(registry.subscribers_current(control, b.TOPICS))
+    assert batches.read_batches(spark, parts.table, from_snapshot=True).agg(F.min("batch_id")).first()[0] == 2

@@ -16,6 +16,16 @@ _FLIGHTS = """flights AS (
          arg_min(event_id, "offset") AS first_event, arg_max(event_id, "offset") AS last_event, max(ts) AS fts
   FROM log GROUP BY 1, 2)"""
 
+# Each of four equal time spans is one micro-batch, which is cut into flights of its own.
+_BATCHES = """bounds AS (SELECT min(epoch_us(ts)) AS lo, (max(epoch_us(ts)) - min(epoch_us(ts))) // 4 + 1 AS width FROM ev),
+arrived AS (SELECT log.*, (epoch_us(ts) - lo) // width AS batch FROM log, bounds),
+drained AS (SELECT *, (row_number() OVER (PARTITION BY topic, batch ORDER BY ts, event_id) - 1) // 5 AS chunk FROM arrived),
+flights AS (
+  SELECT topic, CAST(row_number() OVER (PARTITION BY topic ORDER BY batch, chunk) - 1 AS BIGINT) AS flight, n, fts, ids
+  FROM (SELECT topic, batch, chunk, CAST(count(*) AS BIGINT) AS n, max(ts) AS fts,
+          string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_id) AS ids
+        FROM drained GROUP BY 1, 2, 3))"""
+
 _CTL = """ctl AS (
   SELECT event_id AS seq, ts,
          CASE WHEN event_type = 'signup' THEN 'subscribe' WHEN event_type = 'error' THEN 'unsubscribe'
@@ -250,7 +260,7 @@ WHERE event_type = 'click' AND ts = (SELECT min(ts) FROM events WHERE event_type
   FROM placed WHERE event_id IS NOT NULL""",
     ),
     "fan_out": _FAN_OUT,
-    "stream_fan_out": _FAN_OUT,
+    "stream_fan_out": _with(_EV, _LOG, _BATCHES, _CTL, _INTERVALS, _DELIVERIES, then="SELECT * FROM deliveries"),
     "undelivered_flights": _with(
         _EV,
         _LOG,
@@ -347,8 +357,7 @@ used AS (SELECT seq, CAST(sum(change) OVER (ORDER BY ts, seq) AS BIGINT) AS byte
     "stream_payloads": _with(
         _EV,
         _LOG,
-        then="""SELECT topic, CAST("offset" // 5 AS BIGINT) AS flight,
-  string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY "offset") AS event_ids, CAST(count(*) AS BIGINT) AS n_ts
-  FROM log WHERE topic = 'view' GROUP BY 1, 2""",
+        _BATCHES,
+        then="SELECT topic, flight, ids AS event_ids, n AS n_ts FROM flights WHERE topic = 'view'",
     ),
 }

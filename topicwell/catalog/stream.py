@@ -1,26 +1,49 @@
-"""Registered streaming queries: bounded runs over the files of the ``events`` table."""
+"""Registered streaming queries: the ``events`` table arrives in time order, in several micro-batches."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from topicwell import bindings as b
 from topicwell.catalog.batch import EVENT, Query, write_tick_files
 from topicwell.operators.registry import subscription_intervals
-from topicwell.session import fresh_path
+from topicwell.session import fresh_path, settle
 from topicwell.streaming import intake, topics
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    # A stream takes a folder or a pattern, and the table may be one file.
-    return intake.stream_parquet(spark, f"{path}*", schema).withColumn("topic", F.col("event_type"))
+# Parts of the table's time span that arrive one after the other.
+ARRIVALS = 4
+
+
+def _arrive(spark: SparkSession, sf_dir: str, run: Callable[[DataFrame], StreamingQuery]) -> None:
+    """The whole table lands in time order, part by part; ``run`` takes each part as one micro-batch."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    folder = fresh_path(spark, "arrivals")
+    seen = events.agg(F.min("ts").alias("first"), F.max("ts").alias("last")).first()
+
+    def arrive(part: DataFrame) -> None:
+        part.write.mode("append").parquet(folder)
+        run(intake.stream_parquet(spark, folder, events.schema).withColumn("topic", F.col("event_type")))
 
+    if seen.first is None:
+        arrive(events)
+        return
+    width = (seen.last - seen.first) // ARRIVALS + timedelta(microseconds=1)
+    for i in range(ARRIVALS):
+        low, high = (F.lit(str(seen.first + width * j)).cast("timestamp_ntz") for j in (i, i + 1))
+        part = (F.col("ts") >= low) & (F.col("ts") < high)
+        if i == 0:
+            part = part | F.col("ts").isNull()
+        arrive(events.where(part))
 
-def _registered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stream(spark, sf_dir).where(F.col("topic").isin(b.TOPICS)).select(*EVENT)
+
+def _registered(source: DataFrame) -> DataFrame:
+    return source.where(F.col("topic").isin(b.TOPICS)).select(*EVENT)
 
 
 def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
@@ -31,13 +54,14 @@ def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
 def stream_ticks_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     ticks = intake.stream_ticks_csv(spark, write_tick_files(spark, sf_dir)).drop("file")
     table, checkpoint = _paths(spark, "stream-ticks")
-    intake.run_available(ticks.writeStream.format("parquet").option("path", table), checkpoint)
+    intake.start_stream(ticks.writeStream.format("parquet").option("path", table), checkpoint)
     return spark.read.schema(ticks.schema).parquet(table)
 
 
 def _routes(spark: SparkSession, sf_dir: str, route: str) -> DataFrame:
     table, checkpoint = _paths(spark, "stream-route")
-    topics.stream_route(_stream(spark, sf_dir).select(*EVENT), b.topics(spark), table, checkpoint)
+    registered = b.topics(spark)
+    _arrive(spark, sf_dir, lambda s: topics.stream_route(s.select(*EVENT), registered, table, checkpoint))
     return topics.read_routed(spark, table, route)
 
 
@@ -51,7 +75,7 @@ def stream_dead_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _log(spark: SparkSession, sf_dir: str) -> str:
     table, checkpoint = _paths(spark, "stream-log")
-    topics.stream_assign_offsets(_registered(spark, sf_dir), table, checkpoint)
+    _arrive(spark, sf_dir, lambda s: topics.stream_assign_offsets(_registered(s), table, checkpoint))
     return table
 
 
@@ -65,29 +89,31 @@ def stream_read_from_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
     table, checkpoint = _paths(spark, "stream-subscribers")
-    events = _stream(spark, sf_dir).withColumn("k", b.number())
-    topics.stream_subscribers(b.control_of(events), table, checkpoint)
+
+    def run(source: DataFrame) -> StreamingQuery:
+        return topics.stream_subscribers(b.control_of(source.withColumn("k", b.number())), table, checkpoint)
+
+    _arrive(spark, sf_dir, run)
     return topics.read_subscribers(spark, table, b.TOPICS)
 
 
 def stream_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     table, checkpoint = _paths(spark, "stream-deliveries")
-    intervals = subscription_intervals(b.control(spark, sf_dir), b.TOPICS)
-    topics.stream_fan_out(_registered(spark, sf_dir), intervals, table, checkpoint)
+    intervals = settle(subscription_intervals(b.control(spark, sf_dir), b.TOPICS))
+    _arrive(spark, sf_dir, lambda s: topics.stream_fan_out(_registered(s), lambda _: intervals, table, checkpoint))
     return topics.read_deliveries(spark, table).select("topic", "flight", "address", "n")
 
 
 def stream_topic_tap(spark: SparkSession, sf_dir: str) -> DataFrame:
     table, checkpoint = _paths(spark, "stream-tap")
-    events = _stream(spark, sf_dir).select(*EVENT)
-    topics.stream_topic_tap(events, "view", table, checkpoint)
-    return spark.read.schema(events.schema).parquet(table)
+    _arrive(spark, sf_dir, lambda s: topics.stream_topic_tap(s.select(*EVENT), "view", table, checkpoint))
+    return spark.read.schema("event_id bigint, ts timestamp_ntz, topic string").parquet(table)
 
 
 def stream_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event numbers held by the payloads of one topic."""
     table, checkpoint = _paths(spark, "stream-payloads")
-    topics.stream_payloads(_stream(spark, sf_dir).select(*EVENT), "view", table, checkpoint)
+    _arrive(spark, sf_dir, lambda s: topics.stream_payloads(s.select(*EVENT), "view", table, checkpoint))
     held = F.from_json("payload", "ts array<string>, event_id array<bigint>")
     sent = topics.read_payloads(spark, table).withColumn("held", held)
     return sent.select(

@@ -1,51 +1,92 @@
 """Tables written one micro-batch at a time, so that a repeated batch replaces itself.
 
-A table has ``data/batch_id=K`` and ``commits/batch_id=K``. The commit of a batch is written
-last and holds the next number of every topic; batch K + 1 starts from it.
+A table has ``data/batch_id=K``, ``commits/batch_id=K`` and a ``schema``. The commit of a batch is
+written last and holds the next number of the topics it has touched; every ``SNAPSHOT`` batches it
+holds those of all topics, so that no more than ``SNAPSHOT`` commits are read to find the numbers.
+Batch numbers have leading zeros, so that folder names sort like them.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+SNAPSHOT = 10
+NUMBERS = "topic string, next bigint"
 
-def write_batch(df: DataFrame, path: str, batch_id: int, partition_by: Sequence[str] = ()) -> None:
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}/data/batch_id={batch_id}")
 
+def _folder(path: str, kind: str, batch_id: int) -> str:
+    return f"{path}/{kind}/batch_id={batch_id:018d}"
 
-NUMBERS = "topic string, next bigint"
 
+def _matching(spark: SparkSession, pattern: str) -> list[JavaObject] | JavaObject:
+    """The files of a pattern, sorted by name, without reading them."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place) or []
 
-def next_numbers(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
-    """``(topic, next)`` as the batch before left it."""
-    if batch_id == 0:
-        return spark.createDataFrame([], NUMBERS)
-    before = spark.read.schema(f"{NUMBERS}, done boolean").parquet(f"{path}/commits/batch_id={batch_id - 1}")
-    return before.where(F.col("done").isNull()).drop("done")
 
+def prepare(spark: SparkSession, path: str, columns: T.StructType) -> None:
+    """Note the columns of a table before its first batch, so that it can be read when nothing has come."""
+    if not len(_matching(spark, f"{path}/schema/_SUCCESS")):
+        text = spark.sql("SELECT :columns AS columns", args={"columns": columns.json()})
+        text.write.mode("overwrite").text(f"{path}/schema")
 
-def commit_batch(spark: SparkSession, path: str, batch_id: int, numbers: DataFrame | None = None) -> None:
-    """Mark a batch as written; ``numbers`` is the ``(topic, next)`` it leaves behind."""
-    commit = spark.createDataFrame([(None, None, True)], f"{NUMBERS}, done boolean")
-    if numbers is not None:
-        commit = commit.unionByName(numbers, allowMissingColumns=True)
-    commit.coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/batch_id={batch_id}")
 
+def snapshot_of(batch_id: int) -> int:
+    """The last batch up to this one that holds all that came before."""
+    return batch_id - batch_id % SNAPSHOT
 
-def advance(before: DataFrame, written: DataFrame) -> DataFrame:
-    """The next numbers after a batch, from those before it and those of its own topics."""
-    return before.unionByName(written).groupBy("topic").agg(F.max("next").alias("next"))
+
+def write_batch(df: DataFrame, path: str, batch_id: int, partition_by: Sequence[str] = ()) -> None:
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(_folder(path, "data", batch_id))
 
 
-def read_batches(spark: SparkSession, path: str, text: Sequence[str] = ("topic",)) -> DataFrame:
-    """The data of the committed batches. ``text`` names folder columns that are text."""
-    found = spark.read.parquet(f"{path}/data").schema
-    schema = T.StructType(
-        [T.StructField(f.name, T.StringType() if f.name in text else f.dataType) for f in found]
-    )
-    last = spark.read.parquet(f"{path}/commits").agg(F.max("batch_id")).first()[0]
-    return spark.read.schema(schema).parquet(f"{path}/data").where(F.col("batch_id") <= last)
+def next_numbers(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    """``(topic, next)`` as the batches before left it."""
+    if batch_id == 0:
+        return spark.sql("SELECT CAST(NULL AS STRING) AS topic, CAST(NULL AS BIGINT) AS next").where(F.lit(False))
+    folders = [_folder(path, "commits", i) for i in range(snapshot_of(batch_id - 1), batch_id)]
+    before = spark.read.schema(f"{NUMBERS}, done boolean").parquet(*folders)
+    return before.where(F.col("done").isNull()).groupBy("topic").agg(F.max("next").alias("next"))
+
+
+def commit_batch(
+    spark: SparkSession, path: str, batch_id: int, written: DataFrame | None = None, before: DataFrame | None = None
+) -> None:
+    """Mark a batch as written. ``written`` is the ``(topic, next)`` of its own topics, ``before`` that of all."""
+    commit = spark.sql("SELECT CAST(NULL AS STRING) AS topic, CAST(NULL AS BIGINT) AS next, true AS done")
+    if written is not None:
+        if before is not None and batch_id == snapshot_of(batch_id):
+            written = before.unionByName(written).groupBy("topic").agg(F.max("next").alias("next"))
+        commit = commit.unionByName(written, allowMissingColumns=True)
+    commit.write.mode("overwrite").parquet(_folder(path, "commits", batch_id))
+
+
+def last_batch(spark: SparkSession, path: str) -> int | None:
+    """The latest committed batch, from the names of the commits."""
+    done = _matching(spark, f"{path}/commits/batch_id=*/_SUCCESS")
+    if not len(done):
+        return None
+    return int(done[len(done) - 1].getPath().getParent().getName().removeprefix("batch_id="))
+
+
+def read_range(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
+    """The data of the batches ``first .. last`` with their ``batch_id``."""
+    columns = T.StructType.fromJson(json.loads(spark.read.text(f"{path}/schema").first()[0]))
+    columns.add("batch_id", T.LongType())
+    if not len(_matching(spark, f"{path}/data")):
+        return spark.createDataFrame([], columns)
+    return spark.read.schema(columns).parquet(f"{path}/data").where(F.col("batch_id").between(first, last))
+
+
+def read_batches(spark: SparkSession, path: str, from_snapshot: bool = False) -> DataFrame:
+    """The data of the committed batches, or of those from the last snapshot on."""
+    last = last_batch(spark, path)
+    if last is None:
+        return read_range(spark, path, 0, -1)
+    return read_range(spark, path, snapshot_of(last) if from_snapshot else 0, last)

@@ -1,10 +1,13 @@
-"""File streams and bounded runs."""
+"""File streams and how they are started."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.types import StructType
 
 from topicwell.schemas import TICK_FILE
@@ -25,7 +28,18 @@ def stream_parquet(spark: SparkSession, path: str, schema: StructType, max_files
     return reader.parquet(path)
 
 
-def run_available(writer: DataStreamWriter, checkpoint: str) -> None:
-    """Process what has arrived and stop. A second run goes on from the checkpoint."""
-    query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+Trigger = Mapping[str, Any]
+
+
+def start_stream(writer: DataStreamWriter, checkpoint: str, trigger: Trigger | None = None) -> StreamingQuery:
+    """Start a stream, which goes on from its checkpoint.
+
+    ``trigger`` is what ``DataStreamWriter.trigger`` takes, such as ``{"processingTime": "5 seconds"}``;
+    the stream then runs until it is stopped. Without one it takes what has arrived, and the call
+    returns when that is done.
+    """
+    chosen = trigger or {"availableNow": True}
+    query = writer.option("checkpointLocation", checkpoint).trigger(**chosen).start()
+    if trigger is None:
+        query.awaitTermination()
+    return query

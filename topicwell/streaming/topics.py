@@ -1,11 +1,22 @@
-"""Streaming routing, offsets, subscriptions, fan-out and taps."""
+"""Streaming routing, offsets, subscriptions, fan-out and taps.
+
+Every stream returns its query. Without a ``trigger`` it takes what has arrived and is done when the
+call returns; with one it runs until it is stopped.
+
+Topics and intervals are a ``Source``: a Parquet path, read anew for every batch, a function of the
+session, called for every batch, or a DataFrame, which is fixed when the stream starts. A batch
+that is run again takes the state of that time and replaces what it had written.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from topicwell.operators.delivery import columnar_json, fan_out, flight_events, flights_of
 from topicwell.operators.offsets import read_from_offset
@@ -14,53 +25,95 @@ from topicwell.operators.routing import drop_untagged, topic_tap
 from topicwell.plans.joins import keyed_join
 from topicwell.plans.running import count_before, running
 from topicwell.schemas import EVENT_ORDER, EVENTS_PER_FLIGHT, READ_HORIZON
-from topicwell.session import settle
-from topicwell.streaming.batches import advance, commit_batch, next_numbers, read_batches, write_batch
-from topicwell.streaming.intake import run_available
+from topicwell.session import settle, settle_table
+from topicwell.streaming.batches import (
+    commit_batch,
+    next_numbers,
+    prepare,
+    read_batches,
+    read_range,
+    snapshot_of,
+    write_batch,
+)
+from topicwell.streaming.intake import Trigger, start_stream
+
+Source = DataFrame | str | Callable[[SparkSession], DataFrame]
 
 ROUTED, DEAD_LETTER = "routed", "dead_letter"
 # Folders over which deliveries are spread by the hash of their address.
 ADDRESS_FOLDERS = 64
 
 
-def stream_route(events: DataFrame, topics: DataFrame, path: str, checkpoint: str, row: str = "event_id") -> None:
+def _reader(source: Source) -> Callable[[SparkSession], DataFrame]:
+    """How a batch gets the table as it stands."""
+    if isinstance(source, str):
+        return lambda spark: spark.read.parquet(source)
+    if isinstance(source, DataFrame):
+        fixed = settle(source)
+        return lambda spark: fixed
+    return source
+
+
+def stream_route(
+    events: DataFrame,
+    topics: Source,
+    path: str,
+    checkpoint: str,
+    row: str = "event_id",
+    trigger: Trigger | None = None,
+) -> StreamingQuery:
     """Write events to ``route=routed`` or ``route=dead_letter``, in one pass over each batch."""
-    known = settle(topics.select("topic").distinct().withColumn("_known", F.lit(True)))
+    topics_now = _reader(topics)
+    prepare(events.sparkSession, path, T.StructType([*events.schema, T.StructField("route", T.StringType())]))
 
     def route(batch: DataFrame, batch_id: int) -> None:
+        known = settle(topics_now(batch.sparkSession).select("topic").distinct().withColumn("_known", F.lit(True)))
         marked = keyed_join(batch, known, ["topic"], "left", [row])
         kind = F.when(F.col("_known"), ROUTED).otherwise(DEAD_LETTER)
         write_batch(marked.withColumn("route", kind).drop("_known"), path, batch_id, ["route"])
         commit_batch(batch.sparkSession, path, batch_id)
 
-    run_available(events.writeStream.foreachBatch(route), checkpoint)
+    return start_stream(events.writeStream.foreachBatch(route), checkpoint, trigger)
 
 
 def read_routed(spark: SparkSession, path: str, route: str) -> DataFrame:
-    return read_batches(spark, path, ("route", "topic")).where(F.col("route") == route).drop("route", "batch_id")
+    return read_batches(spark, path).where(F.col("route") == route).drop("route", "batch_id")
+
+
+def _numbered_on(numbers: DataFrame, before: DataFrame, name: str, spread: str) -> DataFrame:
+    """Numbers of a batch go on from those of the batches before."""
+    joined = keyed_join(numbers, before, ["topic"], "left", [spread])
+    return joined.withColumn(name, F.coalesce("next", F.lit(0)) + F.col(name)).drop("next")
 
 
-def stream_assign_offsets(events: DataFrame, path: str, checkpoint: str, order: Sequence[str] = EVENT_ORDER) -> None:
+def stream_assign_offsets(
+    events: DataFrame,
+    path: str,
+    checkpoint: str,
+    order: Sequence[str] = EVENT_ORDER,
+    trigger: Trigger | None = None,
+) -> StreamingQuery:
     """Append events to a log with dense offsets per topic; events without a topic are skipped.
 
     Batches are appended as they arrive; ``order`` holds inside a batch. A batch that is run again
-    takes the same offsets and replaces its own folder.
+    takes the same offsets and replaces its own folder. The source is read once per batch.
     """
+    prepare(events.sparkSession, path, T.StructType([*events.schema, T.StructField("offset", T.LongType())]))
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        before = settle(next_numbers(batch.sparkSession, path, batch_id))
-        batch = drop_untagged(batch)
-        numbered = running(batch, ["topic"], order, [count_before("_n")])
-        numbered = keyed_join(numbered, before, ["topic"], "left", [order[1]])
-        offset = F.coalesce("next", F.lit(0)) + F.col("_n")
-        log = numbered.withColumn("offset", offset).drop("_n", "next")
-        write_batch(log, path, batch_id, ["topic"])
-        written = batch.groupBy("topic").agg(F.count(F.lit(1)).alias("_n"))
-        written = keyed_join(written, before, ["topic"], "left", ["topic"])
-        written = written.select("topic", (F.coalesce("next", F.lit(0)) + F.col("_n")).alias("next"))
-        commit_batch(batch.sparkSession, path, batch_id, advance(before, written))
+        spark = batch.sparkSession
+        before = settle(next_numbers(spark, path, batch_id))
+        batch = drop_untagged(batch).persist(StorageLevel.DISK_ONLY)
+        try:
+            numbered = running(batch, ["topic"], order, [count_before("offset")])
+            write_batch(_numbered_on(numbered, before, "offset", order[1]), path, batch_id, ["topic"])
+            counts = batch.groupBy("topic").agg(F.count(F.lit(1)).alias("next_own"))
+            written = _numbered_on(counts, before, "next_own", "topic").withColumnRenamed("next_own", "next")
+            commit_batch(spark, path, batch_id, written, before)
+        finally:
+            batch.unpersist()
 
-    run_available(events.writeStream.foreachBatch(append), checkpoint)
+    return start_stream(events.writeStream.foreachBatch(append), checkpoint, trigger)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -74,50 +127,73 @@ def stream_read_from_offset(
     return read_from_offset(read_log(spark, path), topic, offset, horizon)
 
 
-def stream_subscribers(control: DataFrame, path: str, checkpoint: str) -> None:
-    """Keep the last action per topic and per address as streaming state; write what changed."""
+def stream_subscribers(
+    control: DataFrame, path: str, checkpoint: str, trigger: Trigger | None = None
+) -> StreamingQuery:
+    """Keep the last action per topic and per address as streaming state; write what changed.
+
+    Every so many batches the changes since the last snapshot are folded into a new one, so that a
+    read folds the state and few batches, not the history.
+    """
+    state = control_state(control)
+    prepare(control.sparkSession, path, state.schema)
 
     def changed(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if batch_id and batch_id == snapshot_of(batch_id):
+            earlier = read_range(spark, path, snapshot_of(batch_id - 1), batch_id - 1).drop("batch_id")
+            batch = latest(earlier.unionByName(batch))
         write_batch(batch, path, batch_id)
-        commit_batch(batch.sparkSession, path, batch_id)
+        commit_batch(spark, path, batch_id)
 
-    run_available(control_state(control).writeStream.outputMode("update").foreachBatch(changed), checkpoint)
+    return start_stream(state.writeStream.outputMode("update").foreachBatch(changed), checkpoint, trigger)
 
 
 def read_subscribers(spark: SparkSession, path: str, initial: Sequence[str]) -> DataFrame:
-    state = latest(read_batches(spark, path))
+    state = latest(read_batches(spark, path, from_snapshot=True))
     return subscribers_of_state(state, initial)
 
 
 def stream_fan_out(
     events: DataFrame,
-    intervals: DataFrame,
+    intervals: Source,
     path: str,
     checkpoint: str,
     n: int = EVENTS_PER_FLIGHT,
     order: Sequence[str] = EVENT_ORDER,
-) -> None:
+    trigger: Trigger | None = None,
+) -> StreamingQuery:
     """Cut each micro-batch into flights and write their deliveries.
 
     A micro-batch is one drain, so its last flight of a topic may be partial; the flights of the
-    next batch are numbered on from it. ``intervals`` is the state of the subscriptions to use.
+    next batch are numbered on from it. ``intervals`` are the subscriptions, looked up per batch.
     """
-    known = settle(intervals)
+    intervals_now = _reader(intervals)
+    kinds = {f.name: f.dataType for f in events.schema}
+    fields = {
+        "topic": kinds["topic"],
+        "flight": T.LongType(),
+        "n": T.LongType(),
+        "first_event": kinds[order[1]],
+        "last_event": kinds[order[1]],
+        "fts": kinds[order[0]],
+        "address": T.StringType(),
+        "folder": T.LongType(),
+    }
+    prepare(events.sparkSession, path, T.StructType([T.StructField(c, kind) for c, kind in fields.items()]))
 
     def deliver(batch: DataFrame, batch_id: int) -> None:
-        before = settle(next_numbers(batch.sparkSession, path, batch_id))
+        spark = batch.sparkSession
+        before = settle(next_numbers(spark, path, batch_id))
         numbered = running(drop_untagged(batch), ["topic"], order, [count_before("offset")])
-        flights = keyed_join(flights_of(numbered, n, order), before, ["topic"], "left", ["flight"])
-        flights = settle(
-            flights.withColumn("flight", F.coalesce("next", F.lit(0)) + F.col("flight")).drop("next")
-        )
+        flights = settle_table(_numbered_on(flights_of(numbered, n, order), before, "flight", "flight"), "flights")
         folder = F.pmod(F.xxhash64("address"), F.lit(ADDRESS_FOLDERS))
-        deliveries = fan_out(flights, known).withColumn("folder", folder)
+        deliveries = fan_out(flights, intervals_now(spark)).withColumn("folder", folder)
         write_batch(deliveries.hint("rebalance", "folder"), path, batch_id, ["folder"])
         written = flights.groupBy("topic").agg((F.max("flight") + 1).alias("next"))
-        commit_batch(batch.sparkSession, path, batch_id, advance(before, written))
+        commit_batch(spark, path, batch_id, written, before)
 
-    run_available(events.writeStream.foreachBatch(deliver), checkpoint)
+    return start_stream(events.writeStream.foreachBatch(deliver), checkpoint, trigger)
 
 
 def read_deliveries(spark: SparkSession, path: str, address: str | None = None) -> DataFrame:
@@ -131,9 +207,12 @@ def read_deliveries(spark: SparkSession, path: str, address: str | None = None)
     return found.drop("folder", "batch_id")
 
 
-def stream_topic_tap(events: DataFrame, topic: str, path: str, checkpoint: str) -> None:
+def stream_topic_tap(
+    events: DataFrame, topic: str, path: str, checkpoint: str, trigger: Trigger | None = None
+) -> StreamingQuery:
     """Append the events of one topic to a Parquet folder as they arrive."""
-    run_available(topic_tap(events, topic).writeStream.format("parquet").option("path", path), checkpoint)
+    writer = topic_tap(events, topic).writeStream.format("parquet").option("path", path)
+    return start_stream(writer, checkpoint, trigger)
 
 
 def stream_payloads(
@@ -143,20 +222,23 @@ def stream_payloads(
     checkpoint: str,
     n: int = EVENTS_PER_FLIGHT,
     order: Sequence[str] = EVENT_ORDER,
-) -> None:
+    trigger: Trigger | None = None,
+) -> StreamingQuery:
     """What a viewer of one topic is sent: the columnar JSON of each flight, batch by batch."""
+    fields = [T.StructField("topic", events.schema["topic"].dataType), T.StructField("flight", T.LongType())]
+    prepare(events.sparkSession, path, T.StructType([*fields, T.StructField("payload", T.StringType())]))
 
     def send(batch: DataFrame, batch_id: int) -> None:
-        before = settle(next_numbers(batch.sparkSession, path, batch_id))
+        spark = batch.sparkSession
+        before = settle(next_numbers(spark, path, batch_id))
         numbered = running(topic_tap(batch, topic), ["topic"], order, [count_before("offset")])
-        flights = keyed_join(flight_events(numbered, n, order), before, ["topic"], "left", ["flight"])
-        flights = flights.withColumn("flight", F.coalesce("next", F.lit(0)) + F.col("flight")).drop("next")
-        flights = settle(columnar_json(flights))
+        flights = _numbered_on(flight_events(numbered, n, order), before, "flight", "flight")
+        flights = settle_table(columnar_json(flights), "payloads")
         write_batch(flights, path, batch_id)
         written = flights.groupBy("topic").agg((F.max("flight") + 1).alias("next"))
-        commit_batch(batch.sparkSession, path, batch_id, advance(before, written))
+        commit_batch(spark, path, batch_id, written, before)
 
-    run_available(events.writeStream.foreachBatch(send), checkpoint)
+    return start_stream(events.writeStream.foreachBatch(send), checkpoint, trigger)
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
