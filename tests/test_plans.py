@@ -116,7 +116,7 @@ def test_queries_read_the_written_log(spark):
 
 
 # Jobs that run while the DataFrame is built; one of them finds the columns of the table.
-JOBS = {"route_registered": 1, "assign_offsets": 4, "flight_batches": 4, "read_from_offset": 3, "read_requests": 9, "fan_out": 11}
+JOBS = {"route_registered": 1, "assign_offsets": 6, "flight_batches": 6, "read_from_offset": 3, "read_requests": 12, "fan_out": 17}
 
 
 @pytest.mark.parametrize("name", JOBS)

@@ -204,7 +204,7 @@ def _divided_by_first() -> Column:
 def cut(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int | None = None) -> Cells:
     """Find the cells of ``df``. One counting pass, and one more per level of division.
 
-    A pass is one write of the pieces; what else is asked of them is measured on the way.
+    A pass writes the pieces; what else is asked of them is read from there.
 
     Any table may be counted that holds at least the rows the cells are used on. The first two
     order columns are numbers or timestamps. The limit rises with the rows of the large keys, so

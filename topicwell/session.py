@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Sequence
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,7 +84,7 @@ def _rows_in_plan(df: DataFrame) -> int | None:
     return plan.data().size() if plan.getClass().getSimpleName() == "LocalRelation" else None
 
 
-# Rows and bytes of the tables that ``settle`` has written.
+# Rows and bytes of tables that have been counted.
 _sizes: WeakKeyDictionary[DataFrame, tuple[int, int]] = WeakKeyDictionary()
 
 
@@ -100,19 +100,15 @@ def _row_bytes(df: DataFrame) -> Column:
 
 def settle(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the shared folder and cut its lineage there."""
-    return df if _rows_in_plan(df) is not None else settle_with(df)[0]
-
-
-def settle_with(df: DataFrame, **facts: Column) -> tuple[DataFrame, dict]:
-    """As ``settle``, with aggregates taken while the table is written. Its size is kept for later checks."""
-    spark = df.sparkSession
-    path = fresh_path(spark, "settled")
-    seen = Observation()
-    measured = {"rows": F.count(F.lit(1)), "bytes": F.coalesce(F.sum(_row_bytes(df)), F.lit(0)), **facts}
-    df.observe(seen, *[c.alias(n) for n, c in measured.items()]).write.parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    found = seen.get
-    _sizes[table] = (found["rows"], found["bytes"])
+    return df if _rows_in_plan(df) is not None else settle_table(df, "settled")
+
+
+def settle_with(df: DataFrame, **facts: Column) -> tuple[DataFrame, Row]:
+    """As ``settle``, with aggregates of the written table. Its size is one of them and kept for later checks."""
+    table = settle_table(df, "settled")
+    measured = {"held_rows": F.count(F.lit(1)), "bytes": F.coalesce(F.sum(_row_bytes(table)), F.lit(0)), **facts}
+    found = table.agg(*[c.alias(n) for n, c in measured.items()]).first()
+    _sizes[table] = (found["held_rows"], found["bytes"])
     return table, found
 
 
