@@ -90,3 +90,20 @@ def test_recall_at_the_threshold(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate((a, b)))]
     links = sum(r.n_links for r in E.embedding_links(table(spark, rows, "double")).collect())
     assert 0.95 * 3000 <= links <= 3000
+
+
+def test_recall_with_a_common_direction(spark, monkeypatch):
+    """1024 pivots, and a cosine of 0.7 between vectors that have nothing else in common."""
+    monkeypatch.setattr(E, "FEWEST", 1024)
+    rng = np.random.default_rng(4)
+    a = np.sqrt(0.3) * E.unit(rng.standard_normal((1500, 64)))
+    a[:, 0] += np.sqrt(0.7)
+    a = E.unit(a)
+    side = np.sqrt(0.3) * E.unit(rng.standard_normal((1500, 64)))
+    side = E.unit(side - (side * a).sum(1, keepdims=True) * a)
+    b = 0.9001 * a + np.sqrt(1 - 0.9001**2) * side
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate((a, b)))]
+    x = E.unit(np.concatenate((a, b)))
+    all_links = int((x @ x.T >= 0.9).sum()) - len(x)
+    links = sum(r.n_links for r in E.embedding_links(table(spark, rows, "double")).collect())
+    assert 0.98 * all_links <= links <= all_links

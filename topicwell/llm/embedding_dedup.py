@@ -1,6 +1,7 @@
 """Near-duplicate embeddings through a pivot permutation index.
 
-Reference points (pivots) are chosen from a bounded sample, each far from those before. A vector is
+The mean of a bounded sample is taken off, so that a direction shared by all vectors does not count.
+Reference points (pivots) are chosen from the sample, each far from those before. A vector is
 described by its nearest pivots. Inverted lists are kept for pairs of pivots, so vectors that share
 at least two of their nearest pivots meet in a list, and the number of lists grows with the square
 of the pivots. In a list pairs are verified by cosine in double precision, and a pair that shares
@@ -10,8 +11,11 @@ Equal vectors are one class, so copies make no pairs. Long lists are salted into
 are compared by matrix products; what leaves a task is one row per vector with its number of links
 and a root of its local links, not the pairs.
 
-Recall: at cosine 0.9, the hardest case, about 0.98 of uniformly spread 64-dimensional pairs share
-two of their 7 nearest of 256 pivots, and nearly all pairs above 0.93; see the tests.
+Recall is measured before lists are made, on pairs at the threshold exactly that are planted at the
+sample, and on the links of sampled vectors in the whole table, of each vector the one with the least
+cosine. The nearest pivots that describe a vector are raised until ``RECALL`` of both share two; if
+``MOST_NEAREST`` are not enough the pivots are halved; if that fails too, all vectors of that length
+make one list, which is exact. What is hard to tell apart costs time, not links.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite numbers link with
 nothing and form their own component; vectors of different length do not link; repeated rows are
@@ -22,6 +26,7 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -33,9 +38,12 @@ from topicwell.llm.links import LINKS, empty_links, link_batch, summed
 from topicwell.llm.tables import bounded_batches, cells, parts, settle
 
 THRESHOLD = 0.9
-NEAREST = 7
+NEAREST, MOST_NEAREST = 7, 16
 SAMPLE = 4096
 FEWEST, MOST = 64, 1024
+# Share of the measured pairs that have to meet in a list, and sampled vectors whose links are looked up.
+RECALL = 0.99
+PROBES = 1024
 # Rows of one comparison task, about.
 TASK_ROWS = 20_000
 
@@ -79,8 +87,83 @@ def choose_pivots(vectors: np.ndarray, count: int) -> np.ndarray:
     return vectors[chosen]
 
 
-def _described(pivots: dict[int, np.ndarray], nearest: int):
-    """One row per pair of a vector's nearest pivots; a length without pivots has one list."""
+def centred(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Directions from the mean; those of vectors at the mean are zero."""
+    x = x - mean
+    size = np.sqrt((x * x).sum(1, keepdims=True))
+    return np.where(size > 1e-9, x / np.maximum(size, 1e-9), 0)
+
+
+def nearest_pivots(x: np.ndarray, points: np.ndarray, nearest: int) -> np.ndarray:
+    """The nearest pivots of each centred row, nearest first."""
+    return np.argsort(-(x @ points.T), 1, kind="stable")[:, :nearest]
+
+
+@dataclass(frozen=True)
+class Index:
+    """What describes vectors of one length."""
+
+    mean: np.ndarray
+    pivots: np.ndarray
+    nearest: int
+
+
+def planted(x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``x``, and partners at the threshold in directions in which rows differ."""
+    rng = np.random.default_rng(0)
+    side = x[rng.permutation(len(x))] - x[rng.permutation(len(x))]
+    side -= (side * x).sum(1, keepdims=True) * x
+    size = np.sqrt((side * side).sum(1))
+    own = size > 1e-9
+    x, side = x[own], side[own] / size[own, None]
+    return x, threshold * x + np.sqrt(max(0.0, 1 - threshold * threshold)) * side
+
+
+def choose_index(x: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], count: int, nearest: int) -> Index | None:
+    """The most pivots, and the fewest nearest of them, with which ``RECALL`` of each set of pairs meet."""
+    mean = x.mean(0)
+    points = choose_pivots(centred(x, mean), count)
+    most = max(nearest, MOST_NEAREST)
+    pairs = [(centred(a, mean), centred(b, mean)) for a, b in pairs if len(a)]
+    while len(points) >= 2:
+        orders = [(nearest_pivots(a, points, most), nearest_pivots(b, points, most)) for a, b in pairs]
+        for number in range(nearest, most + 1):
+            met = [((a[:, :number, None] == b[:, None, :number]).any(2).sum(1) >= 2).mean() for a, b in orders]
+            if min(met, default=1) >= RECALL:
+                return Index(mean, points, number)
+        points = points[: len(points) // 2]
+    return None
+
+
+def _hardest(probes: dict[int, np.ndarray], threshold: float):
+    """Of each probe, the batch's link with the least cosine; copies and multiples do not count."""
+
+    def run(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            data = batch.column(0).to_pylist()
+            lengths = np.array([len(x) // 8 for x in data])
+            for length in np.unique(lengths):
+                own = probes.get(int(length))
+                if own is None:
+                    continue
+                rows = np.flatnonzero(lengths == length)
+                cosine = unit(np.array([np.frombuffer(data[r], np.float64) for r in rows])) @ own.T
+                cosine[(cosine < threshold) | (cosine > 1 - 1e-9)] = 2
+                least = cosine.argmin(0)
+                for probe in np.flatnonzero(cosine.min(0) < 2):
+                    out.append((int(length), int(probe), float(cosine[least[probe], probe]), data[rows[least[probe]]]))
+            columns = list(zip(*out)) or [[]] * 4
+            types = [pa.int32(), pa.int32(), pa.float64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, types)], ["length", "probe", "cosine", "vector"]
+            )
+
+    return run
+
+
+def _described(indexes: dict[int, Index | None]):
+    """One row per pair of a vector's nearest pivots; a length without an index has one list."""
 
     def run(batches):
         for batch in batches:
@@ -89,15 +172,15 @@ def _described(pivots: dict[int, np.ndarray], nearest: int):
             lengths = np.array([len(x) // 8 for x in data])
             for length in np.unique(lengths):
                 rows = np.flatnonzero(lengths == length)
-                points = pivots.get(int(length))
-                if points is None or len(points) < 2:
+                index = indexes.get(int(length))
+                if index is None:
                     at += rows.tolist()
                     low += [-1] * len(rows)
                     high += [-1] * len(rows)
                     near += [[]] * len(rows)
                     continue
                 x = unit(np.array([np.frombuffer(data[r], np.float64) for r in rows]))
-                order = np.sort(np.argsort(-(x @ points.T), 1, kind="stable")[:, :nearest], 1)
+                order = np.sort(nearest_pivots(centred(x, index.mean), index.pivots, index.nearest), 1)
                 for a, b in combinations(range(order.shape[1]), 2):
                     at += rows.tolist()
                     low += order[:, a].tolist()
@@ -179,12 +262,22 @@ def embedding_links(
     total = classes.count()
     few = [bytes(r.vector) for r in classes.orderBy("class").limit(sample).select("vector").collect()]
     count = int(min(MOST, max(FEWEST, total**0.5)))
-    pivots = {}
+    sampled = {}
     for length in {len(x) // 8 for x in few}:
-        own = np.array([np.frombuffer(x, np.float64) for x in few if len(x) == 8 * length])
-        pivots[length] = choose_pivots(unit(own), count)
+        sampled[length] = unit(np.array([np.frombuffer(x, np.float64) for x in few if len(x) == 8 * length]))
+    probes = {length: x[: max(1, PROBES * len(x) // len(few))] for length, x in sampled.items()}
+    hardest = classes.select("vector").mapInArrow(
+        _hardest(probes, threshold), "length int, probe int, cosine double, vector binary"
+    ).groupBy("length", "probe").agg(F.min(F.struct("cosine", "vector")).alias("link")).collect()
+    indexes = {}
+    for length, x in sampled.items():
+        links = [r for r in hardest if r.length == length]
+        there = np.array([np.frombuffer(r.link.vector, np.float64) for r in links]).reshape(-1, length)
+        linked = probes[length][[r.probe for r in links]], unit(there) if links else there
+        indexes[length] = choose_index(x, [planted(x, threshold), linked], count, nearest)
+    nearest = max([nearest, *[i.nearest for i in indexes.values() if i]])
     described = classes.select("class", "vector").mapInArrow(
-        _described(pivots, nearest), "class binary, length int, low int, high int, near array<int>"
+        _described(indexes), "class binary, length int, low int, high int, near array<int>"
     )
     listed = described.withColumn("_list", F.struct("length", "low", "high"))
     dealt = settle(cells(listed, "_list", "class").drop("_list"), "cells")
