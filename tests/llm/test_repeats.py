@@ -9,7 +9,8 @@ import pytest
 
 from helpers import SF, WORD, documents, passages, sha
 from topicwell.llm import arrays as A
-from topicwell.llm import repeats
+from topicwell.llm import repeats, substring_dedup
+from topicwell.llm import suffix_dedup as suffix_dedup_module
 from topicwell.llm.substring_dedup import factor_dedup
 from topicwell.llm.suffix_dedup import suffix_array, suffix_dedup
 
@@ -130,3 +131,32 @@ def test_suffix_array(symbols):
     for n in [0, 1, 2, 3, 4, 5, 6, 7, 8, 31, 100, 333]:
         for text in (rng.integers(1, symbols, n), np.ones(n, int), np.tile([1, 2], n)[:n]):
             assert list(suffix_array(text)) == sorted(range(n), key=lambda i: list(text[i:]))
+
+
+def bounded(compare, most):
+    """``compare``, which fails if a task is handed more symbols than ``most``."""
+
+    def run(symbols, *rest):
+        if len(symbols) > most:
+            raise ValueError(f"{len(symbols)} symbols in one comparison")
+        return compare(symbols, *rest)
+
+    return run
+
+
+def test_line_in_a_third_of_the_documents(spark, monkeypatch):
+    """One mark with a different content per occurrence is not one task's share."""
+    line, passage = "held by many documents of this table", " ".join(f"p{i}" for i in range(20))
+    rows = []
+    for i in range(240):
+        own = [f"o{i}n{k}" for k in range(30)]
+        shared = line if i % 3 == 0 else passage if i % 3 == 1 else ""
+        rows.append((i if i % 7 else None, " ".join([*own[:15], shared, *own[15:]])))
+    rows += [(500, "loop la " * 60), (501, "x " + "loop la " * 50), rows[1]]
+    monkeypatch.setattr(repeats, "COMPARED", 1 << 9)
+    monkeypatch.setattr(repeats, "WIDE", 1 << 8, raising=False)
+    monkeypatch.setattr(substring_dedup, "factor_windows", bounded(substring_dedup.factor_windows, 1 << 11))
+    monkeypatch.setattr(suffix_dedup_module, "repeated_windows", bounded(suffix_dedup_module.repeated_windows, 1 << 11))
+    df = documents(spark, rows)
+    check_words(df, rows, 13)
+    check_bytes(df, rows, 40, gram=12)

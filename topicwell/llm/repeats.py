@@ -8,11 +8,12 @@ mark each, about two runs per window width. The work on runs is:
 2. runs of the remaining marks are grouped by mark and content. Runs with equal content are
    repeats as a whole. Groups are combined before the shuffle;
 3. where one mark has runs of different content or is tied, every different run is compared window by window
-   by the operator's own ``compare`` (suffix sorting or factoring), grouped by mark;
+   by the operator's own ``compare`` (suffix sorting or factoring), grouped by mark. A mark with more
+   than ``WIDE`` symbols in different runs is not compared in a task: its windows are counted by mark
+   and 128-bit digest, combined before the shuffle, and the verdict is joined back to the windows;
 4. the verdict of each run content is joined back to all its places, and each text is cut once.
 
-No step needs all rows of a mark, a document group or a copy group in one task, but for the
-*different* run contents of one mark in step 3. Rows are told apart by id and text, so repeated
+No step needs all rows of a mark, a document group or a copy group in one task. Rows are told apart by id and text, so repeated
 rows are documents of their own and rows with an id in common do not mix.
 """
 
@@ -33,6 +34,9 @@ from topicwell.llm.tables import beside, bounded_batches, having, settle
 SEGMENT = 1 << 19
 # Symbols that one task compares in step 3.
 COMPARED = 1 << 20
+# Symbols of one mark's different runs that a task compares, and windows listed in one Arrow batch.
+WIDE = 1 << 18
+LISTED = 1 << 15
 
 Values = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
@@ -154,18 +158,81 @@ def _fetch_runs(spec: Windows):
                 buffer = np.frombuffer(text, np.uint8)
                 symbols = buffer if spec.raw else spec.values(buffer, np.array([0, len(buffer)]))[0]
                 out += [
-                    (a["mark"], a["content"], a["first"], a["n"], symbols[a["start"] : a["start"] + a["length"] + spec.width - 1].tobytes())
+                    (a["mark"], a["content"], a["first"], a["n"], a["wide"], symbols[a["start"] : a["start"] + a["length"] + spec.width - 1].tobytes())
                     for a in own
                 ]
-            columns = list(zip(*out)) or [[]] * 5
-            types = [pa.int64(), pa.int64(), ids.type, pa.int64(), pa.binary()]
+            columns = list(zip(*out)) or [[]] * 6
+            types = [pa.int64(), pa.int64(), ids.type, pa.int64(), pa.bool_(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, types)], ["mark", "content", "first", "n", "symbols"]
+                [pa.array(c, t) for c, t in zip(columns, types)], ["mark", "content", "first", "n", "wide", "symbols"]
             )
 
     return fetched
 
 
+def _list_windows(spec: Windows):
+    """Every window of a run: its place in the run and a digest of its symbols."""
+    item = np.dtype(spec.stored).itemsize
+
+    def listed(batches):
+        for batch in batches:
+            row, off, digest = [], [], []
+
+            def rows():
+                take = pa.array(row, pa.int64())
+                return pa.RecordBatch.from_arrays(
+                    [
+                        *[batch.column(n).take(take) for n in ("mark", "content", "first", "n")],
+                        pa.array(off, pa.int64()),
+                        pa.array(digest, pa.binary()),
+                    ],
+                    ["mark", "content", "first", "n", "off", "window"],
+                )
+
+            for i, data in enumerate(batch.column("symbols")):
+                data = data.as_py()
+                for at in range(len(data) // item - spec.width + 1):
+                    window = data[at * item : (at + spec.width) * item]
+                    row.append(i)
+                    off.append(at)
+                    digest.append(hashlib.blake2b(window, digest_size=16).digest())
+                    if len(row) == LISTED:
+                        yield rows()
+                        row, off, digest = [], [], []
+            yield rows()
+
+    return listed
+
+
+def _join_windows(spec: Windows):
+    """Places of hit windows in a run to covered symbols."""
+
+    def joined(batches):
+        for batch in batches:
+            parts = []
+            for places in batch.column(2):
+                at = np.sort(np.array(places.as_py(), np.int64))
+                parts.append([{"off": int(a), "len": int(b - a)} for a, b in zip(*A.merged(at, at + spec.width))])
+            kind = pa.list_(pa.struct([("off", pa.int64()), ("len", pa.int64())]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(parts, kind)], ["mark", "content", "parts"]
+            )
+
+    return joined
+
+
+def _wide_parts(symbols: DataFrame, spec: Windows, kind: str, held: Column) -> DataFrame:
+    """What ``_compared`` gives, for runs of marks that no task can hold."""
+    listed = f"mark bigint, content bigint, first {kind}, n bigint, off bigint, window binary"
+    windows = settle(symbols.mapInArrow(_list_windows(spec), listed), "windows")
+    held_by = windows.groupBy("mark", "window").agg(F.sum("n").alias("total"), F.min("first").alias("least"))
+    again = settle(held_by.where(F.col("total") >= 2), "again")
+    hits = windows.join(again.hint("merge"), ["mark", "window"]).where(held)
+    return hits.groupBy("mark", "content").agg(F.collect_list("off").alias("places")).mapInArrow(
+        _join_windows(spec), "mark bigint, content bigint, parts array<struct<off:bigint,len:bigint>>"
+    )
+
+
 def _compared(spec: Windows, compare):
     def run(table: pa.Table) -> pa.Table:
         data, bounds = A.column_buffer(table.column("symbols"))
@@ -200,14 +267,15 @@ def _compared(spec: Windows, compare):
 
 
 def removed_ranges(
-    docs: DataFrame, spec: Windows, compare, whole: Column, partly: Column, joins: Column
+    docs: DataFrame, spec: Windows, compare, whole: Column, partly: Column, joins: Column, held: Column
 ) -> DataFrame:
     """For each id that loses symbols: ``id`` and ``ranges``, an array of (row_key, start, end).
 
     ``docs`` has the columns ``id`` and ``text``. Over the columns ``id``, ``first`` (least id with
     this run content) and ``n`` (places of it): ``whole`` says that all windows of a run are hits,
     ``partly`` that the comparison decides. ``joins``, over ``n``, says which run contents have to
-    be looked up at all. ``compare`` marks the windows of different runs that are hits.
+    be looked up at all. ``compare`` marks the windows of different runs that are hits; ``held`` says the same
+    of one window, over ``first`` of its run, and ``total`` (places) and ``least`` (id) of all equal windows.
     """
     bounded_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["id"]
@@ -240,28 +308,40 @@ def removed_ranges(
         ),
         "contents",
     )
-    mixed = contents.groupBy("mark").agg(
-        F.count(F.lit(1)).alias("kinds"), F.max("tied").alias("tied")
-    ).where((F.col("kinds") >= 2) | F.col("tied")).select("mark")
-    wanted = contents.join(mixed, "mark", "left_semi")
+    mixed = settle(
+        contents.groupBy("mark").agg(
+            F.count(F.lit(1)).alias("kinds"),
+            F.max("tied").alias("tied"),
+            (F.sum(F.col("place.length") + spec.width) > WIDE).alias("wide"),
+        ).where((F.col("kinds") >= 2) | F.col("tied")).select("mark", "wide"),
+        "mixed",
+    )
+    wanted = contents.join(mixed, "mark")
     asked = settle(
         wanted.groupBy(F.col("place.id").alias("id")).agg(
             F.collect_list(
-                F.struct("place.row_key", "place.start", "place.length", "mark", "content", "first", "n")
+                F.struct("place.row_key", "place.start", "place.length", "mark", "content", "first", "n", "wide")
             ).alias("asked")
         ),
         "asked",
     )
-    amount = asked.select(F.explode("asked.length").alias("l")).agg(F.sum(F.col("l") + spec.width)).first()[0] or 0
-    groups = F.lit(max(1, -(-amount // COMPARED)))
+    size = asked.select(F.explode("asked").alias("a")).select(F.col("a.length").alias("l"), F.col("a.wide").alias("wide")).agg(
+        F.sum(F.when(~F.col("wide"), F.col("l") + spec.width)).alias("amount"), F.max("wide").alias("wide")
+    ).first()
+    groups = F.lit(max(1, -(-(size.amount or 0) // COMPARED)))
     right = asked.withColumnRenamed("id", "_id")
     texts = having(docs, asked.select("id")).join(right, F.col("id").eqNullSafe(F.col("_id"))).select("id", "text", "asked")
     symbols = texts.mapInArrow(
-        _fetch_runs(spec), f"mark bigint, content bigint, first {kind}, n bigint, symbols binary"
-    ).withColumn("_group", F.pmod(F.xxhash64("mark"), groups))
-    parts = symbols.groupBy("_group").applyInArrow(
+        _fetch_runs(spec), f"mark bigint, content bigint, first {kind}, n bigint, wide boolean, symbols binary"
+    )
+    if size.wide:
+        symbols = settle(symbols, "symbols")
+    narrow = symbols.where(~F.col("wide")).withColumn("_group", F.pmod(F.xxhash64("mark"), groups))
+    parts = narrow.groupBy("_group").applyInArrow(
         _compared(spec, compare), "mark bigint, content bigint, parts array<struct<off:bigint,len:bigint>>"
     )
+    if size.wide:
+        parts = parts.unionByName(_wide_parts(symbols.where("wide"), spec, kind, held))
     parts = settle(parts, "parts")
     verdicts = (
         contents.select("mark", "content", "n", "first")

@@ -5,7 +5,7 @@ document with a smaller id. The reference blocks are the run contents of ``repea
 equals one of an earlier document is a factor as a whole. All other blocks that share a mark are
 indexed window by window with the earliest document that holds the window; each block is factored
 greedily against that index, a factor going on while the next window continues in the reference.
-Factors of at least ``window`` words become duplicate spans, after their words have been compared
+Windows of marks too large for a task are looked up by digest on Spark. Factors of at least ``window`` words become duplicate spans, after their words have been compared
 with the reference's from the first window of the factor to the last. Every window is looked up, so
 windows that cross the end of a factor are not missed.
 
@@ -101,7 +101,8 @@ def factor_dedup(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     spec = Windows(window, gram, _word_values, "uint64", False)
     later = F.col("first").isNotNull() & (F.col("id").isNull() | (F.col("id") > F.col("first")))
-    ranges = removed_ranges(rows, spec, factor_windows, later, ~later, F.col("n") >= 2)
+    earlier = F.col("least").isNotNull() & (F.col("first").isNull() | (F.col("least") < F.col("first")))
+    ranges = removed_ranges(rows, spec, factor_windows, later, ~later, F.col("n") >= 2, earlier)
     kind = dict(rows.dtypes)["id"]
     out = cut_texts(rows, ranges).mapInArrow(
         _cut_words,

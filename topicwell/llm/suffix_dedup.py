@@ -2,7 +2,8 @@
 
 ``suffix_dedup`` removes every byte covered by a string of ``width`` bytes that starts anywhere
 else too. Only strings whose mark occurs again can repeat (``repeats``); runs of equal content are
-repeats as a whole, and what is left is suffix-sorted. Spark deals the remaining runs out by mark,
+repeats as a whole, windows of marks too large for a task are counted by digest, and what is left is
+suffix-sorted. Spark deals the remaining runs out by mark,
 so equal strings meet in one task, and each task sorts its share with the difference cover
 {1, 2} modulo 3: the triples at those places are sorted and named, names that are not unique are
 sorted by recursion, the remaining third of the suffixes is ordered by one symbol and the rank that
@@ -158,7 +159,7 @@ def suffix_dedup(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     spec = Windows(width, gram, _byte_symbols, "uint8", True)
     twice = F.col("n") >= 2
-    ranges = removed_ranges(rows, spec, repeated_windows, twice, ~twice, twice)
+    ranges = removed_ranges(rows, spec, repeated_windows, twice, ~twice, twice, F.col("total") >= 2)
     kind = dict(rows.dtypes)["id"]
     out = cut_texts(rows, ranges).mapInArrow(
         _cut_bytes,
