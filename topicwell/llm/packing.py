@@ -4,13 +4,15 @@ Documents become token ids and an end id. Longer ones are cut into pieces of ``c
 which the first may be shorter. Pieces are dealt by hash into shards of about ``shard_pieces``, and
 each shard is packed by branch and bound on its lengths:
 
+* pieces that leave no room for the smallest one, such as full pieces of cut documents, are bins of
+  their own and take no part in what follows;
 * the incumbent is best fit by falling length; it is final if it meets ``lower_bound``;
 * otherwise bins are completed one by one. The largest piece left opens a bin; fillings for the
   rest of it are enumerated, those dominated by another (its pieces fit into the other's pieces)
   are left out, and the others are tried by rising waste, best fit first;
 * a branch ends when its waste exceeds what a packing with one sequence less could waste. A better
-  packing becomes the incumbent; the search ends at the lower bound or after ``nodes`` bins, with
-  the incumbent, so every piece is packed whatever the limit.
+  packing becomes the incumbent; the search ends at the lower bound or after ``nodes`` bins,
+  ``DESCENTS`` times the incumbent's bins if that is more, with the incumbent, so every piece is packed whatever the limit.
 
 A shard wastes less than about one sequence beyond what its pieces force, against thousands that it
 fills. Only lengths are shuffled, not ids, and no shard depends on a hot source or a long document.
@@ -37,6 +39,8 @@ CAPACITY = 1024
 END = 2
 SHARD_PIECES = 8192
 NODES = 6_000
+# Packings that the search can go through at least: bins put on the path, for each bin of the incumbent.
+DESCENTS = 4
 WIDTH = 10
 
 
@@ -171,7 +175,13 @@ def lower_bound(lengths: list[int], capacity: int) -> int:
 
 def complete_bins(lengths: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
     """Bins of lengths, as few as the search finds."""
+    # The smallest piece stays, so one round finds them all; it is alone only if every piece is.
+    least = min(lengths, default=0)
+    alone = [[length] for length in lengths if length + least > capacity]
+    if alone:
+        return alone + complete_bins([length for length in lengths if length + least <= capacity], capacity, nodes)
     best = best_fit(lengths, capacity)
+    nodes = max(nodes, DESCENTS * len(best)) if nodes else 0
     total = sum(lengths)
     bound = lower_bound(lengths, capacity)
     left = _Left(lengths, capacity)
