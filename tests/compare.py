@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 from pathlib import Path
 
 import duckdb
@@ -41,3 +42,16 @@ def difference(spark_df, connection, sql: str) -> str | None:
     only_spark = [r for r in found if r not in set(wanted)][:3]
     only_sql = [r for r in wanted if r not in set(found)][:3]
     return f"{len(found)} rows against {len(wanted)}; only Spark {only_spark}; only SQL {only_sql}"
+
+
+@contextmanager
+def limits(spark, group_rows, broadcast_rows):
+    """Row limits of the session for the length of a block."""
+    names = {"spark.topicwell.groupRows": group_rows, "spark.topicwell.broadcastRows": broadcast_rows}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name in names:
+            spark.conf.unset(name)

@@ -1,12 +1,12 @@
 import os
 import sys
-from contextlib import contextmanager
 
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
+from compare import limits  # noqa: E402
 from topicwell.session import build_session  # noqa: E402
 
 
@@ -33,15 +33,3 @@ def small_limits(spark):
     """Limits so low that keys are divided and sides are not broadcast."""
     with limits(spark, 60, 20):
         yield
-
-
-@contextmanager
-def limits(spark, group_rows, broadcast_rows):
-    names = {"spark.topicwell.groupRows": group_rows, "spark.topicwell.broadcastRows": broadcast_rows}
-    for name, value in names.items():
-        spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        for name in names:
-            spark.conf.unset(name)

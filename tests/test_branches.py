@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import limits
+from compare import limits
 from topicwell.functions.payload import columnar_payload
 from topicwell.operators import validation
 from topicwell.plans.joins import covered

@@ -4,7 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import limits
+from compare import limits
 from pyspark.sql import functions as F
 
 from topicwell.plans.joins import covered, keyed_join

@@ -3,10 +3,9 @@
 import re
 
 import pytest
-from conftest import limits
 from pyspark.sql import functions as F
 
-from compare import SF
+from compare import SF, limits
 from topicwell.catalog.batch import QUERIES
 from topicwell.operators import offsets, routing
 from topicwell.session import broadcastable, build_session, settle, shared_dir
