@@ -1,0 +1,110 @@
+"""Line dedup against plain counting, and how its runs are kept."""
+
+from __future__ import annotations
+
+import random
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from compare import connect, difference
+from helpers import SF, documents
+from topicwell.llm import line_dedup as L
+from topicwell.llm.catalog import ORACLE, QUERIES
+
+SPACE = " \t\n\x0b\x0c\r"
+LOWER = {c: c + 32 for c in range(65, 91)}
+LONG = "This line is long enough to count as a key, éÉ and all"
+
+
+def key(line):
+    return line.strip(SPACE).translate(LOWER)
+
+
+def brute(rows, least=5):
+    held = defaultdict(list)
+    for i, t in rows:
+        for k in {key(x) for x in (t or "").split("\n")}:
+            if len(k) >= 40:
+                held[k].append(i)
+    keeper = {k: max(v, key=lambda i: (i is not None, i)) for k, v in held.items() if len(v) >= least}
+    out = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if key(x) not in keeper or keeper[key(x)] == i]
+        out.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return sorted(out, key=str)
+
+
+def found(df, **options):
+    rows = L.line_dedup(df, **options).collect()
+    return sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in rows), key=str)
+
+
+def cases(seed=0, docs=80):
+    rng = random.Random(seed)
+    lines = [LONG, LONG.upper(), f"\t {LONG} \x0b", "é" * 39, "é" * 40, "é" * 40 + "x", "x" * 39 + " ", "\x85" + "y" * 40]
+    lines += ["", " ", "short", LONG + " more", "a" * 100_000, LONG[:20] + " " * 30 + LONG[20:]]
+    out = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 9)))) for i in range(docs)]
+    return out + [(docs, None), (docs + 1, ""), (docs + 2, "\n"), (5, LONG), (5, LONG), (None, LONG), (None, LONG), (None, None)]
+
+
+@pytest.mark.parametrize("batches, fanout", [(1, 3), (4, 3), (7, 2)])
+def test_cases(spark, batches, fanout):
+    assert found(documents(spark, cases()), batches=batches, fanout=fanout) == brute(cases())
+
+
+def test_shuffled_joins(spark):
+    spark.conf.set("spark.topicwell.llm.keyRows", "0")
+    try:
+        assert found(documents(spark, cases(1))) == brute(cases(1))
+    finally:
+        spark.conf.unset("spark.topicwell.llm.keyRows")
+
+
+def test_a_third_without_id(spark):
+    rows = [(None if i % 3 == 0 else i, f"{LONG}\n{i}\n{LONG if i % 2 else ''}") for i in range(90)]
+    assert found(documents(spark, rows)) == brute(rows)
+    nulls = [(None, LONG) for _ in range(6)]
+    assert found(documents(spark, nulls)) == brute(nulls)
+
+
+def test_text_ids_and_empty_table(spark):
+    rows = [(str(i), LONG) for i in range(12)]
+    assert found(spark.createDataFrame(rows, "doc_id string, text string")) == brute(rows)
+    assert found(documents(spark, [])) == []
+
+
+def test_runs_are_levelled_and_keys_are_fresh_once(spark):
+    runs = L.LineRuns(spark, buckets=2, fanout=2)
+    try:
+        for batch in range(6):
+            rows = [(100 - batch, k, k) for k in range(batch * 3, batch * 3 + 5)]
+            fresh = runs.add(spark.createDataFrame(rows, "bearer bigint, high bigint, low bigint"))
+            assert {r.high for r in fresh.collect()} == set(range(batch * 3 + 2 * (batch > 0), batch * 3 + 5))
+        assert [len(x) for x in runs.levels] == [0, 1, 1]
+        keepers = {r.high: r.keeper for r in runs.held_by(1).collect()}
+        assert keepers == {k: 100 - max(0, (k - 2) // 3) for k in range(20)}
+        assert {r.high for r in runs.held_by(2).collect()} == {k for b in range(1, 6) for k in (b * 3, b * 3 + 1)}
+    finally:
+        runs.close()
+
+
+def test_a_batch_meets_the_runs_bucket_by_bucket(spark):
+    """Neither the batch nor a run is shuffled for the anti-join."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    runs = L.LineRuns(spark, buckets=4, fanout=9)
+    try:
+        keys = spark.range(100).select(F.col("id").alias("bearer"), F.xxhash64("id").alias("high"), F.col("id").alias("low"))
+        for part in range(3):
+            runs.add(keys.where(F.col("low") % 3 == part))
+        plan = runs._fresh(runs._written(keys.select("high", "low"), "probe"))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 3 and "LeftAnti" in plan and "Exchange" not in plan
+    finally:
+        runs.close()
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_query_agrees_with_sql(spark):
+    assert difference(QUERIES["op11_line_dedup"](spark, SF), connect(SF), ORACLE["op11_line_dedup"]) is None

@@ -13,6 +13,7 @@ from topicwell.llm.chat_format import format_turns, read_loss, read_turns
 from topicwell.llm.embedding_dedup import embedding_links
 from topicwell.llm.exact_dedup import exact_groups
 from topicwell.llm.language_id import identify_languages
+from topicwell.llm.line_dedup import line_dedup
 from topicwell.llm.mixing import mix_sources
 from topicwell.llm.ngram_join import ngram_links
 from topicwell.llm.packing import pack_documents
@@ -114,6 +115,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), in_fold(3, 1))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(_read(spark, sf_dir, "documents"))
+    kept = F.sha2(F.col("kept_text").cast("binary"), 256)
+    return out.select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -125,9 +132,11 @@ QUERIES: dict[str, Query] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality": op10_quality,
+    "op11_line_dedup": op11_line_dedup,
 }
 
-_NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_NORMAL = _LOWER.format("coalesce(text, '')")
 
 ORACLE: dict[str, str] = {
     "op3_exact_dedup": f"""
@@ -157,4 +166,19 @@ ORACLE: dict[str, str] = {
         SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
                sha256(coalesce(k, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id)""",
+    "op11_line_dedup": f"""
+        WITH l AS (
+            SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS i
+            FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents)
+        ), k AS (
+            SELECT doc_id, line, i, {_LOWER.format("trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key
+            FROM l
+        ), often AS (
+            SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+        ), marked AS (
+            SELECT doc_id, line, i, coalesce(doc_id < keeper, false) AS gone FROM k LEFT JOIN often USING (key)
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id""",
 }
