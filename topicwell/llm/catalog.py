@@ -18,8 +18,10 @@ from topicwell.llm.mixing import mix_sources
 from topicwell.llm.ngram_join import ngram_links
 from topicwell.llm.packing import pack_documents
 from topicwell.llm.quality import score_quality
+from topicwell.llm.ranked_search import ranked_search
 from topicwell.llm.substring_dedup import factor_dedup
 from topicwell.llm.suffix_dedup import suffix_dedup
+from topicwell.llm.whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -121,6 +123,14 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -133,9 +143,12 @@ QUERIES: dict[str, Query] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality": op10_quality,
     "op11_line_dedup": op11_line_dedup,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = f"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
 _NORMAL = _LOWER.format("coalesce(text, '')")
 
 ORACLE: dict[str, str] = {
@@ -181,4 +194,26 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY doc_id""",
+    "op12_ranked_search": f"""
+        WITH d AS (
+            SELECT doc_id, {_TERMS} AS t FROM documents
+        ), s AS (
+            SELECT doc_id, t, len(t) AS n FROM d WHERE len(t) > 0
+        ), whole AS (
+            SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM s
+        ), tf AS (
+            SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(t) AS term FROM s) GROUP BY doc_id, n, term
+        ), df AS (
+            SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, whole GROUP BY term, docs
+        ), q AS (
+            SELECT item_id, term, count(*) AS c FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY item_id, term
+        ), scored AS (
+            SELECT item_id, doc_id,
+                   sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + ((25 * n * docs) // terms)))))::BIGINT AS score
+            FROM q JOIN df USING (term) JOIN tf USING (term), whole GROUP BY item_id, doc_id
+        )
+        SELECT item_id, rank, doc_id, score FROM (
+            SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+            FROM scored WHERE score > 0
+        ) WHERE rank <= 20""",
 }
