@@ -115,7 +115,19 @@ def test_queries_read_the_written_log(spark):
 
 
 # Jobs that run while the DataFrame is built; one of them finds the columns of the table.
-JOBS = {"route_registered": 1, "assign_offsets": 6, "flight_batches": 6, "read_from_offset": 3, "read_requests": 12, "fan_out": 17}
+JOBS = {
+    "route_registered": 1,
+    "assign_offsets": 1,
+    "topic_volume": 1,
+    "flight_batches": 1,
+    "queue_depth": 1,
+    "byte_backlog": 3,
+    "subscription_intervals": 1,
+    "fan_out": 6,
+    "undelivered_flights": 6,
+    "read_from_offset": 3,
+    "read_requests": 12,
+}
 
 
 @pytest.mark.parametrize("name", JOBS)

@@ -8,7 +8,7 @@ from compare import limits
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from topicwell.plans.running import count_before, cut, following, lowest, previous, running, total
+from topicwell.plans.running import count_before, cut, following, lifted, lowest, previous, running, total
 
 T0 = datetime(2024, 1, 1)
 
@@ -109,3 +109,30 @@ def test_order_types(spark, kind):
     with limits(spark, 100, 10_000):
         found = running(df, ["key"], ORDER, [count_before("n")])
         assert found.where("n <> id").count() == 0
+
+
+@pytest.mark.parametrize("kind", KINDS)
+@pytest.mark.parametrize("keys", [["key"], []])
+def test_lifted_sums(spark, kind, keys):
+    """Against a step-by-step queue, in one call with another scan, over cells and over whole keys."""
+    rows = _rows(kind)
+    schema = "key string, ts timestamp_ntz, id bigint, value bigint"
+    df = spark.createDataFrame(rows, schema).repartition(4).withColumn("change", F.when(F.col("value").isNull(), -1).otherwise(1))
+    wanted, depths = {}, {}
+    for key, ts, number, value in sorted(rows, key=lambda r: (r[1] is not None, r[1] or T0, r[2])):
+        own = key if keys else None
+        level = depths.get(own, 0) + (1 if value is not None else -1)
+        wanted[number] = level
+        depths[own] = max(level, 0)
+    for limit in (100, 10_000):
+        with limits(spark, limit, 10_000):
+            found = running(df, keys, ORDER, [lifted("level", F.col("change")), count_before("n")])
+            assert {r.id: r.level for r in found.collect()} == wanted
+
+
+def test_one_pass_over_the_queue(spark):
+    df = spark.createDataFrame(_rows("even"), "key string, ts timestamp_ntz, id bigint, value bigint")
+    change = F.when(F.col("value").isNull(), -1).otherwise(1)
+    plan = running(df, ["key"], ORDER, [lifted("level", change), total("sum", change)])
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1 and text.count("+- Sort ") == 1

@@ -24,7 +24,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).withColumn("topic", F.col("event_type"))
+    return tagged_of(events(spark, sf_dir))
+
+
+def tagged_of(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("topic", F.col("event_type"))
 
 
 def topics(spark: SparkSession) -> DataFrame:

@@ -45,18 +45,18 @@ def written_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("event_id bigint, ts timestamp_ntz, offset bigint, topic string").parquet(_logs[key])
 
 
-def _flights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delivery.flight_batches(_routed(spark, sf_dir).select(*EVENT))
+def _flights_of(events: DataFrame) -> DataFrame:
+    routed = routing.route_registered(b.tagged_of(events), b.topics(events.sparkSession))
+    return delivery.flight_batches(routed.select(*EVENT))
 
 
-def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.subscription_intervals(b.control(spark, sf_dir), b.TOPICS)
+def _intervals_of(events: DataFrame) -> DataFrame:
+    return registry.subscription_intervals(b.control_of(events), b.TOPICS)
 
 
 def _deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delivery.fan_out(_flights(spark, sf_dir), _intervals(spark, sf_dir)).select(
-        "topic", "flight", "address", "n"
-    )
+    events = b.events(spark, sf_dir)
+    return delivery.fan_out(_flights_of(events), _intervals_of(events)).select("topic", "flight", "address", "n")
 
 
 def _failed() -> Column:
@@ -221,7 +221,7 @@ def has_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def subscription_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _intervals(spark, sf_dir)
+    return _intervals_of(b.events(spark, sf_dir))
 
 
 def subscription_intervals_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,7 +247,7 @@ def connect_sessions_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flight_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flights(spark, sf_dir)
+    return _flights_of(b.events(spark, sf_dir))
 
 
 def flight_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,7 +261,8 @@ def fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def undelivered_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lost = delivery.undelivered_flights(_flights(spark, sf_dir), _intervals(spark, sf_dir))
+    events = b.events(spark, sf_dir)
+    lost = delivery.undelivered_flights(_flights_of(events), _intervals_of(events))
     return lost.select("topic", "flight", "n")
 
 

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicwell.plans.running import Cells, cut, lowest, running, total
+from topicwell.plans.joins import keyed_join
+from topicwell.plans.running import Scan, lifted, running, total
 from topicwell.session import settle_table
 
 WRITE, READ = "write", "read"
@@ -20,56 +21,37 @@ def _relevant(ops: DataFrame) -> DataFrame:
     return ops.where(F.col("op").isin(WRITE, READ))
 
 
-def _depths(ops: DataFrame, cells: Cells) -> DataFrame:
-    """Add ``depth`` and ``frees``, whether the operation takes something out.
-
-    The depth is the sum of writes less reads, lifted by the lowest value below zero it has
-    reached. A read that would set a new low below zero finds the queue empty.
-    """
+def _depths(ops: DataFrame, *scans: Scan) -> DataFrame:
+    """Add ``depth`` and the values of ``scans``, in one pass over the operations."""
     change = F.when(F.col("op") == WRITE, 1).otherwise(-1)
-    summed = running(ops, [], _ORDER, [total("_sum", change)], cells)
-    floored = running(summed, [], _ORDER, [lowest("_low", F.col("_sum"), through=False)], cells)
-    low_before = F.least(F.lit(0), F.col("_low"))
-    depth = F.col("_sum") - F.least(low_before, F.col("_sum"))
-    return floored.select(
-        *ops.columns,
-        depth.cast("bigint").alias("depth"),
-        ((F.col("op") == READ) & (F.col("_sum") >= low_before)).alias("frees"),
-    )
+    passed = running(ops, [], _ORDER, [lifted("_level", change), *scans])
+    depth = F.greatest(F.col("_level"), F.lit(0)).cast("bigint")
+    return passed.select(*ops.columns, depth.alias("depth"), *[s.name for s in scans])
 
 
 def queue_depth(ops: DataFrame, capacity: int) -> DataFrame:
     """Depth after each operation; a queue of ``capacity`` slots is full at ``capacity - 1``."""
-    ops = _relevant(ops).select("seq", "ts", "op")
-    cells = cut(ops, [], _ORDER)
-    depths = _depths(cells.assign(ops), cells)
+    depths = _depths(_relevant(ops).select("seq", "ts", "op"))
     return depths.select("seq", "ts", "op", "depth", (F.col("depth") >= capacity - 1).alias("at_capacity"))
 
 
 def byte_backlog(ops: DataFrame, size: Column, section: int) -> DataFrame:
     """Bytes waiting after each operation, and their share of the data section in percent.
 
-    The k-th read that finds something frees the bytes of the k-th write.
+    The k-th read that finds something frees the bytes of the k-th write. What has been written and not
+    been taken is the depth, so an operation knows how many writes have been freed, and the bytes of the
+    first so many writes are known where the last of them is.
     """
     ops = _relevant(ops).select("seq", "ts", "op", size.cast("bigint").alias("size"))
-    cells = cut(ops, [], _ORDER)
     is_write = F.col("op") == WRITE
     turn = [
         total("_writes", F.when(is_write, 1).otherwise(0)),
-        total("_reads", F.when(F.col("frees"), 1).otherwise(0)),
+        total("_bytes", F.when(is_write, F.col("size")).otherwise(0)),
     ]
-    numbered = running(_depths(cells.assign(ops), cells), [], _ORDER, turn, cells).drop(*cells.columns)
-    numbered = settle_table(numbered, "operations")
-    place = ["seq", "ts", "op"]
-    writes = numbered.where(is_write).select(*place, "size", F.col("_writes").alias("_no"))
-    reads = numbered.where("frees").select(*place, F.col("_reads").alias("_no"))
-    # Both sides have one row per number, so this join has no large key.
-    freed = reads.join(writes.select("_no", "size"), "_no").select(*place, (-F.col("size")).alias("_change"))
-    idle = numbered.where(~is_write & ~F.col("frees")).select(*place, F.lit(0).cast("bigint").alias("_change"))
-    changes = writes.select(*place, F.col("size").alias("_change")).unionByName(freed).unionByName(idle)
-    waiting = running(changes, [], _ORDER, [total("bytes_used", F.col("_change"))], cells)
-    return waiting.select(
-        *place,
-        F.col("bytes_used").cast("bigint").alias("bytes_used"),
-        (F.col("bytes_used") * 100.0 / section).alias("pct"),
-    )
+    passed = _depths(ops, *turn).withColumn("_freed", F.col("_writes") - F.col("depth"))
+    passed = settle_table(passed.drop("size"), "operations")
+    upto = passed.where(is_write).select(F.col("_writes").alias("_freed"), F.col("_bytes").alias("_gone"))
+    known = keyed_join(passed, upto, ["_freed"], "left", ["seq"])
+    used = (F.col("_bytes") - F.coalesce("_gone", F.lit(0))).cast("bigint")
+    waiting = known.select("seq", "ts", "op", used.alias("bytes_used"))
+    return waiting.select("*", (F.col("bytes_used") * 100.0 / section).alias("pct"))

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from topicwell.plans.statistics import most_rows
 from topicwell.session import broadcast_rows, fits, group_rows, settle, settle_with, table_size
 
 WHOLE = -1
@@ -42,6 +43,10 @@ class Scan:
     backward: bool = False
     # Whether the summary is the number of rows, which cutting has counted already.
     counts: bool = False
+    # What ``local`` and ``summary`` read as column ``_pre_<name>``: a running value of its own over the same window.
+    # ``carry_pre`` is the same for ``carry``, over the summaries.
+    pre: Callable[[WindowSpec], Column] | None = None
+    carry_pre: Callable[[Column, WindowSpec], Column] | None = None
 
 
 def _upto(window: WindowSpec) -> WindowSpec:
@@ -88,6 +93,33 @@ def lowest(name: str, value: Column, through: bool = True) -> Scan:
     )
 
 
+def lifted(name: str, change: Column) -> Scan:
+    """Running sum of ``change`` that goes on from zero wherever it would stay below: a queue's depth.
+
+    The value is that before a row lifts it, so it is below zero where a row finds nothing to take.
+    Steps compose as ``d -> max(d + sum, least)``, so a cell carries its sum and its lowest prefix.
+    """
+    pre = f"_pre_{name}"
+
+    def local(w: WindowSpec) -> Column:
+        low = F.min(F.col(pre)).over(_before(w))
+        return F.struct(F.col(pre).alias("sum"), low.alias("low"))
+
+    def carry(s: Column, w: WindowSpec) -> Column:
+        low = F.min(F.col(f"_carrypre_{name}") + s["low"]).over(_before(w))
+        return F.col(f"_carrypre_{name}") - F.least(F.lit(0), low)
+
+    return Scan(
+        name,
+        local,
+        F.struct(F.sum(change).alias("sum"), F.min(F.col(pre)).alias("low")),
+        carry,
+        lambda carry, local: local["sum"] + F.greatest(F.coalesce(carry, F.lit(0)), -local["low"]),
+        pre=lambda w: F.sum(change).over(_upto(w)),
+        carry_pre=lambda s, w: F.coalesce(F.sum(s["sum"]).over(_before(w)), F.lit(0)),
+    )
+
+
 def previous(name: str, value: Column, order: Sequence[str]) -> Scan:
     """The last non-null ``value`` of an earlier row."""
     place = F.when(value.isNotNull(), F.struct(*order))
@@ -204,7 +236,7 @@ def _divided_by_first() -> Column:
 def cut(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int | None = None) -> Cells:
     """Find the cells of ``df``. One counting pass, and one more per level of division.
 
-    A pass writes the pieces; what else is asked of them is read from there.
+    Nothing is counted if the footers of its files hold no more rows than one key may have. A pass writes the pieces; what else is asked of them is read from there.
 
     Any table may be counted that holds at least the rows the cells are used on. The first two
     order columns are numbers or timestamps. The limit rises with the rows of the large keys, so
@@ -214,6 +246,9 @@ def cut(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int | No
     rows = rows or group_rows(spark)
     first, second = order[0], order[1]
     cells = Cells(tuple(keys), tuple(order))
+    known = most_rows(df)
+    if known is not None and known <= rows:
+        return cells
     slim = df.select(*{*keys, first, second})
     stats = [
         F.count(F.lit(1)).alias("_n"),
@@ -278,13 +313,18 @@ def running(
         backward = groups_of.orderBy(*[F.col(c).desc() for c in along])
         return lambda scan: backward if scan.backward else forward
 
+    def prepared(rows: DataFrame, rows_of: Callable[[Scan], WindowSpec]) -> DataFrame:
+        pre = [s.pre(rows_of(s)).alias(f"_pre_{s.name}") for s in scans if s.pre]
+        return rows.select("*", *pre) if pre else rows
+
     if not cells.levels:
         rows_of = windows(keys, order)
         nothing = F.lit(None)
-        return df.select(*columns, *[s.merge(nothing, s.local(rows_of(s))).alias(s.name) for s in scans])
+        return prepared(df, rows_of).select(*columns, *[s.merge(nothing, s.local(rows_of(s))).alias(s.name) for s in scans])
 
     names = cells.columns
-    rows = df if names[0] in columns else cells.assign(df)
+    rows_of = windows([*keys, *names], order)
+    rows = prepared(df if names[0] in columns else cells.assign(df), rows_of)
     if own and all(s.counts for s in scans):
         summary = cells.sizes().select(*keys, *names, *[F.col("_n").alias(f"_sum_{s.name}") for s in scans])
     else:
@@ -294,10 +334,11 @@ def running(
             .agg(*[s.summary.alias(f"_sum_{s.name}") for s in scans])
         )
     cells_of = windows(keys, names)
+    pre = [s.carry_pre(F.col(f"_sum_{s.name}"), cells_of(s)).alias(f"_carrypre_{s.name}") for s in scans if s.carry_pre]
+    summary = summary.select("*", *pre)
     carries = [s.carry(F.col(f"_sum_{s.name}"), cells_of(s)).alias(f"_carry_{s.name}") for s in scans]
     # One row per cell of the divided keys; ``cut`` bounds their number.
     carried = settle(summary.select(*keys, *names, *carries))
-    rows_of = windows([*keys, *names], order)
     inner = rows.select("*", *[s.local(rows_of(s)).alias(f"_local_{s.name}") for s in scans])
     joined = attach(inner, carried, [*keys, *names])
     merged = [s.merge(F.col(f"_carry_{s.name}"), F.col(f"_local_{s.name}")).alias(s.name) for s in scans]

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from topicwell.plans.statistics import most_rows, one_task
+
 # Rows one window task or one join key may hold before the group is split.
 GROUP_ROWS = 1_000_000
 # Rows and bytes of a table that may be broadcast; larger tables are joined by a shuffle.
@@ -84,6 +86,9 @@ def _rows_in_plan(df: DataFrame) -> int | None:
     return plan.data().size() if plan.getClass().getSimpleName() == "LocalRelation" else None
 
 
+# Types whose values differ in size, or take more than eight bytes.
+_VARYING = (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType, T.DecimalType, T.VariantType)
+
 # Rows and bytes of tables that have been counted.
 _sizes: WeakKeyDictionary[DataFrame, tuple[int, int]] = WeakKeyDictionary()
 
@@ -106,8 +111,10 @@ def settle(df: DataFrame) -> DataFrame:
 def settle_with(df: DataFrame, **facts: Column) -> tuple[DataFrame, Row]:
     """As ``settle``, with aggregates of the written table. Its size is one of them and kept for later checks."""
     table = settle_table(df, "settled")
+    # A small table is measured by one task, without a shuffle.
+    read = table.coalesce(1) if one_task(table) else table
     measured = {"held_rows": F.count(F.lit(1)), "bytes": F.coalesce(F.sum(_row_bytes(table)), F.lit(0)), **facts}
-    found = table.agg(*[c.alias(n) for n, c in measured.items()]).first()
+    found = read.agg(*[c.alias(n) for n, c in measured.items()]).first()
     _sizes[table] = (found["held_rows"], found["bytes"])
     return table, found
 
@@ -125,10 +132,17 @@ def fits(spark: SparkSession, rows: int, size: int) -> bool:
 
 
 def table_size(df: DataFrame) -> tuple[int, int]:
-    """Rows and bytes: known for literal rows and settled tables, else counted by reading the table once."""
+    """Rows and bytes: known for literal rows and settled tables, else counted by reading the table once.
+
+    Rows of numbers and times only are not counted if the footers of their files hold few enough.
+    """
     held = _rows_in_plan(df)
     if held is not None:
         return held, 0
+    if df not in _sizes and not any(isinstance(f.dataType, _VARYING) for f in df.schema):
+        most = most_rows(df)
+        if most is not None and fits(df.sparkSession, most, 8 * most * len(df.columns)):
+            _sizes[df] = (most, 8 * most * len(df.columns))
     if df not in _sizes:
         found = df.agg(F.count(F.lit(1)).alias("held"), F.sum(_row_bytes(df)).alias("bytes")).first()
         _sizes[df] = (found.held, found.bytes or 0)
