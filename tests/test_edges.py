@@ -3,10 +3,15 @@
 import json
 from datetime import datetime, timedelta
 from decimal import Decimal
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from compare import SF, connect, difference
+from topicwell.bindings import TOPICS
+from topicwell.catalog.batch import QUERIES
+from topicwell.catalog.oracle import ORACLE
 from topicwell.functions.control import parse_control
 from topicwell.functions.endpoints import valid_endpoint
 from topicwell.operators import backlog, delivery, offsets, registry, replay, routing, validation
@@ -256,6 +261,25 @@ def test_replay_turns(spark):
     assert replay.replay_rows(df, each).count() == 11
 
 
+def test_grid_from_the_data(spark, tmp_path):
+    """Events in two years, before 1970 and without a time: the grid spans all that have one."""
+    times = ["1969-12-31 23:59:59.5", "1970-01-01 00:00:00", "2024-02-29 23:10:00", "2025-03-01 00:00:00", None]
+    rows = [(i, t, topic) for i, t in enumerate(times) for topic in TOPICS]
+    df = spark.createDataFrame(rows, "event_id bigint, ts string, topic string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    grid = replay.Grid.covering(TOPICS, df, 3600)
+    hours = (datetime(2025, 3, 1) - datetime(1969, 12, 31, 23)) // timedelta(hours=1) + 1
+    assert (grid.start, grid.n_slots) == (datetime(1969, 12, 31, 23), hours)
+    assert replay.replay_slots(df, grid).agg(F.sum("n_rows")).first()[0] == 4  # one topic's turn in each hour
+    assert replay.Grid.covering(TOPICS, df.where("false"), 3600).slots(df).count() == 0
+    path = str(tmp_path)
+    events = spark.read.parquet(f"{SF}/events.parquet").limit(40)
+    late = events.withColumn("ts", F.col("ts") + F.expr("interval '400' day"))
+    events.unionByName(late).coalesce(1).write.parquet(f"{path}/folder")
+    Path(path, "events.parquet").symlink_to(next(Path(path, "folder").glob("part-*.parquet")))
+    for name in ("replay_rows", "replay_slots"):
+        assert difference(QUERIES[name](spark, path), connect(path), ORACLE[name]) is None
+
+
 def test_replayed_event_parts(spark):
     rows = [("a", T0 + timedelta(milliseconds=i), i) for i in range(25)]
     df = spark.createDataFrame(rows, "topic string, ts timestamp_ntz, event_id bigint")

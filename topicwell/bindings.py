@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,9 +9,15 @@ from topicwell.operators.replay import Grid
 from topicwell.schemas import ADD_TOPIC, REMOVE_TOPIC, SUBSCRIBE, UNSUBSCRIBE
 from topicwell.session import literal_rows
 
-# The registered topics, in this order, and the replay grid.
+# The registered topics, in this order, and the seconds of a replay slot.
 TOPICS = ["click", "purchase", "view"]
-GRID = Grid(TOPICS, datetime(2024, 1, 1), 3600, 720)
+SLOT_SECONDS = 3600
+
+
+def grid(events: DataFrame) -> Grid:
+    """The hours from the first to the last event."""
+    return Grid.covering(TOPICS, events, SLOT_SECONDS)
+
 
 def number() -> Column:
     return F.regexp_extract("props", "[0-9]+", 0).cast("int")

@@ -34,12 +34,14 @@ def write_log(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
-_logs: dict[tuple[str, str], str] = {}
+_logs: dict[tuple, str] = {}
 
 
 def written_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log that readers read. A session writes it once for each table folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The log that readers read. A session writes it once for the files of a table as they stand."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    status = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place)
+    key = (spark.sparkContext.applicationId, sf_dir, status.getLen(), status.getModificationTime())
     if key not in _logs:
         _logs[key] = write_log(spark, sf_dir)
     return spark.read.schema("event_id bigint, ts timestamp_ntz, offset bigint, topic string").parquet(_logs[key])
@@ -54,12 +56,12 @@ def _intervals_of(events: DataFrame) -> DataFrame:
     return registry.subscription_intervals(b.control_of(events), b.TOPICS)
 
 
-def _deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = b.events(spark, sf_dir)
     return delivery.fan_out(_flights_of(events), _intervals_of(events)).select("topic", "flight", "address", "n")
 
 
-def _failed() -> Column:
+def failed() -> Column:
     return F.col("flight") % 40 == 39
 
 
@@ -166,15 +168,18 @@ def skip_undecodable_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replay_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.replay_slots(b.tagged(spark, sf_dir), b.GRID)
+    ticks = b.tagged(spark, sf_dir)
+    return replay.replay_slots(ticks, b.grid(ticks))
 
 
 def replay_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.replay_rows(b.tagged(spark, sf_dir), b.GRID).select("slot", *EVENT)
+    ticks = b.tagged(spark, sf_dir)
+    return replay.replay_rows(ticks, b.grid(ticks)).select("slot", *EVENT)
 
 
 def _replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.replay_events(b.tagged(spark, sf_dir), b.GRID, ["event_id", "ts", "value"])
+    ticks = b.tagged(spark, sf_dir)
+    return replay.replay_events(ticks, b.grid(ticks), ["event_id", "ts", "value"])
 
 
 def replay_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,7 +262,7 @@ def flight_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _deliveries(spark, sf_dir)
+    return deliveries(spark, sf_dir)
 
 
 def undelivered_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,17 +272,17 @@ def undelivered_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def delivery_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delivery.delivery_outcomes(_deliveries(spark, sf_dir), _failed())
+    return delivery.delivery_outcomes(deliveries(spark, sf_dir), failed())
 
 
 def prune_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delivery.prune_failed(_deliveries(spark, sf_dir), _failed())
+    return delivery.prune_failed(deliveries(spark, sf_dir), failed())
 
 
 def columnar_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the payloads hold, read back from their text; some values are missing."""
     ticks = b.tagged(spark, sf_dir).withColumn("value", F.when(F.col("k") % 10 != 0, F.col("value")))
-    events = replay.replay_events(ticks, b.GRID, ["event_id", "ts", "value"])
+    events = replay.replay_events(ticks, b.grid(ticks), ["event_id", "ts", "value"])
     held = F.from_json("payload", "event_id array<bigint>, ts array<string>, value array<double>")
     parsed = delivery.columnar_json(events).withColumn("held", held)
     values = F.col("held.value").cast("array<decimal(18,6)>").cast("array<string>")
@@ -293,7 +298,7 @@ def columnar_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def delivery_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delivery.delivery_stats(_deliveries(spark, sf_dir))
+    return delivery.delivery_stats(deliveries(spark, sf_dir))
 
 
 def assign_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,9 +74,11 @@ _DELIVERIES = """deliveries AS (
   SELECT f.topic, f.flight, i.address, f.n FROM flights f JOIN intervals i
   ON f.topic = i.topic AND f.fts >= i.valid_from AND f.fts < i.valid_to)"""
 
-_SLOTS = """grid AS (
-  SELECT CAST(i AS BIGINT) AS slot, TIMESTAMP '2024-01-01' + to_hours(CAST(i AS INTEGER)) AS t,
-         ['click', 'purchase', 'view'][CAST(i % 3 AS INTEGER) + 1] AS topic FROM range(720) r(i)),
+_SLOTS = """span AS (SELECT date_trunc('hour', min(ts)) AS lo, date_diff('hour', min(ts), max(ts)) + 1 AS n FROM events),
+hours AS (SELECT lo, unnest(range(n)) AS i FROM span),
+grid AS (
+  SELECT CAST(i AS BIGINT) AS slot, lo + to_hours(CAST(i AS INTEGER)) AS t,
+         ['click', 'purchase', 'view'][CAST(i % 3 AS INTEGER) + 1] AS topic FROM hours),
 placed AS (
   SELECT g.slot, g.t, g.topic, e.event_id, e.ts, e.value, e.props
   FROM grid g LEFT JOIN events e ON e.event_type = g.topic AND date_trunc('hour', e.ts) = g.t)"""
@@ -361,3 +363,10 @@ used AS (SELECT seq, CAST(sum(change) OVER (ORDER BY ts, seq) AS BIGINT) AS byte
         then="SELECT topic, flight, ids AS event_ids, n AS n_ts FROM flights WHERE topic = 'view'",
     ),
 }
+
+ORACLE["stream_prune_failed"] = ORACLE["prune_failed"]
+ORACLE["stream_control_responses"] = ORACLE["control_responses"]
+ORACLE["stream_accept_files"] = _with(
+    _FILES, then="SELECT event_id FROM files WHERE file NOT IN (SELECT file FROM files WHERE bad)"
+)
+ORACLE["stream_payloads_all"] = _with(_EV, _LOG, _BATCHES, then="SELECT topic, flight, ids AS event_ids, n AS n_ts FROM flights")

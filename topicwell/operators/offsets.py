@@ -42,15 +42,24 @@ def committed_offsets(log: DataFrame, topics: DataFrame | None = None) -> DataFr
     return committed.unionByName(empty).groupBy("topic").agg(F.max("committed").alias("committed"))
 
 
-def read_from_offset(log: DataFrame, topic: str, offset: int, horizon: int = READ_HORIZON) -> DataFrame:
+def clamped_start(offset: int, committed: int, horizon: int = READ_HORIZON) -> int:
+    """Where a read from ``offset`` starts: at most ``horizon`` events before the end."""
+    return committed - horizon if committed - offset > horizon else offset
+
+
+def read_from_offset(
+    log: DataFrame, topic: str, offset: int, horizon: int = READ_HORIZON, committed: int | None = None
+) -> DataFrame:
     """Events of a topic from ``offset`` up to the position committed now, at most ``horizon`` back.
 
     Both tests are literals, so they reach the file scan. An unknown topic, a start before 0 and
-    an offset at or past the end give no rows; ``resume_plan`` tells them apart.
+    an offset at or past the end give no rows; ``resume_plan`` tells them apart. Without ``committed`` the
+    position is looked up in the log.
     """
     of_topic = log.where(F.col("topic") == topic)
-    committed = of_topic.agg(F.max("offset") + 1).first()[0] or 0
-    start = committed - horizon if committed - offset > horizon else offset
+    if committed is None:
+        committed = of_topic.agg(F.max("offset") + 1).first()[0] or 0
+    start = clamped_start(offset, committed, horizon)
     if start < 0:
         return of_topic.where(F.lit(False))
     return of_topic.where((F.col("offset") >= start) & (F.col("offset") < committed))

@@ -72,6 +72,13 @@ def control_responses(control: DataFrame, initial: Sequence[str]) -> DataFrame:
     return asked.select("seq", "ts", "action", "topic", "address", response.alias("response"))
 
 
+def last_topic_actions(control: DataFrame) -> DataFrame:
+    """The last action of every topic, whole rows: all that later answers need of earlier ones."""
+    actions = control.where(_topic_action()).withColumn("_row", F.struct(*control.columns))
+    last = actions.groupBy("topic").agg(F.max_by("_row", F.struct(*CONTROL_ORDER)).alias("_row"))
+    return last.select("_row.*")
+
+
 def _initial_topics(control: DataFrame, initial: Sequence[str]) -> DataFrame:
     return literal_rows(control.sparkSession, "topic", sorted(set(initial)))
 

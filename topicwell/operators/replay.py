@@ -33,6 +33,21 @@ class Grid:
         self.per_topic = per_topic
         self.turns = -(-n_slots // len(self.topics)) if per_topic else n_slots
 
+    @classmethod
+    def covering(cls, topics: Sequence[str], events: DataFrame, step: int, ts: str = "ts") -> Grid:
+        """The grid of whole steps from the first to the last event; events without a time are on no grid.
+
+        The times are without zone. A table without any time has a grid without slots.
+        """
+        since = (F.col(ts) - F.lit("1970-01-01").cast("timestamp_ntz")).cast("interval second").cast("decimal(20,6)")
+        turn = F.floor(since / step).cast("bigint")
+        # One row per task is shuffled.
+        seen = events.agg(F.min(turn).alias("first"), F.max(turn).alias("last")).first()
+        if seen["first"] is None:
+            return cls(topics, datetime(1970, 1, 1), step, 0)
+        start = datetime(1970, 1, 1) + timedelta(seconds=seen["first"] * step)
+        return cls(topics, start, step, seen["last"] - seen["first"] + 1)
+
     def _time(self, at: datetime) -> Column:
         return F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz")
 

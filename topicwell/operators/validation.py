@@ -11,12 +11,12 @@ from topicwell.schemas import SYMBOL_LENGTH, TICK_FILE
 from topicwell.session import settle
 
 
-def split_valid_ticks(text: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Divide tick rows of text into typed accepted rows and rejected rows with a ``reason``.
+def with_reason(text: DataFrame) -> DataFrame:
+    """Tick rows of text with the ``reason`` for which a row is rejected, or null.
 
     Every column must be present, symbols have at most 10 characters, prices fit
     ``decimal(10,2)`` after rounding, the volume is a 32-bit integer. The first value that cannot
-    be taken gives the reason, then the first that is missing. Other columns pass through.
+    be taken gives the reason, then the first that is missing.
     """
     bad, missing = [], []
     for field in TICK_FILE:
@@ -34,7 +34,11 @@ def split_valid_ticks(text: DataFrame) -> tuple[DataFrame, DataFrame]:
     reason = F.lit(None).cast("string")
     for condition, name in reversed(bad + missing):
         reason = F.when(condition, name).otherwise(reason)
-    judged = text.withColumn("reason", reason)
+    return text.withColumn("reason", reason)
+
+
+def typed_ticks(text: DataFrame) -> DataFrame:
+    """Valid tick rows of text with the types of ticks. Other columns pass through."""
 
     def typed(name: str, kind: str) -> Column:
         if name == "stock_symbol":
@@ -42,9 +46,16 @@ def split_valid_ticks(text: DataFrame) -> tuple[DataFrame, DataFrame]:
         return F.col(name).try_cast(kind)
 
     kinds = {f.name: f.dataType.simpleString() for f in TICK_FILE}
-    accepted = judged.where(F.col("reason").isNull()).select(
-        [typed(c, kinds[c]).alias(c) if c in kinds else F.col(c) for c in text.columns]
-    )
+    return text.select([typed(c, kinds[c]).alias(c) if c in kinds else F.col(c) for c in text.columns])
+
+
+def split_valid_ticks(text: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Divide tick rows of text into typed accepted rows and rejected rows with a ``reason``.
+
+    Other columns pass through.
+    """
+    judged = with_reason(text)
+    accepted = typed_ticks(judged.where(F.col("reason").isNull()).drop("reason"))
     return accepted, judged.where(F.col("reason").isNotNull())
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -64,12 +66,34 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+# The folder that intermediate tables go to while a scope is open.
+_scope: ContextVar[str | None] = ContextVar("scope", default=None)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no earlier run has used.
 
-    The paths of an application lie in one folder, which may be deleted when the application has ended.
+    The paths of an application lie in one folder, which may be deleted when the application has ended;
+    those made inside a ``scratch_scope`` go when it ends.
+    """
+    folder = _scope.get() or f"{shared_dir(spark)}/topicwell-{spark.sparkContext.applicationId}"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[str]:
+    """A folder for the intermediate tables of one piece of work, deleted at its end.
+
+    Nothing that reads these tables may be used afterwards. Work that is repeated takes a folder of its own.
     """
-    return f"{shared_dir(spark)}/topicwell-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    folder = fresh_path(spark, "scope")
+    token = _scope.set(folder)
+    try:
+        yield folder
+    finally:
+        _scope.reset(token)
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def literal_rows(spark: SparkSession, column: str, values: Sequence[str]) -> DataFrame:

@@ -11,16 +11,16 @@ that is run again takes the state of that time and replaces what it had written.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import timedelta
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from topicwell.operators.delivery import columnar_json, fan_out, flight_events, flights_of
-from topicwell.operators.offsets import read_from_offset
-from topicwell.operators.registry import control_state, latest, subscribers_of_state
+from topicwell.operators.offsets import clamped_start, read_from_offset
+from topicwell.operators.registry import control_responses, control_state, last_topic_actions, latest, subscribers_of_state
 from topicwell.operators.routing import drop_untagged, topic_tap
 from topicwell.plans.joins import keyed_join
 from topicwell.plans.running import count_before, running
@@ -28,14 +28,16 @@ from topicwell.schemas import EVENT_ORDER, EVENTS_PER_FLIGHT, READ_HORIZON
 from topicwell.session import settle, settle_table
 from topicwell.streaming.batches import (
     commit_batch,
+    last_batch,
     next_numbers,
     prepare,
     read_batches,
+    read_numbers,
     read_range,
     snapshot_of,
     write_batch,
 )
-from topicwell.streaming.intake import Trigger, start_stream
+from topicwell.streaming.intake import Trigger, start_batches, start_stream
 
 Source = DataFrame | str | Callable[[SparkSession], DataFrame]
 
@@ -71,9 +73,9 @@ def stream_route(
         marked = keyed_join(batch, known, ["topic"], "left", [row])
         kind = F.when(F.col("_known"), ROUTED).otherwise(DEAD_LETTER)
         write_batch(marked.withColumn("route", kind).drop("_known"), path, batch_id, ["route"])
-        commit_batch(batch.sparkSession, path, batch_id)
+        commit_batch(batch.sparkSession, path, batch_id, partition_by=["route"])
 
-    return start_stream(events.writeStream.foreachBatch(route), checkpoint, trigger)
+    return start_batches(events, route, checkpoint, trigger)
 
 
 def read_routed(spark: SparkSession, path: str, route: str) -> DataFrame:
@@ -103,17 +105,14 @@ def stream_assign_offsets(
     def append(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = settle(next_numbers(spark, path, batch_id))
-        batch = drop_untagged(batch).persist(StorageLevel.DISK_ONLY)
-        try:
-            numbered = running(batch, ["topic"], order, [count_before("offset")])
-            write_batch(_numbered_on(numbered, before, "offset", order[1]), path, batch_id, ["topic"])
-            counts = batch.groupBy("topic").agg(F.count(F.lit(1)).alias("next_own"))
-            written = _numbered_on(counts, before, "next_own", "topic").withColumnRenamed("next_own", "next")
-            commit_batch(spark, path, batch_id, written, before)
-        finally:
-            batch.unpersist()
+        batch = settle_table(drop_untagged(batch), "batch")
+        numbered = running(batch, ["topic"], order, [count_before("offset")])
+        write_batch(_numbered_on(numbered, before, "offset", order[1]), path, batch_id, ["topic"])
+        counts = batch.groupBy("topic").agg(F.count(F.lit(1)).alias("next_own"))
+        written = settle(_numbered_on(counts, before, "next_own", "topic").withColumnRenamed("next_own", "next"))
+        commit_batch(spark, path, batch_id, written, before, ["topic"], ["offset"])
 
-    return start_stream(events.writeStream.foreachBatch(append), checkpoint, trigger)
+    return start_batches(events, append, checkpoint, trigger)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -123,8 +122,16 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 def stream_read_from_offset(
     spark: SparkSession, path: str, topic: str, offset: int, horizon: int = READ_HORIZON
 ) -> DataFrame:
-    """A clamped read of the log a stream has appended so far; it ends at the committed position."""
-    return read_from_offset(read_log(spark, path), topic, offset, horizon)
+    """A clamped read of the log a stream has appended so far; it ends at the committed position.
+
+    The position comes from the last commits and the folders from their index, so how many files are opened
+    depends on the events that are read, not on the age of the log.
+    """
+    last = last_batch(spark, path)
+    known = None if last is None else next_numbers(spark, path, last + 1).where(F.col("topic") == topic).first()
+    committed = known["next"] if known else 0
+    log = read_numbers(spark, path, topic, clamped_start(offset, committed, horizon)).drop("batch_id")
+    return read_from_offset(log, topic, offset, horizon, committed)
 
 
 def stream_subscribers(
@@ -144,9 +151,9 @@ def stream_subscribers(
             earlier = read_range(spark, path, snapshot_of(batch_id - 1), batch_id - 1).drop("batch_id")
             batch = latest(earlier.unionByName(batch))
         write_batch(batch, path, batch_id)
-        commit_batch(spark, path, batch_id)
+        commit_batch(spark, path, batch_id, forget=snapshot_of(batch_id))
 
-    return start_stream(state.writeStream.outputMode("update").foreachBatch(changed), checkpoint, trigger)
+    return start_batches(state, changed, checkpoint, trigger, "update")
 
 
 def read_subscribers(spark: SparkSession, path: str, initial: Sequence[str]) -> DataFrame:
@@ -154,6 +161,66 @@ def read_subscribers(spark: SparkSession, path: str, initial: Sequence[str]) ->
     return subscribers_of_state(state, initial)
 
 
+def stream_control_responses(
+    control: DataFrame,
+    initial: Sequence[str],
+    path: str,
+    checkpoint: str,
+    delay: timedelta,
+    trigger: Trigger | None = None,
+) -> StreamingQuery:
+    """Answer client actions in the order of their times, though they arrive in another.
+
+    An answer depends on the topics registered at its time, so a row waits until the newest time seen is
+    ``delay`` ahead of it. Then all rows before that mark are answered in order, after the last topic action of each
+    topic that was answered before. Rows that come behind the mark, or without a time, go to a table of their
+    own, unanswered. Each batch hands on what waits, the last topic actions and its mark, and no more.
+    """
+    answers, late, held = (f"{path}/{x}" for x in ("answers", "late", "held"))
+    kinds = {f.name: f.dataType for f in control.schema}
+    told = [*[(c, kinds[c]) for c in ("seq", "ts", "action", "topic", "address")], ("response", T.StringType())]
+    prepare(control.sparkSession, answers, T.StructType([T.StructField(c, kind) for c, kind in told]))
+    prepare(control.sparkSession, late, T.StructType([*control.schema]))
+    prepare(control.sparkSession, held, T.StructType([*control.schema, T.StructField("waits", T.BooleanType())]))
+    columns = control.columns
+    at = ((F.col("ts") - F.lit("1970-01-01").cast("timestamp_ntz")).cast("interval second").cast("decimal(20,6)") * 1_000_000).cast("bigint")
+
+    def answer(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = settle(next_numbers(spark, held, batch_id))
+        mark = (before.first() or {"next": -(2**62)})["next"]
+        batch = settle_table(batch, "batch")
+        newest = batch.agg(F.max(at)).first()[0]
+        ahead = mark if newest is None else max(mark, newest - delay // timedelta(microseconds=1))
+        earlier = read_range(spark, held, batch_id - 1, batch_id - 1) if batch_id else None
+        waiting = batch.where(at >= mark)
+        state = batch.where(F.lit(False))
+        if earlier is not None:
+            waiting = waiting.unionByName(earlier.where("waits").select(*columns))
+            state = earlier.where(~F.col("waits")).select(*columns)
+        due = settle_table(state.unionByName(waiting.where(at < ahead)), "due")
+        write_batch(control_responses(due, initial), answers, batch_id)
+        write_batch(batch.where(at.isNull() | (at < mark)), late, batch_id)
+        rest = waiting.where(at >= ahead).withColumn("waits", F.lit(True))
+        write_batch(rest.unionByName(last_topic_actions(due).select(*columns).withColumn("waits", F.lit(False))), held, batch_id)
+        commit_batch(spark, answers, batch_id, order=["ts", "seq"])
+        commit_batch(spark, late, batch_id, order=["ts", "seq"])
+        reached = spark.sql("SELECT '' AS topic, CAST(:mark AS BIGINT) AS next", args={"mark": ahead})
+        commit_batch(spark, held, batch_id, reached, before, forget=batch_id)
+
+    return start_batches(control, answer, checkpoint, trigger)
+
+
+def read_answers(spark: SparkSession, path: str) -> DataFrame:
+    """Answers given so far by ``stream_control_responses``."""
+    return read_batches(spark, f"{path}/answers").drop("batch_id")
+
+
+def read_late(spark: SparkSession, path: str) -> DataFrame:
+    """Rows that came too late for an answer."""
+    return read_batches(spark, f"{path}/late").drop("batch_id")
+
+
 def stream_fan_out(
     events: DataFrame,
     intervals: Source,
@@ -190,10 +257,10 @@ def stream_fan_out(
         folder = F.pmod(F.xxhash64("address"), F.lit(ADDRESS_FOLDERS))
         deliveries = fan_out(flights, intervals_now(spark)).withColumn("folder", folder)
         write_batch(deliveries.hint("rebalance", "folder"), path, batch_id, ["folder"])
-        written = flights.groupBy("topic").agg((F.max("flight") + 1).alias("next"))
-        commit_batch(spark, path, batch_id, written, before)
+        written = settle(flights.groupBy("topic").agg((F.max("flight") + 1).alias("next")))
+        commit_batch(spark, path, batch_id, written, before, ["folder"], ["topic", "flight"])
 
-    return start_stream(events.writeStream.foreachBatch(deliver), checkpoint, trigger)
+    return start_batches(events, deliver, checkpoint, trigger)
 
 
 def read_deliveries(spark: SparkSession, path: str, address: str | None = None) -> DataFrame:
@@ -207,6 +274,50 @@ def read_deliveries(spark: SparkSession, path: str, address: str | None = None)
     return found.drop("folder", "batch_id")
 
 
+def stream_prune_failed(
+    deliveries: DataFrame, failed: Column, path: str, checkpoint: str, trigger: Trigger | None = None
+) -> StreamingQuery:
+    """Deliveries as they are sent, none to a viewer after its first failure.
+
+    ``deliveries`` come in flight order, batch by batch. The first failed flight of a (topic, address) is
+    final: it is kept in a table beside the deliveries, of which every so many batches all that is known is
+    folded into one batch. A viewer that failed in an earlier batch gets nothing any more.
+    """
+    table, failures = f"{path}/sent", f"{path}/failed"
+    kinds = {f.name: f.dataType for f in deliveries.schema}
+    prepare(deliveries.sparkSession, table, T.StructType([*deliveries.schema]))
+    first_failed = [("topic", kinds["topic"]), ("address", kinds["address"]), ("first_failed", kinds["flight"])]
+    prepare(deliveries.sparkSession, failures, T.StructType([T.StructField(c, kind) for c, kind in first_failed]))
+    viewer = ["topic", "address"]
+
+    def send(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch = settle_table(batch.withColumn("_failed", failed), "deliveries")
+        earlier = _failures(spark, failures, batch_id - 1) if batch_id else None
+        new = batch.where("_failed").groupBy(*viewer).agg(F.min("flight").alias("first_failed"))
+        known = new if earlier is None else earlier.unionByName(new).groupBy(*viewer).agg(F.min("first_failed").alias("first_failed"))
+        known = settle_table(known, "failed")
+        out = keyed_join(batch, known, viewer, "left", ["flight"])
+        sent = out.where(F.col("first_failed").isNull() | (F.col("flight") <= F.col("first_failed")))
+        write_batch(sent.drop("_failed", "first_failed"), table, batch_id)
+        commit_batch(spark, table, batch_id, order=["topic", "flight"])
+        write_batch(known if batch_id == snapshot_of(batch_id) else new, failures, batch_id)
+        commit_batch(spark, failures, batch_id, forget=snapshot_of(batch_id))
+
+    return start_batches(deliveries, send, checkpoint, trigger)
+
+
+def _failures(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    """The first failed flight of each viewer up to a batch."""
+    held = read_range(spark, path, snapshot_of(batch_id), batch_id)
+    return held.groupBy("topic", "address").agg(F.min("first_failed").alias("first_failed"))
+
+
+def read_sent(spark: SparkSession, path: str) -> DataFrame:
+    """Deliveries written by ``stream_prune_failed``."""
+    return read_batches(spark, f"{path}/sent").drop("batch_id")
+
+
 def stream_topic_tap(
     events: DataFrame, topic: str, path: str, checkpoint: str, trigger: Trigger | None = None
 ) -> StreamingQuery:
@@ -217,28 +328,29 @@ def stream_topic_tap(
 
 def stream_payloads(
     events: DataFrame,
-    topic: str,
+    topic: str | None,
     path: str,
     checkpoint: str,
     n: int = EVENTS_PER_FLIGHT,
     order: Sequence[str] = EVENT_ORDER,
     trigger: Trigger | None = None,
 ) -> StreamingQuery:
-    """What a viewer of one topic is sent: the columnar JSON of each flight, batch by batch."""
+    """What viewers of one topic, or of every topic if it is None, are sent: the columnar JSON of each flight."""
     fields = [T.StructField("topic", events.schema["topic"].dataType), T.StructField("flight", T.LongType())]
     prepare(events.sparkSession, path, T.StructType([*fields, T.StructField("payload", T.StringType())]))
 
     def send(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = settle(next_numbers(spark, path, batch_id))
-        numbered = running(topic_tap(batch, topic), ["topic"], order, [count_before("offset")])
+        wanted = drop_untagged(batch) if topic is None else topic_tap(batch, topic)
+        numbered = running(wanted, ["topic"], order, [count_before("offset")])
         flights = _numbered_on(flight_events(numbered, n, order), before, "flight", "flight")
         flights = settle_table(columnar_json(flights), "payloads")
         write_batch(flights, path, batch_id)
-        written = flights.groupBy("topic").agg((F.max("flight") + 1).alias("next"))
-        commit_batch(spark, path, batch_id, written, before)
+        written = settle(flights.groupBy("topic").agg((F.max("flight") + 1).alias("next")))
+        commit_batch(spark, path, batch_id, written, before, order=["topic", "flight"])
 
-    return start_stream(events.writeStream.foreachBatch(send), checkpoint, trigger)
+    return start_batches(events, send, checkpoint, trigger)
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
