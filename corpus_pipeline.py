@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import os
 import sys
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -39,56 +40,69 @@ from topicwell.llm.tables import having, settle, small  # noqa: E402
 SPACED_WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 
 
-def _placed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_row``: id, file and place in the file. A table that is no file scan is written first."""
-    place = F.struct(
-        "doc_id", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at")
-    ).alias("_row")
+def _free(columns: Sequence[str], *names: str) -> list[str]:
+    """The names with as many underscores in front as it takes to be none of ``columns``, nor be one with a ``_k_``."""
+    taken = {c.lower() for c in columns}
+    front = "_"
+    while taken & {f"{key}{front}{n}" for key in ("", "_k_") for n in names}:
+        front += "_"
+    return [front + n for n in names]
+
+
+def _placed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a column of id, file and place in the file, and its name. A table that is no file scan is written first."""
+    (row,) = _free(docs.columns, "row")
+
+    def with_place(df: DataFrame) -> DataFrame:
+        place = df.metadataColumn("_metadata")
+        return df.select("*", F.struct("doc_id", F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at")).alias(row))
+
     try:
-        return docs.select("*", place)
+        return with_place(docs), row
     except AnalysisException:
-        return settle(docs, "documents").select("*", place)
+        return with_place(settle(docs, "documents")), row
 
 
-def _staying(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``decided`` (``_row`` and ``kept``) keeps."""
-    kept = settle(decided.where("kept").select("_row"), "kept")
-    return having(docs, kept).drop("_row")
+def _staying(docs: DataFrame, row: str, decided: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``decided`` (the row and ``kept``) keeps."""
+    kept = settle(decided.where("kept").select(row), "kept")
+    return having(docs, kept).drop(row)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = _placed(docs)
-    found = identify_languages(docs, in_fold(4, 2), id_col="_row")
-    return _staying(docs, found.withColumn("kept", (F.col("lang_pred") != UND) & ~F.col("ambiguous")))
+    docs, row = _placed(docs)
+    found = identify_languages(docs, in_fold(4, 2), id_col=row)
+    return _staying(docs, row, found.withColumn("kept", (F.col("lang_pred") != UND) & ~F.col("ambiguous")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = _placed(docs)
-    return _staying(docs, exact_groups(docs, id_col="_row"))
+    docs, row = _placed(docs)
+    return _staying(docs, row, exact_groups(docs, id_col=row))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = _placed(docs)
-    return _staying(docs, ngram_links(docs, id_col="_row"))
+    docs, row = _placed(docs)
+    return _staying(docs, row, ngram_links(docs, id_col=row))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns = docs.columns
-    docs = _placed(docs)
-    taken = mix_sources(docs, id_col="_row", hash_col="doc_id").where(F.col("taken") > 0)
-    taken = settle(taken.select(F.col("_row").alias("_mixed"), "size", "taken").toDF("_mixed", "_size", "_taken"), "mixed")
-    match = F.col("_row").eqNullSafe(F.col("_mixed"))
+    docs, row = _placed(docs)
+    mixed, size, took, words = _free(docs.columns, "mixed", "size", "taken", "words")
+    taken = mix_sources(docs, id_col=row, hash_col="doc_id").where(F.col("taken") > 0)
+    taken = settle(taken.select(row, "size", "taken").toDF(mixed, size, took), "mixed")
+    match = F.col(row).eqNullSafe(F.col(mixed))
     chosen = docs.join(F.broadcast(taken) if small(taken) else taken, match)
-    whole = F.call_function("div", F.col("_taken"), F.col("_size"))
-    rest = (F.col("_taken") % F.col("_size")).cast("int")
+    whole = F.call_function("div", F.col(took), F.col(size))
+    rest = (F.col(took) % F.col(size)).cast("int")
     copies = F.concat(F.array_repeat(F.lit(0), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array()))
-    dealt = chosen.withColumn("_words", F.explode(copies))
-    start = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(SPACED_WORD), F.lit(0)), F.lit(1), F.col("_words")), "")
-    text = F.when(F.col("_words") == 0, F.col("text")).otherwise(start)
+    dealt = chosen.withColumn(words, F.explode(copies))
+    start = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(SPACED_WORD), F.lit(0)), F.lit(1), F.col(words)), "")
+    text = F.when(F.col(words) == 0, F.col("text")).otherwise(start)
     cut = dealt.withColumn("text", text)
     if "n_chars" in columns:
-        size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-        cut = cut.withColumn("n_chars", F.when(F.col("_words") == 0, F.col("n_chars")).otherwise(size))
+        length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        cut = cut.withColumn("n_chars", F.when(F.col(words) == 0, F.col("n_chars")).otherwise(length))
     return cut.select(*columns)
 
 

@@ -114,3 +114,15 @@ def test_features_do_not_cross_rows():
     for row, text in zip(together, texts):
         assert np.allclose(row, Q.features(*block([text]))[0])
     assert A.BASE % 2
+
+
+def test_a_label_on_many_rows_keeps_the_bound(spark, monkeypatch):
+    """One labelled id on thousands of documents: the fit still sees no more rows than its limit."""
+    docs = documents(spark, [(7, f"word {i} and more words") for i in range(900)] + [(i, f"other text {i}") for i in range(10, 60)])
+    rows = docs.selectExpr("doc_id as id", "text")
+    labels = spark.createDataFrame([(i, i % 2) for i in [7, *range(10, 60)]], "id bigint, label int")
+    seen = []
+    monkeypatch.setattr(Q, "fit_additive", lambda x, y: seen.append((len(x), len(y))))
+    Q.learn_quality(rows, labels, limit=100)
+    Q.learn_quality(rows, labels, limit=20)
+    assert seen[0] == (100, 100) and seen[1][0] == 20

@@ -54,10 +54,11 @@ def test_odd_rows(spark, tmp_path):
     base = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").where("doc_id < 60")
     odd = [(1, words), (1, words), (1, words + " more"), (None, words.upper()), (None, None), (2, ""), (3, "12 34"), (None, "the with of and " + words)]
     extra = spark.createDataFrame([(i, t, "en", None, None) for i, t in odd], base.schema)
-    docs = base.unionByName(extra).selectExpr("*", "doc_id as id", "text as size")
+    more = ["id", "size", "_row", "__Row", "_words", "_size", "_taken", "_mixed", "_k__row", "_metadata"]
+    docs = base.unionByName(extra).selectExpr("*", *[f"{c} as {n}" for c, n in zip(["doc_id", "text"] * 5, more)])
     path = written(spark, tmp_path, "documents", docs)
     tables = stages(spark, path)
-    assert all(sorted(t.columns) == sorted([*COLUMNS, "id", "size"]) for t in tables[:-1])
+    assert all(sorted(t.columns) == sorted([*COLUMNS, *more]) for t in tables[:-1])
     group = tables[3].where("text ilike '%word29%'").collect()
     assert len(group) == 1 and tables[1].where("text is null or text in ('', '12 34')").count() == 0
     assert tables[5].count() > 0

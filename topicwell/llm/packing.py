@@ -7,12 +7,13 @@ each shard is packed by branch and bound on its lengths:
 * pieces that leave no room for the smallest one, such as full pieces of cut documents, are bins of
   their own and take no part in what follows;
 * the incumbent is best fit by falling length; it is final if it meets ``lower_bound``;
-* otherwise bins are completed one by one. The largest piece left opens a bin; fillings for the
-  rest of it are enumerated, those dominated by another (its pieces fit into the other's pieces)
-  are left out, and the others are tried by rising waste, best fit first;
+* otherwise bins are completed one by one. The largest piece left opens a bin; all fillings for the
+  rest of it are enumerated lazily, a few promising ones first, then all by rising waste. Those that leave
+  room for another piece, or whose pieces fit into the pieces of one tried before, are dominated and left out;
 * a branch ends when its waste exceeds what a packing with one sequence less could waste. A better
-  packing becomes the incumbent; the search ends at the lower bound or after ``nodes`` bins,
-  ``DESCENTS`` times the incumbent's bins if that is more, with the incumbent, so every piece is packed whatever the limit.
+  packing becomes the incumbent; the search ends at the lower bound, when all branches have ended, or
+  after ``nodes`` bins, ``descents`` times the incumbent's bins if that is more. That limit is the only one; with
+  it the incumbent stands, so every piece is packed. ``Packing.proven`` says whether fewer are impossible.
 
 A shard wastes less than about one sequence beyond what its pieces force, against thousands that it
 fills. Only lengths are shuffled, not ids, and no shard depends on a hot source or a long document.
@@ -24,7 +25,9 @@ ids are kept; an empty table gives an empty result; columns beside id and text a
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +44,11 @@ SHARD_PIECES = 8192
 NODES = 6_000
 # Packings that the search can go through at least: bins put on the path, for each bin of the incumbent.
 DESCENTS = 4
-WIDTH = 10
+# Fillings that are tried before the enumeration starts. They decide the order, not what is tried.
+HEADS = 10
+# Fillings of one bin that a new one is compared with for dominance, and its pieces. Dominated fillings that
+# are not recognised cost time and change nothing.
+COMPARED, PIECES = 32, 6
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -116,47 +123,107 @@ class _Left:
             pairs ^= 1 << large
         return None
 
-    def fillings(self, room: int) -> list[tuple[int, ...]]:
-        """Undominated maximal fillings of ``room``, by rising waste."""
-        if self.mask >> room & 1 or not room:
-            return [(room,) if room else ()]  # fills the room alone and dominates all others
+    def promising(self, room: int) -> list[tuple[int, ...]]:
+        """For each of the ``HEADS`` largest pieces that fit one filling, by rising waste and number of pieces.
+
+        The largest that still fits follows, and the last one or two are chosen to fill the room if that can be.
+        """
         found = []
         head = self.most(room)
-        while head and len(found) < WIDTH:
+        while head and len(found) < HEADS:
             filling, space = [head], room - head
             self.take(head)
             while space:
                 last = self.exact(space)
-                if last is not None:
-                    filling += last
-                    for length in last:
-                        self.take(length)
-                    space = 0
-                    break
-                following = self.most(space)
-                if not following:
-                    break
-                filling.append(following)
-                self.take(following)
-                space -= following
+                if last is None:
+                    following = self.most(space)
+                    if not following:
+                        break
+                    last = (following,)
+                for length in last:
+                    self.take(length)
+                filling += last
+                space -= sum(last)
             for length in filling:
                 self.put(length)
             found.append(tuple(sorted(filling, reverse=True)))
             head = self.most(head - 1)
-        found = list(dict.fromkeys(found)) or [()]
-        kept = [
-            f for f in found
-            if len(f) > 3 or not any(g != f and len(g) <= 3 and sum(g) >= sum(f) and _fits_into(f, g) for g in found)
-        ]
-        return sorted(kept, key=lambda f: (room - sum(f), len(f)))
-
-    def choices(self, largest: int) -> Iterator[tuple[int, ...]]:
-        """Bins around the largest piece left."""
-        room = self.capacity - largest
-        self.take(largest)
-        found = self.fillings(room)
-        self.put(largest)
-        return iter([(largest, *f) for f in found])
+        return sorted(dict.fromkeys(found), key=lambda f: (room - sum(f), len(f)))
+
+    def fillings(self, room: int, most_waste: int) -> Iterator[tuple[int, ...] | None]:
+        """Undominated fillings of ``room`` that waste no more than ``most_waste``: promising ones, then all by rising waste.
+
+        None stands for one that is dominated, so that a search can count it. Pieces taken between two of
+        them have to be put back before the next is asked for.
+        """
+        if self.mask >> room & 1 or not room:
+            yield (room,) if room else ()  # fills the room alone and dominates all others
+            return
+        tried = [f for f in self.promising(room) if room - sum(f) <= most_waste]
+        yield from tried
+        seen = set(tried)
+        for filling in self._sums(room, most_waste):
+            waste = room - sum(filling)
+            dominated = filling in seen or (waste and self._room_for_more(filling, waste))
+            if not dominated and len(filling) <= PIECES:
+                dominated = any(len(g) <= len(filling) and _fits_into(filling, g) for g in tried[:COMPARED])
+            if dominated:
+                yield None
+                continue
+            tried.append(filling)
+            yield filling
+
+    def _room_for_more(self, filling: tuple[int, ...], waste: int) -> bool:
+        for length in filling:
+            self.take(length)
+        more = self.most(waste)
+        for length in filling:
+            self.put(length)
+        return more > 0
+
+    def _sums(self, room: int, most_waste: int) -> Iterator[tuple[int, ...]]:
+        """All fillings by falling sum, pieces falling. Every step leads to one: sums that cannot be made are known."""
+        lengths = [n for n in range(1, room + 1) if self.mask >> n & 1]
+        counts = [min(self.count[n], room // n) for n in lengths]
+        whole = (2 << room) - 1
+        made = [1]  # bit s of made[i]: the first i lengths make the sum s
+        for length, count in zip(lengths, counts):
+            sums, step = made[-1], 1
+            while count:
+                step = min(step, count)
+                sums |= (sums << step * length) & whole
+                count -= step
+                step *= 2
+            made.append(sums)
+
+        def exactly(total: int, upto: int) -> Iterator[tuple[int, ...]]:
+            if not total:
+                yield ()
+                return
+            for i in reversed(range(min(upto, bisect_right(lengths, total)))):
+                length = lengths[i]
+                for times in range(min(counts[i], total // length), 0, -1):
+                    rest = total - times * length
+                    if made[i] >> rest & 1:
+                        for tail in exactly(rest, i):
+                            yield (length,) * times + tail
+
+        for waste in range(min(most_waste, room) + 1):
+            if made[-1] >> (room - waste) & 1:
+                yield from exactly(room - waste, len(lengths))
+
+    def choices(self, largest: int, most_waste: int) -> Iterator[tuple[int, ...] | None]:
+        """Bins around the largest piece left, None for dominated ones."""
+        found = self.fillings(self.capacity - largest, most_waste)
+        while True:
+            self.take(largest)
+            try:
+                filling = next(found)
+            except StopIteration:
+                return
+            finally:
+                self.put(largest)
+            yield None if filling is None else (largest, *filling)
 
 
 def lower_bound(lengths: list[int], capacity: int) -> int:
@@ -173,40 +240,53 @@ def lower_bound(lengths: list[int], capacity: int) -> int:
     return int((len(sizes) - half + -(-rest // capacity)).max(initial=0))
 
 
-def complete_bins(lengths: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
+@dataclass(frozen=True)
+class Packing:
+    """Bins of lengths, and whether the search has shown that fewer are impossible."""
+
+    bins: list[list[int]]
+    proven: bool
+
+
+def search_bins(lengths: list[int], capacity: int, nodes: int = NODES, descents: int = DESCENTS) -> Packing:
     """Bins of lengths, as few as the search finds."""
     # The smallest piece stays, so one round finds them all; it is alone only if every piece is.
     least = min(lengths, default=0)
     alone = [[length] for length in lengths if length + least > capacity]
     if alone:
-        return alone + complete_bins([length for length in lengths if length + least <= capacity], capacity, nodes)
+        rest = search_bins([length for length in lengths if length + least <= capacity], capacity, nodes, descents)
+        return Packing(alone + rest.bins, rest.proven)
     best = best_fit(lengths, capacity)
-    nodes = max(nodes, DESCENTS * len(best)) if nodes else 0
+    nodes = max(nodes, descents * len(best)) if nodes else 0
     total = sum(lengths)
     bound = lower_bound(lengths, capacity)
     left = _Left(lengths, capacity)
     path: list[list[int]] = []
     open_bins: list[Iterator[tuple[int, ...]]] = []
     wastes = [0]
-    while len(best) > bound and nodes:
+    while len(best) > bound and nodes > 0:
         spare = (len(best) - 1) * capacity - total
         if not left.mask:
             best = [list(b) for b in path]
             spare = (len(best) - 1) * capacity - total
         elif len(open_bins) == len(path) and wastes[-1] <= spare:
-            open_bins.append(left.choices(left.mask.bit_length() - 1))
+            open_bins.append(left.choices(left.mask.bit_length() - 1, spare - wastes[-1]))
         # The next choice at the deepest open bin; done bins above it are undone on the way.
         while open_bins:
             if len(path) == len(open_bins):
                 for length in path.pop():
                     left.put(length)
                 wastes.pop()
-            filling = next(open_bins[-1], None)
-            if filling is None:
+            filling = next(open_bins[-1], ())
+            if filling == ():
                 open_bins.pop()
                 continue
-            waste = wastes[-1] + capacity - sum(filling)
-            if waste > spare:
+            waste = None if filling is None else wastes[-1] + capacity - sum(filling)
+            if waste is None or waste > spare:
+                # What is passed over counts too, so the limit bounds the time.
+                nodes -= 1
+                if nodes <= 0:
+                    break
                 continue
             for length in filling:
                 left.take(length)
@@ -215,13 +295,19 @@ def complete_bins(lengths: list[int], capacity: int, nodes: int = NODES) -> list
             nodes -= 1
             break
         if not open_bins:
-            break
-    return best
+            return Packing(best, True)
+    return Packing(best, len(best) <= bound)
+
+
+def complete_bins(lengths: list[int], capacity: int, nodes: int = NODES, descents: int = DESCENTS) -> list[list[int]]:
+    return search_bins(lengths, capacity, nodes, descents).bins
 
 
-def pack_lengths(lengths: np.ndarray, capacity: int, nodes: int = NODES) -> tuple[np.ndarray, np.ndarray]:
+def pack_lengths(
+    lengths: np.ndarray, capacity: int, nodes: int = NODES, descents: int = DESCENTS
+) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each length."""
-    bins = complete_bins(lengths.tolist(), capacity, nodes)
+    bins = complete_bins(lengths.tolist(), capacity, nodes, descents)
     flat = np.fromiter((x for b in bins for x in b), np.int64, len(lengths))
     sizes = np.fromiter(map(len, bins), np.int64, len(bins))
     number = np.repeat(np.arange(len(bins)), sizes)
@@ -272,10 +358,10 @@ def _cut(path: str, capacity: int, end: int, with_ids: bool):
     return cut
 
 
-def _packed(capacity: int, nodes: int):
+def _packed(capacity: int, nodes: int, descents: int):
     def packed(table: pa.Table) -> pa.Table:
         shard = table.column("_shard")[0].as_py()
-        number, offset = pack_lengths(table.column("length").to_numpy(), capacity, nodes)
+        number, offset = pack_lengths(table.column("length").to_numpy(), capacity, nodes, descents)
         out = table.drop_columns(["_shard"])
         out = out.append_column("sequence_id", pa.array(number + (shard << 32), pa.int64()))
         return out.append_column("offset", pa.array(offset, pa.int64()))
@@ -292,6 +378,7 @@ def pack_documents(
     end: int = END,
     shard_pieces: int = SHARD_PIECES,
     nodes: int = NODES,
+    descents: int = DESCENTS,
     with_ids: bool = False,
 ) -> DataFrame:
     """``id_col, piece, start, length, ids_crc32, sequence_id, offset``, and ``ids`` if asked for.
@@ -306,5 +393,5 @@ def pack_documents(
     pieces = settle(rows.mapInArrow(_cut(tokenizer or default_path(), capacity, end, with_ids), columns), "pieces")
     shards = F.lit(parts(pieces, shard_pieces))
     dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), shards))
-    out = dealt.groupBy("_shard").applyInArrow(_packed(capacity, nodes), f"{columns}, sequence_id bigint, offset bigint")
+    out = dealt.groupBy("_shard").applyInArrow(_packed(capacity, nodes, descents), f"{columns}, sequence_id bigint, offset bigint")
     return out.withColumnRenamed("id", id_col)

@@ -263,13 +263,18 @@ def _scores(model: AdditiveModel):
 
 
 def learn_quality(rows: DataFrame, labels: DataFrame, limit: int = ROWS) -> AdditiveModel:
-    """Fit on at most ``limit`` rows of ``labels`` (``id``, ``label``), those with the least hash of their id."""
+    """Fit on at most ``limit`` labelled documents, those with the least hash of their id.
+
+    The bound holds for the rows of ``labels`` (``id``, ``label``) and again after they are joined to the documents, as
+    an id may occur often.
+    """
     usable = labels.where(F.col("label").isin(0, 1) & F.col("id").isNotNull())
     chosen = settle(usable.orderBy(F.xxhash64("id"), "id", "label").limit(limit), "labels")
     x = having(rows.select("id", "text"), chosen.select("id").distinct()).mapInArrow(
         _features, f"id {dict(rows.dtypes)['id']}, x array<double>"
     )
-    table = x.join(chosen, "id").orderBy("id", "label", "x").select("x", "label").toArrow()
+    learned = x.join(chosen, "id").orderBy(F.xxhash64("id"), "id", "label", "x").limit(limit)
+    table = learned.orderBy("id", "label", "x").select("x", "label").toArrow()
     data = np.array(table.column("x").to_pylist()).reshape(-1, len(FEATURES))
     return fit_additive(data, table.column("label").to_numpy().astype(float))
 
