@@ -39,14 +39,12 @@ class Grid:
 
         The times are without zone. A table without any time has a grid without slots.
         """
-        since = (F.col(ts) - F.lit("1970-01-01").cast("timestamp_ntz")).cast("interval second").cast("decimal(20,6)")
-        turn = F.floor(since / step).cast("bigint")
-        # One row per task is shuffled.
-        seen = events.agg(F.min(turn).alias("first"), F.max(turn).alias("last")).first()
+        seen = events.agg(F.min(ts).alias("first"), F.max(ts).alias("last")).first()
+        epoch, turn = datetime(1970, 1, 1), timedelta(seconds=step)
         if seen["first"] is None:
-            return cls(topics, datetime(1970, 1, 1), step, 0)
-        start = datetime(1970, 1, 1) + timedelta(seconds=seen["first"] * step)
-        return cls(topics, start, step, seen["last"] - seen["first"] + 1)
+            return cls(topics, epoch, step, 0)
+        first, last = ((seen[c] - epoch) // turn for c in ("first", "last"))
+        return cls(topics, epoch + first * turn, step, last - first + 1)
 
     def _time(self, at: datetime) -> Column:
         return F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz")
