@@ -107,3 +107,30 @@ def test_recall_with_a_common_direction(spark, monkeypatch):
     all_links = int((x @ x.T >= 0.9).sum()) - len(x)
     links = sum(r.n_links for r in E.embedding_links(table(spark, rows, "double")).collect())
     assert 0.98 * all_links <= links <= all_links
+
+
+def test_agreement_is_a_plain_count():
+    """Shared pivots and rank agreement of all members of a section against loops over the pairs."""
+    rng = np.random.default_rng(5)
+    near = np.array([rng.permutation(9)[:5] for _ in range(40)])
+    near = near[((near == 2) | (near == 4)).sum(1) == 2]
+    shared, agreement, earlier = E.section_agreement(near, 2, 4)
+    for i, a in enumerate(near.tolist()):
+        for j, b in enumerate(near.tolist()):
+            if i == j:
+                continue
+            both = set(a) & set(b)
+            assert shared[i, j] == len(both)
+            assert agreement[i, j] == sum(5 - abs(a.index(p) - b.index(p)) for p in both)
+            assert earlier[i, j] == any(p < 4 and p != 2 for p in both)
+    count, score = E.pair_agreement(near[:-1], near[1:])
+    assert (count == np.diagonal(shared, 1)).all() and (score == np.diagonal(agreement, 1)).all()
+
+
+def test_order_of_pivots_decides(spark, monkeypatch):
+    """Vectors that name the same pivots in other orders are told apart before a vector is fetched."""
+    index = E.Index(np.zeros(3), np.eye(3), 3, 3, 9)
+    monkeypatch.setattr(E, "choose_index", lambda *_: index)
+    rows = [(0, [3.0, 2.0, 1.0]), (1, [3.0, 2.1, 1.0]), (2, [3.0, 3.1, 1.0])]
+    assert E.unit(np.array([rows[1][1], rows[2][1]]))[0] @ E.unit(np.array([rows[2][1]]))[0] >= 0.9
+    assert found(table(spark, rows, "double")) == [(0, 1, 0), (1, 1, 0), (2, 0, 2)]

@@ -1,21 +1,28 @@
 """Near-duplicate embeddings through a pivot permutation index.
 
 The mean of a bounded sample is taken off, so that a direction shared by all vectors does not count.
-Reference points (pivots) are chosen from the sample, each far from those before. A vector is
-described by its nearest pivots. Inverted lists are kept for pairs of pivots, so vectors that share
-at least two of their nearest pivots meet in a list, and the number of lists grows with the square
-of the pivots. In a list pairs are verified by cosine in double precision, and a pair that shares
-more than two pivots counts in the list of its two smallest ones only.
-
-Equal vectors are one class, so copies make no pairs. Long lists are salted into blocks, and blocks
+Reference points (pivots) are chosen from the sample, each far from those before it. A vector is
+described by its nearest pivots in their order. Every pivot has an inverted list of the vectors that
+name it, divided into sections by a second pivot that they name too, so that a list with a third of
+all vectors is many sections, and vectors that share two pivots meet in one.
+
+Lists hold descriptions, not vectors. In a section the pivots that two members share are counted, and
+their agreement is added up: the number of nearest pivots less the difference in rank, over the shared
+ones. A pair with enough shared pivots and agreement is a candidate; one that also meets in an earlier
+section counts there only. Vectors are then fetched for the members that have a candidate, and the
+candidates are verified by cosine in double precision.
+
+Equal vectors are one class, so copies make no pairs. Long sections are salted into blocks, and blocks
 are compared by matrix products; what leaves a task is one row per vector with its number of links
 and a root of its local links, not the pairs.
 
 Recall is measured before lists are made, on pairs at the threshold exactly that are planted at the
 sample, and on the links of sampled vectors in the whole table, of each vector the one with the least
-cosine. The nearest pivots that describe a vector are raised until ``RECALL`` of both share two; if
-``MOST_NEAREST`` are not enough the pivots are halved; if that fails too, all vectors of that length
-make one list, which is exact. What is hard to tell apart costs time, not links.
+cosine. The nearest pivots that describe a vector are raised until ``RECALL`` of both share two; then
+the shared pivots and the agreement asked of a candidate are as many as leave that recall. If
+``MOST_NEAREST`` pivots are not enough the pivots are halved; if that fails too, all vectors of that
+length make one list in which all are candidates, which is exact: its work grows with the square of
+the list, and a member is copied once per 1,024 others. What is hard to tell apart costs time, not links.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite numbers link with
 nothing and form their own component; vectors of different length do not link; repeated rows are
@@ -106,6 +113,38 @@ class Index:
     mean: np.ndarray
     pivots: np.ndarray
     nearest: int
+    shared: int  # pivots that a candidate pair shares
+    agreement: int  # and the least sum over them of ``nearest`` less the difference in rank
+
+
+def pair_agreement(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shared pivots of the ordered pivots in each row of ``a`` and ``b``, and their agreement."""
+    same = a[:, :, None] == b[:, None, :]
+    rank = np.arange(a.shape[1])
+    return same.sum((1, 2)), (same * (a.shape[1] - np.abs(rank[:, None] - rank))).sum((1, 2))
+
+
+def section_agreement(near: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all members of the section of ``low`` and ``high``: shared pivots, agreement, and whether a pair meets earlier.
+
+    A pair counts in the section of its two smallest shared pivots.
+    """
+    n, most = near.shape
+    shared, agreement, earlier = np.zeros((n, n), np.int32), np.zeros((n, n), np.int32), np.zeros((n, n), bool)
+    row, rank = np.nonzero(near >= 0)
+    pivot = near[row, rank]
+    order = np.argsort(pivot, kind="stable")
+    row, rank, pivot = row[order], rank[order], pivot[order]
+    edges = np.concatenate(([0], np.flatnonzero(pivot[1:] != pivot[:-1]) + 1, [len(pivot)]))
+    for a, b in zip(edges[:-1], edges[1:]):
+        if b - a < 2:
+            continue
+        at = np.ix_(row[a:b], row[a:b])
+        shared[at] += 1
+        agreement[at] += most - np.abs(rank[a:b, None] - rank[a:b])
+        if pivot[a] < high and pivot[a] != low:
+            earlier[at] = True
+    return shared, agreement, earlier
 
 
 def planted(x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +159,7 @@ def planted(x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def choose_index(x: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], count: int, nearest: int) -> Index | None:
-    """The most pivots, and the fewest nearest of them, with which ``RECALL`` of each set of pairs meet."""
+    """The most pivots, the fewest nearest of them and the strictest rule that find ``RECALL`` of each set of pairs."""
     mean = x.mean(0)
     points = choose_pivots(centred(x, mean), count)
     most = max(nearest, MOST_NEAREST)
@@ -128,9 +167,15 @@ def choose_index(x: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], coun
     while len(points) >= 2:
         orders = [(nearest_pivots(a, points, most), nearest_pivots(b, points, most)) for a, b in pairs]
         for number in range(nearest, most + 1):
-            met = [((a[:, :number, None] == b[:, None, :number]).any(2).sum(1) >= 2).mean() for a, b in orders]
-            if min(met, default=1) >= RECALL:
-                return Index(mean, points, number)
+            found = [pair_agreement(a[:, :number], b[:, :number]) for a, b in orders]
+
+            def recall(shared: int, agreement: int) -> float:
+                return min([((s >= shared) & (g >= agreement)).mean() for s, g in found], default=1)
+
+            if recall(2, 0) >= RECALL:
+                shared = max(c for c in range(2, number + 1) if c == 2 or found and recall(c, 0) >= RECALL)
+                floor = max(f for f in range(number * number + 1) if f == 0 or found and recall(shared, f) >= RECALL)
+                return Index(mean, points, number, shared, floor)
         points = points[: len(points) // 2]
     return None
 
@@ -163,7 +208,7 @@ def _hardest(probes: dict[int, np.ndarray], threshold: float):
 
 
 def _described(indexes: dict[int, Index | None]):
-    """One row per pair of a vector's nearest pivots; a length without an index has one list."""
+    """The sections a vector is in, with its ordered pivots; a length without an index has one list."""
 
     def run(batches):
         for batch in batches:
@@ -180,12 +225,13 @@ def _described(indexes: dict[int, Index | None]):
                     near += [[]] * len(rows)
                     continue
                 x = unit(np.array([np.frombuffer(data[r], np.float64) for r in rows]))
-                order = np.sort(nearest_pivots(centred(x, index.mean), index.pivots, index.nearest), 1)
+                order = nearest_pivots(centred(x, index.mean), index.pivots, index.nearest)
+                lists = order.tolist()
                 for a, b in combinations(range(order.shape[1]), 2):
                     at += rows.tolist()
-                    low += order[:, a].tolist()
-                    high += order[:, b].tolist()
-                    near += order.tolist()
+                    low += np.minimum(order[:, a], order[:, b]).tolist()
+                    high += np.maximum(order[:, a], order[:, b]).tolist()
+                    near += lists
             take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -201,40 +247,59 @@ def _described(indexes: dict[int, Index | None]):
     return run
 
 
-def _verified(threshold: float, nearest: int):
+SECTION = ["length", "low", "high", "_low", "_high"]
+
+
+def _sections(table: pa.Table, indexes: dict[int, Index | None]):
+    """Sections of at least two rows in a sorted table: first row, end, and which pairs (each once) are candidates."""
+    columns = {n: table.column(n).to_numpy() for n in [*SECTION, "_block"]}
+    key = np.stack([columns[n] for n in SECTION])
+    edges = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, [table.num_rows]))
+    lists = table.column("near").combine_chunks()
+    starts, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    for a, b in zip(edges[:-1], edges[1:]):
+        if b - a < 2:
+            continue
+        candidate = np.triu(np.ones((b - a, b - a), bool), 1)
+        if columns["_low"][a] != columns["_high"][a]:
+            candidate &= columns["_block"][a:b, None] != columns["_block"][a:b]
+        index = indexes.get(int(columns["length"][a]))
+        if index is not None:
+            near = values[starts[a] : starts[b]].reshape(b - a, -1)
+            shared, agreement, earlier = section_agreement(near, columns["low"][a], columns["high"][a])
+            candidate &= (shared >= index.shared) & (agreement >= index.agreement) & ~earlier
+        yield a, b, candidate
+
+
+def _ordered(table: pa.Table) -> pa.Table:
+    return table.sort_by([(n, "ascending") for n in SECTION]).combine_chunks()
+
+
+def _candidates(indexes: dict[int, Index | None]):
+    """Members of sections that have a candidate."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = _ordered(table.drop_columns("_group"))
+        kept = np.zeros(table.num_rows, bool)
+        for a, b, candidate in _sections(table, indexes):
+            kept[a:b] = candidate.any(0) | candidate.any(1)
+        return table.filter(pa.array(kept))
+
+    return run
+
+
+def _verified(threshold: float, indexes: dict[int, Index | None]):
     def run(table: pa.Table) -> pa.Table:
-        columns = {n: table.column(n).to_numpy() for n in ("length", "low", "high", "_low", "_high", "_block", "size")}
-        order = np.lexsort([columns[n] for n in ("_high", "_low", "high", "low", "length")])
-        table = table.take(pa.array(order)).combine_chunks()
-        columns = {n: c[order] for n, c in columns.items()}
-        key = np.stack([columns[n] for n in ("length", "low", "high", "_low", "_high")])
-        edges = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, [len(order)]))
-        near = np.full((len(order), nearest), -1)
-        lists = table.column("near").to_pylist()
-        for i, x in enumerate(lists):
-            near[i, : len(x)] = x
-        data = table.column("vector").to_pylist()
+        table = _ordered(table)
+        data = table.column("vector").combine_chunks()
         classes = table.column("class").combine_chunks()
+        size = table.column("size").to_numpy()
         out = [empty_links()]
-        for a, b in zip(edges[:-1], edges[1:]):
-            if b - a < 2:
-                continue
-            x = unit(np.array([np.frombuffer(v, np.float64) for v in data[a:b]]))
-            left, right = np.nonzero(np.triu(x @ x.T >= threshold, 1))
-            left, right = left + a, right + a
-            if columns["_low"][a] != columns["_high"][a]:
-                apart = columns["_block"][left] != columns["_block"][right]
-                left, right = left[apart], right[apart]
-            low, high = columns["low"][a], columns["high"][a]
-            keep = np.ones(len(left), bool)
-            for i in range(nearest):
-                # A shared pivot before the list's second, other than its first: counted there.
-                pivot = near[left, i]
-                shared = (near[right] == pivot[:, None]).any(1)
-                keep &= ~(shared & (pivot >= 0) & (pivot < high) & (pivot != low))
-            left, right = left[keep] - a, right[keep] - a
+        for a, b, candidate in _sections(table, indexes):
+            x = unit(np.array([np.frombuffer(v.as_py(), np.float64) for v in data[a:b]]))
+            left, right = np.nonzero(candidate & (x @ x.T >= threshold))
             if len(left):
-                out.append(link_batch(classes.slice(a, b - a), columns["size"][a:b], left, right))
+                out.append(link_batch(classes.slice(a, b - a), size[a:b], left, right))
         return pa.Table.from_batches(out)
 
     return run
@@ -275,17 +340,20 @@ def embedding_links(
         there = np.array([np.frombuffer(r.link.vector, np.float64) for r in links]).reshape(-1, length)
         linked = probes[length][[r.probe for r in links]], unit(there) if links else there
         indexes[length] = choose_index(x, [planted(x, threshold), linked], count, nearest)
-    nearest = max([nearest, *[i.nearest for i in indexes.values() if i]])
-    described = classes.select("class", "vector").mapInArrow(
-        _described(indexes), "class binary, length int, low int, high int, near array<int>"
-    )
+    member = "class binary, length int, low int, high int, near array<int>"
+    described = classes.select("class", "vector").mapInArrow(_described(indexes), member)
     listed = described.withColumn("_list", F.struct("length", "low", "high"))
     dealt = settle(cells(listed, "_list", "class").drop("_list"), "cells")
-    groups = F.lit(parts(dealt, TASK_ROWS))
-    met = dealt.join(classes.select("class", "size", "vector"), "class").withColumn(
-        "_group", F.pmod(F.xxhash64("length", "low", "high", "_low", "_high"), groups)
+
+    def grouped(rows: DataFrame, number: int) -> DataFrame:
+        return rows.withColumn("_group", F.pmod(F.xxhash64(*SECTION), F.lit(number)))
+
+    met = grouped(dealt, parts(dealt, TASK_ROWS)).groupBy("_group").applyInArrow(
+        _candidates(indexes), f"{member}, _low bigint, _high bigint, _block bigint"
     )
-    found = met.groupBy("_group").applyInArrow(_verified(threshold, nearest), LINKS)
+    met = settle(met, "candidates")
+    fetched = met.join(classes.select("class", "size", "vector"), "class")
+    found = grouped(fetched, parts(met, TASK_ROWS)).groupBy("_group").applyInArrow(_verified(threshold, indexes), LINKS)
     linked = summed(classes.drop("vector"), found)
     out = known.select("id", "class").join(linked.drop("first", "size"), "class", "left")
     component = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component"))
