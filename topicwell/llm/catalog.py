@@ -150,6 +150,9 @@ QUERIES: dict[str, Query] = {
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TERMS = f"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
 _NORMAL = _LOWER.format("coalesce(text, '')")
+_ESCAPED = (
+    r"regexp_replace({}, '([<\[])(\\*(?:/?s>|\|[a-z_]+(?::[0-9]+)?\|>|/?INST\]|/?SYS>>))', '\1\\\2', 'g')"
+)
 
 ORACLE: dict[str, str] = {
     "op3_exact_dedup": f"""
@@ -179,6 +182,44 @@ ORACLE: dict[str, str] = {
         SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
                sha256(coalesce(k, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id)""",
+    "op6_chat_format": rf"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ), f AS (
+            SELECT *, '<|turn|>' || {_ESCAPED.format("role")} || '<|body|>' || {_ESCAPED.format("text")} || '<|end|>' AS formatted,
+                   CASE WHEN role = 'assistant' THEN text ELSE '' END AS learned
+            FROM t
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               length(string_agg(learned, '' ORDER BY turn, role, text)) AS loss_chars,
+               sha256(string_agg(learned, '' ORDER BY turn, role, text)) AS loss_sha256,
+               length(string_agg(formatted, '' ORDER BY turn, role, text)) AS formatted_chars
+        FROM f GROUP BY conv_id""",
+    "op9_suffix_dedup": """
+        WITH d AS (
+            SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents
+        ), win AS (
+            SELECT doc_id, i, md5(array_slice(b, i, i + 199)) AS h
+            FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 198)) AS i FROM d WHERE octet_length(b) >= 200)
+        ), hit AS (
+            SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before
+            FROM win SEMI JOIN (SELECT h FROM win GROUP BY h HAVING count(*) > 1) USING (h)
+        ), run AS (
+            SELECT doc_id, i, sum(CASE WHEN i <= before + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM hit
+        ), span AS (
+            SELECT doc_id, min(i) AS s, max(i) + 199 AS e FROM run GROUP BY doc_id, r
+        ), edge AS (
+            SELECT doc_id, s, e FROM span UNION ALL SELECT doc_id, octet_length(b) + 1, NULL FROM d
+        ), piece AS (
+            SELECT doc_id, s, e, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM edge
+        )
+        SELECT d.doc_id, any_value(octet_length(b))::BIGINT AS n_bytes,
+               coalesce(sum(e - s + 1), 0)::BIGINT AS n_removed, count(e) AS n_spans,
+               sha256(unhex(string_agg(hex(array_slice(b, before + 1, s - 1)), '' ORDER BY s))) AS kept_sha256
+        FROM d JOIN piece USING (doc_id) GROUP BY d.doc_id""",
     "op11_line_dedup": f"""
         WITH l AS (
             SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS i
