@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import SF, WORD, documents, passages, sha
 from topicwell.llm import arrays as A
@@ -105,6 +106,23 @@ def test_repeated_rows_and_null_ids(spark):
     check_bytes(documents(spark, rows), rows, 40, gram=12)
 
 
+def test_a_third_without_id(spark):
+    """Ranges and runs are gathered per text: rows without id do not meet, and rows alike gather once."""
+    rows = [(None if i % 3 == 0 else i, t) for i, t in passages(4, 90)] + [(None, passages(4)[7][1])] * 20
+    df = documents(spark, rows)
+    check_words(df, rows, 13)
+    check_bytes(df, rows, 40, gram=12)
+    pairs = df.select(F.col("doc_id").alias("id"), "text")
+    spec = repeats.Windows(40, 12, suffix_dedup_module._byte_symbols, "uint8", True)
+    twice = F.col("n") >= 2
+    found = repeats.removed_ranges(
+        pairs, spec, suffix_dedup_module.repeated_windows, twice, ~twice, twice, F.col("total") >= 2
+    ).select("key.id", "key.row_key", F.size("ranges").alias("n"))
+    assert found.groupBy("id", "row_key").count().where("count > 1").count() == 0
+    longest = max(len(t or "") for _, t in rows)
+    assert found.agg(F.max("n")).first()[0] <= 4 * longest / 40 + 4 and found.where("id IS NULL").count() > 5
+
+
 def test_empty_table(spark):
     df = documents(spark, [(1, "a")]).where("doc_id > 1")
     assert factor_dedup(df).collect() == [] and suffix_dedup(df).collect() == []

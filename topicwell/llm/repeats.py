@@ -13,8 +13,9 @@ mark each, about two runs per window width. The work on runs is:
    and 128-bit digest, combined before the shuffle, and the verdict is joined back to the windows;
 4. the verdict of each run content is joined back to all its places, and each text is cut once.
 
-No step needs all rows of a mark, a document group or a copy group in one task. Rows are told apart by id and text, so repeated
-rows are documents of their own and rows with an id in common do not mix.
+No step needs all rows of a mark, a document group or a copy group in one task. Rows are told apart by id and a hash of the
+text (``row_key``), and what is gathered for a text is gathered under both, so rows without id, or with an id in common, do not
+meet. Rows alike in both are documents of their own that lose the same symbols; their ranges are gathered once.
 """
 
 from __future__ import annotations
@@ -97,9 +98,9 @@ def runs(values: np.ndarray, bounds: np.ndarray, spec: Windows):
     return [np.concatenate(x) for x in zip(*found)]
 
 
-def row_key(text: bytes) -> int:
-    """Tells texts under one id apart."""
-    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+def keyed(docs: DataFrame) -> DataFrame:
+    """``id`` and ``text`` with a key that tells texts under one id apart."""
+    return docs.select("id", "text", F.xxhash64("text").alias("row_key"))
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -125,12 +126,11 @@ def _list_runs(spec: Windows):
             ids = batch.column(0)
             for first, buffer, bounds in _texts(batch):
                 row, start, length, mark, content, tied = runs(*spec.values(buffer, bounds), spec)
-                rows, at = np.unique(row, return_inverse=True)
-                keys = [row_key(buffer[bounds[r] : bounds[r + 1]].tobytes()) for r in rows]
+                take = pa.array(row + first)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.take(pa.array(row + first)),
-                        pa.array(np.array(keys, np.int64)[at]),
+                        ids.take(take),
+                        batch.column(2).take(take),
                         # One number, as rows are shuffled: start, length up to SEGMENT, tied.
                         pa.array(start << 21 | length << 1 | tied),
                         pa.array(mark.view(np.int64)),
@@ -150,12 +150,8 @@ def _fetch_runs(spec: Windows):
             out: list[tuple] = []
             ids, texts, asked = batch.column(0), batch.column(1), batch.column(2)
             for i in range(batch.num_rows):
-                text = (texts[i].as_py() or "").encode()
-                key = row_key(text)
-                own = [a for a in asked[i].as_py() if a["row_key"] == key]
-                if not own:
-                    continue
-                buffer = np.frombuffer(text, np.uint8)
+                own = asked[i].as_py()
+                buffer = np.frombuffer((texts[i].as_py() or "").encode(), np.uint8)
                 symbols = buffer if spec.raw else spec.values(buffer, np.array([0, len(buffer)]))[0]
                 out += [
                     (a["mark"], a["content"], a["first"], a["n"], a["wide"], symbols[a["start"] : a["start"] + a["length"] + spec.width - 1].tobytes())
@@ -269,7 +265,7 @@ def _compared(spec: Windows, compare):
 def removed_ranges(
     docs: DataFrame, spec: Windows, compare, whole: Column, partly: Column, joins: Column, held: Column
 ) -> DataFrame:
-    """For each id that loses symbols: ``id`` and ``ranges``, an array of (row_key, start, end).
+    """For each text that loses symbols: ``key`` (id and row_key) and ``ranges``, an array of (start, end).
 
     ``docs`` has the columns ``id`` and ``text``. Over the columns ``id``, ``first`` (least id with
     this run content) and ``n`` (places of it): ``whole`` says that all windows of a run are hits,
@@ -279,7 +275,9 @@ def removed_ranges(
     """
     bounded_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["id"]
-    marks = docs.mapInArrow(_count_marks(spec), "mark bigint, n bigint")
+    texts = docs
+    docs = keyed(docs)
+    marks = texts.select("id", "text").mapInArrow(_count_marks(spec), "mark bigint, n bigint")
     again = settle(marks.groupBy("mark").agg(F.sum("n").alias("n")).where(F.col("n") >= 2).select("mark"), "marks")
     listed = docs.mapInArrow(
         _list_runs(spec),
@@ -318,9 +316,9 @@ def removed_ranges(
     )
     wanted = contents.join(mixed, "mark")
     asked = settle(
-        wanted.groupBy(F.col("place.id").alias("id")).agg(
+        wanted.groupBy(F.col("place.id").alias("id"), F.col("place.row_key").alias("row_key")).agg(
             F.collect_list(
-                F.struct("place.row_key", "place.start", "place.length", "mark", "content", "first", "n", "wide")
+                F.struct("place.start", "place.length", "mark", "content", "first", "n", "wide")
             ).alias("asked")
         ),
         "asked",
@@ -329,8 +327,13 @@ def removed_ranges(
         F.sum(F.when(~F.col("wide"), F.col("l") + spec.width)).alias("amount"), F.max("wide").alias("wide")
     ).first()
     groups = F.lit(max(1, -(-(size.amount or 0) // COMPARED)))
-    right = asked.withColumnRenamed("id", "_id")
-    texts = having(docs, asked.select("id")).join(right, F.col("id").eqNullSafe(F.col("_id"))).select("id", "text", "asked")
+    right = asked.withColumnRenamed("id", "_id").withColumnRenamed("row_key", "_key")
+    keys = asked.select("id", "row_key")
+    held_texts = having(docs, keys)
+    if held_texts.count() > asked.count():  # rows alike in id and text: one of them is looked at
+        held_texts = held_texts.dropDuplicates(["id", "row_key"])
+    match = F.col("id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key"))
+    texts = held_texts.join(right, match).select("id", "text", "asked")
     symbols = texts.mapInArrow(
         _fetch_runs(spec), f"mark bigint, content bigint, first {kind}, n bigint, wide boolean, symbols binary"
     )
@@ -352,12 +355,11 @@ def removed_ranges(
     cut = F.when(whole, every).when(partly, F.col("parts"))
     found = (
         places.join(verdicts, ["mark", "content"])
-        .select("id", "row_key", "start", F.explode(cut).alias("p"))
-        .groupBy("id")
+        .select(F.struct("id", "row_key").alias("key"), "start", F.explode(cut).alias("p"))
+        .groupBy("key")
         .agg(
-            F.collect_list(
+            F.collect_set(
                 F.struct(
-                    "row_key",
                     (F.col("start") + F.col("p.off")).alias("start"),
                     (F.col("start") + F.col("p.off") + F.col("p.len")).alias("end"),
                 )
@@ -367,15 +369,13 @@ def removed_ranges(
     return settle(found, "ranges")
 
 
-def own_ranges(text: bytes, ranges: list | None) -> tuple[np.ndarray, np.ndarray]:
-    """The merged ranges of one text, from those gathered under its id."""
-    if not ranges:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    mine = row_key(text)
-    own = np.array([(r["start"], r["end"]) for r in ranges if r["row_key"] == mine], np.int64).reshape(-1, 2)
+def own_ranges(ranges: list | None) -> tuple[np.ndarray, np.ndarray]:
+    """The merged ranges of one text."""
+    own = np.array([(r["start"], r["end"]) for r in ranges or []], np.int64).reshape(-1, 2)
     return A.merged(own[:, 0], own[:, 1])
 
 
 def cut_texts(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Every row of ``docs`` with the ranges found under its id, or null."""
-    return beside(docs, ranges, "id").select("id", "text", "ranges")
+    """Every row of ``docs`` with the ranges found for it, or null."""
+    rows = keyed(docs).select("id", "text", F.struct("id", "row_key").alias("key"))
+    return beside(rows, ranges, "key").select("id", "text", "ranges")

@@ -74,7 +74,7 @@ def _cut_words(batches):
         for i in range(batch.num_rows):
             text = (texts[i].as_py() or "").encode()
             words = text.split()
-            starts, ends = own_ranges(text, ranges[i].as_py())
+            starts, ends = own_ranges(ranges[i].as_py())
             total.append(len(words))
             removed.append(int((ends - starts).sum()))
             spans.append([{"start": int(s), "end": int(e)} for s, e in zip(starts, ends)])

@@ -132,7 +132,7 @@ def _cut_bytes(batches):
         kept, total, removed, spans = [], [], [], []
         for i in range(batch.num_rows):
             text = (texts[i].as_py() or "").encode()
-            starts, ends = own_ranges(text, ranges[i].as_py())
+            starts, ends = own_ranges(ranges[i].as_py())
             total.append(len(text))
             removed.append(int((ends - starts).sum()))
             spans.append([{"start": int(s), "end": int(e)} for s, e in zip(starts, ends)])
