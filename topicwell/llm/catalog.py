@@ -155,6 +155,26 @@ _ESCAPED = (
 )
 
 ORACLE: dict[str, str] = {
+    "op2_embedding_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+        ), u AS (
+            SELECT vec_id, x FROM v
+            WHERE len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+              AND len(list_filter(x, lambda c: c <> 0)) > 0
+        ), link AS MATERIALIZED (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM u AS a JOIN u AS b ON a.vec_id <> b.vec_id
+            WHERE CASE WHEN len(a.x) = len(b.x) THEN list_cosine_similarity(a.x, b.x) >= 0.9 ELSE false END
+        ), reach AS (
+            SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach AS r JOIN link AS l ON r.b = l.a
+        ), n AS (
+            SELECT a, count(*) AS n_links FROM link GROUP BY a
+        ), least AS (
+            SELECT a, min(b) AS b FROM reach GROUP BY a
+        )
+        SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(b, vec_id)) AS component_id,
+               vec_id = least(vec_id, coalesce(b, vec_id)) AS kept
+        FROM v LEFT JOIN n ON vec_id = n.a LEFT JOIN least ON vec_id = least.a""",
     "op3_exact_dedup": f"""
         SELECT doc_id,
                max(doc_id) OVER (PARTITION BY n) AS keep_id,
