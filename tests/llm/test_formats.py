@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -19,6 +19,7 @@ from topicwell.llm import mixing as M
 from topicwell.llm import packing as P
 from topicwell.llm import tokens as T
 from topicwell.llm.catalog import QUERIES
+from topicwell.llm.tables import settle
 
 HARD = st.lists(
     st.sampled_from([*"<>[]/\\|s:1", "</s>", "INST]", "[/INST]", "<|end|>", "<|turn|>", "|image:0|>", "é", "\n"])
@@ -153,6 +154,35 @@ def test_mix(spark, block, shard_rows):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_mix_ranges_tile_the_documents(spark):
+    got = M.mix_sources(source_docs(spark, mixed_rows(2)), block=8, shard_rows=25, ranges=True).collect()
+    assert any(len(r.ranges or []) > 2 for r in got)
+    for r in got:
+        at = 0
+        for run in r.ranges or []:
+            assert run.first == at and 0 < run.words <= 8 and 0 <= run.times <= M.REPEATS
+            at += run.words
+        assert at == r.size and sum(run.words * run.times for run in r.ranges or []) == r.taken
+
+
+def shared_id_rows(many):
+    """A third of the rows without id and alike, a third of one id with texts of their own."""
+    rows = [(None, "w w w w w", "a")] * many + [(7, "w " * (i % 9 + 1) + str(i), "a") for i in range(many)]
+    return rows + [(100 + i, "w w w", "ab"[i % 2]) for i in range(many)]
+
+
+def test_mix_spreads_rows_that_share_an_id(spark):
+    rows = shared_id_rows(2000)
+    docs = source_docs(spark, rows)
+    sized = settle(docs.selectExpr("doc_id id", "xxhash64(doc_id) hash", "source", "size(split(text, ' ')) size", "xxhash64(text) text_hash"), "sizes")
+    held = [r["count"] for r in M._spread(sized, 200).groupBy(F.expr("pmod(hash, 30)")).count().collect()]
+    assert sum(held) == len(rows) and len(held) == 30 and max(held) <= 2 * sorted(held)[15]
+    got = M.mix_sources(docs, block=16, shard_rows=200).collect()
+    check_mix(rows, got, 16, 200)
+    again = M.mix_sources(docs.repartition(7), block=16, shard_rows=200).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
 def test_mix_quotas_are_those_of_highest_quotients(spark):
     rng = random.Random(4)
     for seats in (0, 1, 7, 40, 200):
@@ -220,6 +250,14 @@ def test_packing_odd_texts(spark):
     assert P.pack_documents(documents(spark, rows).where("doc_id > 9")).collect() == []
 
 
+def test_packing_spreads_rows_alike(spark):
+    rows = [(None, None)] * 2000 + [(i, "a b") for i in range(2000)]
+    got = P.pack_documents(documents(spark, rows), shard_pieces=200).collect()
+    check_packing(rows, got)
+    held = sorted(Counter(r.sequence_id >> 32 for r in got).values())
+    assert len(held) == 20 and held[-1] <= 2 * held[10]
+
+
 def test_pieces_follow_the_pattern():
     encoder = T.tokens(T.default_path())
     rng = random.Random(1)

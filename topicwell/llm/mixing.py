@@ -9,7 +9,7 @@
    between them, at most three per source, are ranked. A source's blocks are apportioned to its
    shards in the same way by their words.
 3. *Blocks.* A shard holds about ``shard_rows`` documents, by hash of the id, and lines up their
-   words in seeded order. Each of its blocks is taken ``quota div blocks`` times, and the first
+   words in seeded order. Rows of an id that many share, or that have none, are dealt one by one (``_spread``). Each of its blocks is taken ``quota div blocks`` times, and the first
    ``quota mod blocks`` in another seeded order once more. A document's take is the sum over the
    blocks that it crosses, so no document passes ``repeats`` times its size.
 
@@ -17,7 +17,7 @@ A source is divided into shards that do not grow with it, so a source with a thi
 spread like any other. Sources and shards are tables; the driver sees totals only. A source's
 quotas are off by less than a block per shard, and by the last, partly filled block of a shard.
 
-Defined cases: null text has no words; null ids are hashed like a value; repeated rows are rows of
+Defined cases: null text has no words; null ids are an id that rows share; repeated rows are rows of
 their own and equal rows are ordered as they come; a source without words gets nothing; an empty
 table gives an empty result; columns beside id, text and source are ignored.
 """
@@ -29,7 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicwell.llm.tables import numbered, settle
+from topicwell.llm.tables import having, numbered, settle
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -124,6 +124,27 @@ def _apportioned(votes: DataFrame, within: Sequence[str], tie: Column) -> DataFr
     )
 
 
+def _spread(sized: DataFrame, shard_rows: int) -> DataFrame:
+    """Give the rows of a hash that an eighth of a shard shares hashes of their own.
+
+    These come from the text and a number among the rows alike in it, so that reruns agree. Rows are numbered
+    within the partition they are read in, and these by the counts of the partitions before: no task holds all rows alike.
+    """
+    held = sized.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+    hot = settle(held.where(F.col("n") > max(1, shard_rows // 8)).select("hash"), "hot")
+    if hot.isEmpty():
+        return sized.drop("text_hash")
+    alike = F.xxhash64("hash", "text_hash", "source", "size").alias("_alike")
+    rows = settle(having(sized.select("*", alike, F.spark_partition_id().alias("_part")), hot), "alike")
+    counts = rows.groupBy("_alike", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy("_alike").orderBy("_part")) - F.col("_n")
+    own = F.row_number().over(Window.partitionBy("_alike", "_part").orderBy("id"))
+    numbers = rows.withColumn("_own", own).join(counts.select("_alike", "_part", earlier.alias("_before")), ["_alike", "_part"])
+    dealt = numbers.withColumn("hash", F.xxhash64("_alike", F.col("_before") + F.col("_own")))
+    rest = having(sized, hot, "left_anti").select("id", "hash", "source", "size")
+    return settle(rest.unionByName(dealt.select(*rest.columns)), "spread")
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -136,10 +157,12 @@ def mix_sources(
     shard_rows: int = SHARD_ROWS,
     seed: int = SEED,
     hash_col: str | None = None,
+    ranges: bool = False,
 ) -> DataFrame:
-    """``id_col, size, source_size, target, taken``, one row per row of ``docs``.
+    """``id_col, size, source_size, target, taken``, one row per row of ``docs``, and ``ranges`` if asked for.
 
-    Shards and seeded order go by the hash of ``hash_col``, or of the id.
+    Shards and seeded order go by the hash of ``hash_col``, or of the id. ``ranges`` are the runs of words that lie
+    in one block, in order: ``first`` (from 0), ``words`` and the ``times`` they are taken; null without words.
     """
     sized = settle(
         docs.select(
@@ -147,6 +170,7 @@ def mix_sources(
             F.xxhash64(F.col(hash_col or id_col), F.lit(seed)).alias("hash"),
             F.col(source_col).cast("string").alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
+            F.xxhash64(text_col).alias("text_hash"),
         ),
         "sizes",
     )
@@ -161,7 +185,7 @@ def mix_sources(
     def with_source(df: DataFrame, table: DataFrame) -> DataFrame:
         return df.join(table, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
-    sharded = with_source(sized, sharding).select(
+    sharded = with_source(_spread(sized, shard_rows), sharding).select(
         "id", "hash", "source", "size", F.pmod(F.col("hash"), F.col("shards")).alias("shard")
     )
     shards = settle(sharded.groupBy("source", "shard").agg(F.sum("size").alias("shard_size")), "shards")
@@ -227,14 +251,21 @@ def mix_sources(
     match = (
         F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")) & (F.col("block") == F.col("_block"))
     )
-    taken = F.when(F.col("size") > 0, inside * F.coalesce("times", F.lit(0))).otherwise(F.lit(0))
+    times_taken = F.coalesce("times", F.lit(0).cast("bigint"))
+    taken = F.when(F.col("size") > 0, inside * times_taken).otherwise(F.lit(0))
+    first = F.greatest(F.col("start"), F.col("block") * block) - F.col("start")
+    run = F.struct(first.alias("first"), inside.alias("words"), times_taken.alias("times"))
     # Spark takes the blocks for as small as the quotas that they are listed from, and would broadcast them.
-    joined = pieces.join(times.hint("merge"), match, "left").select("source", "shard", "id", "start", "size", taken.alias("part"))
+    columns = ["source", "shard", "id", "start", "size", taken.alias("part")]
+    columns += [F.when(F.col("size") > 0, run).alias("run")] if ranges else []
+    joined = pieces.join(times.hint("merge"), match, "left").select(*columns)
     # Rows with words differ in their start; equal rows without words are counted.
     copies = F.when(F.col("size") > 0, F.lit(1)).otherwise(F.count(F.lit(1)))
-    whole = joined.groupBy("source", "shard", "id", "start", "size").agg(
-        F.sum("part").alias("taken"), copies.cast("int").alias("copies")
-    )
-    rows = whole.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("_copy")
+    sums = [F.sum("part").alias("taken"), copies.cast("bigint").alias("copies")]
+    if ranges:
+        runs = F.sort_array(F.collect_list("run"))
+        sums.append(F.when(F.col("size") > 0, runs).alias("ranges"))
+    whole = joined.groupBy("source", "shard", "id", "start", "size").agg(*sums)
+    rows = whole.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).drop("_copy")
     final = targets.select(_source, "source_size", "target")
-    return with_source(rows, final).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
+    return with_source(rows, final).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", *(["ranges"] if ranges else []))

@@ -1,8 +1,8 @@
 """Best-fit packing of documents into sequences by bin completion.
 
 Documents become token ids and an end id. Longer ones are cut into pieces of ``capacity`` ids, of
-which the first may be shorter. Pieces are dealt by hash into shards of about ``shard_pieces``, and
-each shard is packed by branch and bound on its lengths:
+which the first may be shorter. Pieces are dealt by hash of id, piece, ids and place into shards of about
+``shard_pieces``, so that rows without id, or alike in all, are spread like others, and each shard is packed by branch and bound on its lengths:
 
 * pieces that leave no room for the smallest one, such as full pieces of cut documents, are bins of
   their own and take no part in what follows;
@@ -392,6 +392,8 @@ def pack_documents(
     columns += ", ids array<int>" if with_ids else ""
     pieces = settle(rows.mapInArrow(_cut(tokenizer or default_path(), capacity, end, with_ids), columns), "pieces")
     shards = F.lit(parts(pieces, shard_pieces))
-    dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), shards))
+    # The place in the written pieces tells rows alike in all else apart.
+    place = [F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1), F.col("_metadata.row_index")]
+    dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64("id", "piece", "ids_crc32", *place), shards))
     out = dealt.groupBy("_shard").applyInArrow(_packed(capacity, nodes, descents), f"{columns}, sequence_id bigint, offset bigint")
     return out.withColumnRenamed("id", id_col)
