@@ -9,8 +9,9 @@ file, so rows that share or lack an id are decided one by one.
    likely) go. Languages are learned from the rows outside the held-out fold.
 2. ``exact``: of equal texts one row with the largest id stays.
 3. ``near``: one document of each group of similar ones stays, the one with the smallest id.
-4. ``mix``: a document comes as often as the mix takes it whole; what is taken beyond that is one
-   more copy of as many words from its start. Documents that the mix leaves out go.
+4. ``mix``: the mix takes blocks of words, some of them twice. The first copy of a document has its words that
+   are taken at least once, the second those taken twice; a copy of all words is the text as it is. Documents
+   that the mix leaves out go.
 5. ``pack``: the mixed documents in sequences of at most 1024 tokens.
 
 Null and empty texts go in the first stage; an empty table passes through all stages.
@@ -88,21 +89,22 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns = docs.columns
     docs, row = _placed(docs)
-    mixed, size, took, words = _free(docs.columns, "mixed", "size", "taken", "words")
-    taken = mix_sources(docs, id_col=row, hash_col="doc_id").where(F.col("taken") > 0)
-    taken = settle(taken.select(row, "size", "taken").toDF(mixed, size, took), "mixed")
+    mixed, ranges, words, copy = _free(docs.columns, "mixed", "ranges", "words", "copy")
+    taken = mix_sources(docs, id_col=row, hash_col="doc_id", ranges=True).where(F.col("taken") > 0)
+    taken = settle(taken.select(row, "ranges").toDF(mixed, ranges), "mixed")
     match = F.col(row).eqNullSafe(F.col(mixed))
     chosen = docs.join(F.broadcast(taken) if small(taken) else taken, match)
-    whole = F.call_function("div", F.col(took), F.col(size))
-    rest = (F.col(took) % F.col(size)).cast("int")
-    copies = F.concat(F.array_repeat(F.lit(0), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array()))
-    dealt = chosen.withColumn(words, F.explode(copies))
-    start = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(SPACED_WORD), F.lit(0)), F.lit(1), F.col(words)), "")
-    text = F.when(F.col(words) == 0, F.col("text")).otherwise(start)
-    cut = dealt.withColumn("text", text)
+    times = F.transform(ranges, lambda r: r["times"])
+    whole, most = F.array_min(times), F.array_max(times)
+    spaced = F.when(whole < most, F.regexp_extract_all("text", F.lit(SPACED_WORD), F.lit(0)))
+    dealt = chosen.withColumn(words, spaced).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("bigint"), most)))
+    held = F.filter(ranges, lambda r: r["times"] >= F.col(copy))
+    runs = F.transform(held, lambda r: F.slice(words, (r["first"] + 1).cast("int"), r["words"].cast("int")))
+    is_whole = F.col(copy) <= whole
+    cut = dealt.withColumn("text", F.when(is_whole, F.col("text")).otherwise(F.array_join(F.flatten(runs), "")))
     if "n_chars" in columns:
         length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-        cut = cut.withColumn("n_chars", F.when(F.col(words) == 0, F.col("n_chars")).otherwise(length))
+        cut = cut.withColumn("n_chars", F.when(is_whole, F.col("n_chars")).otherwise(length))
     return cut.select(*columns)
 
 

@@ -36,12 +36,15 @@ def test_stages(spark):
 
     near = brute([(r["doc_id"], r["text"]) for r in rows[2]])
     assert sorted(r["doc_id"] for r in rows[3]) == sorted(i for i, c, _, _ in near if i == c)
-    taken = {r.doc_id: r.taken for r in cp.mix_sources(tables[3]).collect()}
-    mixed = defaultdict(int)
+    mixed, want = Counter(), Counter()
     for r in rows[4]:
-        assert text[r["doc_id"]].startswith(r["text"]) and r["n_chars"] == len(r["text"])
-        mixed[r["doc_id"]] += len(WORD.findall(r["text"].encode()))
-    assert dict(mixed) == {i: n for i, n in taken.items() if n}
+        assert r["n_chars"] == len(r["text"])
+        mixed[r["doc_id"], *WORD.findall(r["text"].encode())] += 1
+    for r in cp.mix_sources(tables[3], ranges=True).collect():
+        words = WORD.findall(text[r.doc_id].encode())
+        for copy in range(max((t.times for t in r.ranges), default=0)):
+            want[r.doc_id, *[w for t in r.ranges if t.times > copy for w in words[t.first : t.first + t.words]]] += 1
+    assert mixed == want and any(len(w) - 1 < len(WORD.findall(text[w[0]].encode())) for w in mixed)
     used = defaultdict(int)
     for r in rows[5]:
         used[r["sequence_id"]] += r["length"]
@@ -54,8 +57,8 @@ def test_odd_rows(spark, tmp_path):
     base = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").where("doc_id < 60")
     odd = [(1, words), (1, words), (1, words + " more"), (None, words.upper()), (None, None), (2, ""), (3, "12 34"), (None, "the with of and " + words)]
     extra = spark.createDataFrame([(i, t, "en", None, None) for i, t in odd], base.schema)
-    more = ["id", "size", "_row", "__Row", "_words", "_size", "_taken", "_mixed", "_k__row", "_metadata"]
-    docs = base.unionByName(extra).selectExpr("*", *[f"{c} as {n}" for c, n in zip(["doc_id", "text"] * 5, more)])
+    more = ["id", "size", "_row", "__Row", "_words", "_size", "_taken", "_mixed", "_k__row", "_metadata", "_ranges", "_copy"]
+    docs = base.unionByName(extra).selectExpr("*", *[f"{c} as {n}" for c, n in zip(["doc_id", "text"] * 6, more)])
     path = written(spark, tmp_path, "documents", docs)
     tables = stages(spark, path)
     assert all(sorted(t.columns) == sorted([*COLUMNS, *more]) for t in tables[:-1])
