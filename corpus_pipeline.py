@@ -40,6 +40,9 @@ from topicwell.llm.tables import having, settle, small  # noqa: E402
 # A word with the white space before it.
 SPACED_WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 
+# A source's documents are dealt alike if one in so many, or fewer, is an exception.
+FEW = 16
+
 
 def _free(columns: Sequence[str], *names: str) -> list[str]:
     """The names with as many underscores in front as it takes to be none of ``columns``, nor be one with a ``_k_``."""
@@ -87,21 +90,56 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Deal the copies of documents. Only texts of sources whose documents are taken in many ways meet their row in a shuffle.
+
+    A source at its limit has nearly all its documents taken whole and equally often (``usual``): these are dealt by
+    a row of the source, the others of it by a broadcast list.
+    """
     columns = docs.columns
     docs, row = _placed(docs)
-    mixed, ranges, words, copy = _free(docs.columns, "mixed", "ranges", "words", "copy")
-    taken = mix_sources(docs, id_col=row, hash_col="doc_id", ranges=True).where(F.col("taken") > 0)
-    taken = settle(taken.select(row, "ranges").toDF(mixed, ranges), "mixed")
+    names = _free(docs.columns, "mixed", "origin", "least", "most", "ranges", "usual", "words", "copy")
+    mixed, origin, least, most, ranges, usual, words, copy = names
+    times = F.transform("ranges", lambda r: r["times"])
+    fewest, often = (F.coalesce(f(times), F.lit(0).cast("bigint")) for f in (F.array_min, F.array_max))
+    taken = mix_sources(docs, id_col=row, hash_col="doc_id", ranges=True)
+    taken = taken.select(row, "source", fewest, often, F.when(fewest < often, F.col("ranges"))).toDF(*names[:5])
+    taken = settle(taken, "mixed")
+
+    # Documents that are not dealt by their source's row are listed.
+    def listed(alike: DataFrame) -> DataFrame:
+        found = taken.join(F.broadcast(alike.toDF("_alike", usual)), F.col(origin).eqNullSafe(F.col("_alike")), "left")
+        as_usual = (F.col(least) == F.col(most)) & (F.col(most) == F.coalesce(usual, F.lit(0)))
+        return found.where(~as_usual).select(mixed, least, most, ranges, usual)
+
+    equally = F.when(F.col(least) == F.col(most), F.col(most)).alias(usual)
+    counts = taken.groupBy(origin, equally).agg(F.count(F.lit(1)).alias("n"))
+    whole = F.when(F.col(usual).isNotNull(), F.col("n"))
+    sources = counts.groupBy(origin).agg(F.max_by(usual, whole).alias(usual), F.max(whole).alias("n"), F.sum("n").alias("all"))
+    few = (F.col("all") - F.col("n")) * FEW <= F.col("all")
+    alike = settle(sources.where((F.col(usual) > 0) & few).select(origin, usual), "alike")
+    if not small(alike) or not small(listed(alike).where(F.col(usual).isNotNull())):
+        alike = alike.where(F.lit(False))
+    listing = settle(listed(alike), "listed")
+
+    dealt = docs.join(F.broadcast(alike), F.col("source").cast("string").eqNullSafe(F.col(origin)), "left").drop(origin)
     match = F.col(row).eqNullSafe(F.col(mixed))
-    chosen = docs.join(F.broadcast(taken) if small(taken) else taken, match)
-    times = F.transform(ranges, lambda r: r["times"])
-    whole, most = F.array_min(times), F.array_max(times)
-    spaced = F.when(whole < most, F.regexp_extract_all("text", F.lit(SPACED_WORD), F.lit(0)))
-    dealt = chosen.withColumn(words, spaced).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("bigint"), most)))
+    if small(listing):
+        chosen = dealt.join(F.broadcast(listing.drop(usual)), match, "left")
+    else:
+        by_source, one_by_one = F.col(usual).isNotNull(), F.col(usual).isNull()
+        chosen = dealt.where(by_source).join(F.broadcast(listing.where(by_source).drop(usual)), match, "left")
+        chosen = chosen.unionByName(dealt.where(one_by_one).join(listing.where(one_by_one).drop(usual), match))
+    unlisted = F.col(mixed).isNull()
+    for name in (least, most):
+        chosen = chosen.withColumn(name, F.when(unlisted, F.coalesce(usual, F.lit(0).cast("bigint"))).otherwise(F.col(name)))
+    chosen = chosen.where(F.col(most) > 0)
+
+    spaced = F.when(F.col(least) < F.col(most), F.regexp_extract_all("text", F.lit(SPACED_WORD), F.lit(0)))
+    copies = chosen.withColumn(words, spaced).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("bigint"), most)))
     held = F.filter(ranges, lambda r: r["times"] >= F.col(copy))
     runs = F.transform(held, lambda r: F.slice(words, (r["first"] + 1).cast("int"), r["words"].cast("int")))
-    is_whole = F.col(copy) <= whole
-    cut = dealt.withColumn("text", F.when(is_whole, F.col("text")).otherwise(F.array_join(F.flatten(runs), "")))
+    is_whole = F.col(copy) <= F.col(least)
+    cut = copies.withColumn("text", F.when(is_whole, F.col("text")).otherwise(F.array_join(F.flatten(runs), "")))
     if "n_chars" in columns:
         length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
         cut = cut.withColumn("n_chars", F.when(is_whole, F.col("n_chars")).otherwise(length))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter, defaultdict
 
 import corpus_pipeline as cp
@@ -70,3 +71,57 @@ def test_odd_rows(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 0")
     assert cp.run(spark, written(spark, tmp_path, "documents", docs)).collect() == []
+
+
+def shuffled(spark, plan, column):
+    """Rows that all exchanges holding the column have written."""
+    name, rows = plan.getClass().getSimpleName(), 0
+    if name == "AdaptiveSparkPlanExec":
+        return shuffled(spark, plan.executedPlan(), column)
+    if name.endswith("QueryStageExec"):
+        return shuffled(spark, plan.plan(), column)
+    output = plan.output()
+    if name == "ShuffleExchangeExec" and column in {output.apply(i).name() for i in range(output.size())}:
+        rows = plan.metrics().apply("shuffleRecordsWritten").value()
+    children = plan.children()
+    return rows + sum(shuffled(spark, children.apply(i), column) for i in range(children.size()))
+
+
+def test_mix_moves_only_texts_of_sources_taken_in_many_ways(spark, tmp_path):
+    """Of four sources two are at their limit: with a list too long to send, only the texts of the others are shuffled."""
+    rng = random.Random(5)
+    size = {"a": 600, "b": 200, "c": 200, None: 200}
+    rows = [
+        (i, " ".join(f"w{rng.randrange(500)}" for _ in range(rng.randrange(40, 160))), source)
+        for i, source in enumerate(s for s, n in size.items() for _ in range(n))
+    ]
+    odd = [(5000, None, "a"), (5001, None, "c"), (5002, " ", None), (None, "w1 w2 ", "c"), (None, "w1 w2 ", "c"), (7, "w3", None)]
+    docs = spark.createDataFrame(rows + odd, "doc_id bigint, text string, source string").repartition(3)
+    docs = settle(docs, "documents")
+
+    def mixed(**limits):
+        for key, value in limits.items():
+            spark.conf.set(key.replace("__", "."), value)
+        try:
+            out = cp.mix(spark, docs, "")
+            found = Counter(map(tuple, out.collect()))
+            return found, shuffled(spark, out._jdf.queryExecution().executedPlan(), "text")
+        finally:
+            for key in limits:
+                spark.conf.unset(key.replace("__", "."))
+
+    want = Counter()
+    text = {(i, t, s): WORD.findall((t or "").encode()) for i, t, s in rows + odd}
+    for r in cp.mix_sources(docs.selectExpr("struct(doc_id, text, source) AS doc_id", "text", "source", "doc_id AS h"), hash_col="h", ranges=True).collect():
+        words = text[tuple(r.doc_id)]
+        for copy in range(max((t.times for t in r.ranges or []), default=0)):
+            want[r.doc_id.doc_id, r.doc_id.source, *[w for t in r.ranges if t.times > copy for w in words[t.first : t.first + t.words]]] += 1
+    none = {"spark__sql__autoBroadcastJoinThreshold": "-1"}
+    runs = [mixed(**none, spark__topicwell__llm__keyRows=n) for n in ("100000", "60", "0")]
+    for found, _ in runs:
+        got = Counter()
+        for (i, t, s), n in found.items():
+            got[i, s, *WORD.findall(t.encode())] += n
+        assert got == want
+    at_limit = sum(s in ("c", None) for _, _, s in rows + odd)
+    assert [moved for _, moved in runs] == [0, len(rows + odd) - at_limit, len(rows + odd)]

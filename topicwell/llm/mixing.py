@@ -159,7 +159,7 @@ def mix_sources(
     hash_col: str | None = None,
     ranges: bool = False,
 ) -> DataFrame:
-    """``id_col, size, source_size, target, taken``, one row per row of ``docs``, and ``ranges`` if asked for.
+    """``id_col, size, source_size, target, taken``, one row per row of ``docs``, and ``source`` and ``ranges`` if asked for.
 
     Shards and seeded order go by the hash of ``hash_col``, or of the id. ``ranges`` are the runs of words that lie
     in one block, in order: ``first`` (from 0), ``words`` and the ``times`` they are taken; null without words.
@@ -268,4 +268,4 @@ def mix_sources(
     whole = joined.groupBy("source", "shard", "id", "start", "size").agg(*sums)
     rows = whole.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).drop("_copy")
     final = targets.select(_source, "source_size", "target")
-    return with_source(rows, final).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", *(["ranges"] if ranges else []))
+    return with_source(rows, final).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", *(["source", "ranges"] if ranges else []))
